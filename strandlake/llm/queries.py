@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import knn, line_rules, mixing, packing, warc
+from . import jaccard, knn, language, line_rules, mixing, packing, quality, repeats, toxicity, warc
 
 
 def queries() -> dict:
     own = (
-        line_rules.op2_line_frequency_rules, mixing.op7_source_mixing, knn.op8_voronoi_knn, packing.op9_min_bin_slack_packing, warc.op10_warc_writer,
+        toxicity.op1_counterfactual_toxicity, line_rules.op2_line_frequency_rules, jaccard.op3_trie_jaccard, quality.op4_fourier_quality,
+        repeats.op5_bwt_repeats, language.op6_viterbi_language, mixing.op7_source_mixing, knn.op8_voronoi_knn, packing.op9_min_bin_slack_packing, warc.op10_warc_writer,
     )
     return {f.__name__: f for f in own}
 
