@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
 Features are the presence in a text of words and of word prefixes. Those that
-occur unevenly among toxic and other labelled texts are chosen by counts over all
+occur unevenly among toxic and other labelled texts are chosen by counts over the
 labelled training rows (a groupBy with partial counts); identity terms are always
 among them. The weights minimise logistic loss with a ridge, plus a penalty on
 score changes: in each labelled sentence with an identity term, the term is swapped
@@ -52,7 +52,7 @@ def features(text: str | None) -> set[str]:
 
 def _chosen(train: DataFrame, most: int, least_docs: int) -> list[str]:
     """The features that tell the classes apart best, by a signed-root chi-square of
-    document counts over all labelled rows; only counts of features come to the driver."""
+    document counts over the labelled rows; only counts of features come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,9 +133,12 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_docs: int = 5, fit_rows: int = 20_000, penalty: float = 1.0) -> Model:
     """Fit on docs (doc_id, text) joined with labels (doc_id, label 0/1). Rows of null
     ids or labels don't count; of repeated labels each counts. At most `fit_rows`
-    rows (those of smallest hash, toxic ones up to half) reach the driver."""
+    labels are used (those of smallest hash, each class up to half): their ids are
+    broadcast to where the texts are, so that no text is shuffled."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
-    rows = common.written(docs.join(known, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
+    picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("of"), "of").limit(fit_rows // 2) for y in (0, 1)]
+    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_rows ids and labels
+    rows = common.written(docs.join(sample, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
     vocabulary = _chosen(rows, most_features, least_docs)
     identity = [f for terms in IDENTITY_TERMS.values() for t in terms for f in sorted(features(t)) if not f.endswith("*")]
     place = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *identity]))}
@@ -152,9 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
             deep = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column(1), pa.array(old, deep), pa.array(new, deep)], names=["own", "label", "old", "new"])
 
-    half = fit_rows // 2
-    picked = [rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(half).select("text", "label") for y in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).mapInArrow(reduce, "own array<int>, label int, old array<array<int>>, new array<array<int>>").collect()
+    sample = rows.select("text", "label").mapInArrow(reduce, "own array<int>, label int, old array<array<int>>, new array<array<int>>").collect()
     pairs = [(list(o), list(n)) for r in sample for o, n in zip(r["old"], r["new"])] + list(_neutral_pairs(place))
     y = np.array([r["label"] for r in sample], dtype=int)
     if not len(y) or y.min() == y.max():  # one class only: its rate for all
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op1_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = train(docs.where(common.remainder(F.col("doc_id"), 5) != 0), labels)
+    learn = common.remainder(F.col("doc_id"), 5) != 0
+    model = train(docs.where(learn), labels.where(learn))
     out = score(docs, model)
     return out.select("doc_id", (F.coalesce(common.remainder(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
