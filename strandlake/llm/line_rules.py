@@ -92,13 +92,17 @@ def judge(docs: DataFrame, host: str = "source", most_percent: float = 10.0, lea
         mine = mine.join(frequent.withColumnRenamed("line", "of"), (F.col("line") == F.col("of")) & (F.col("_host") == F.col("host"))).groupBy(F.col("_id").alias("_of")).agg(F.collect_set("line").alias("_frequent"))
         d = with_base(own.join(mine, F.col("_id") == F.col("_of"), "left").drop("_of", "_id"))
         d = d.withColumn("_frequent", F.coalesce("_frequent", F.expr("cast(array() as array<bigint>)")))
+    # A filter on `kept` must not be pushed below these columns, where each would be
+    # written out again at every use: a row number, not deterministic, holds it here.
+    d = d.withColumn("_place", F.monotonically_increasing_id())
     gone = F.when(F.size("_frequent") == 0, F.expr("cast(array() as array<string>)")).otherwise(F.filter("_lines", lambda x: F.array_contains(F.col("_frequent"), F.xxhash64(normal_line(x)))))
     d = d.withColumn("_gone", gone)
     d = d.withColumn("n_removed_words", F.aggregate("_gone", F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(common.WORD))).cast("long"))
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") * 100 <= F.col("n_words") * depleted_percent))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") * 100 <= F.col("n_words") * depleted_percent) & (F.col("_place") >= 0))
+    d = d.withColumn("_gone", F.array_distinct("_gone"))
     rest = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x: ~F.array_contains("_gone", x)), "\n")
     d = d.withColumn("clean_text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(rest))
-    return d.drop("_frequent", "_gone", "_lines", "_host", "text")
+    return d.drop("_frequent", "_gone", "_lines", "_host", "_place", "text")
 
 
 def op2_line_frequency_rules(spark, sf_dir: str) -> DataFrame:
