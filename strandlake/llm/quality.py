@@ -52,15 +52,16 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _with_statistics(docs: DataFrame, keep: str, schema: str) -> DataFrame:
-    """keep: a column beside the text; rows (keep, x)."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) for each row of docs (doc_id, text): what joins with labels are these
+    few numbers, never texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [statistics(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=[keep, "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def isotonic(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -100,13 +101,13 @@ class Model:
         return np.clip(self.levels[self.bins(raw)] * (1 - 2e-3) + 2e-3 * place, 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1e-3, bandwidth: float = 6.0, tasks: int = 16, n_bins: int = 512, seed: int = 11) -> Model:
-    """Fit on docs (doc_id, text) joined with labels (doc_id, label 0/1): a fifth of
+def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1e-3, bandwidth: float = 6.0, tasks: int = 16, n_bins: int = 512, seed: int = 11) -> Model:
+    """Fit on with_statistics() of documents joined with labels (doc_id, label 0/1): a fifth of
     the rows (by a hash of the id) calibrates, the rest gives the normal equations.
     Null ids and labels don't count. Without labelled rows every score is 0.5."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
-    rows = docs.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).cast("int")).cast("int"))
-    data = common.written(_with_statistics(rows.select("part", "text"), "part", "part int, x array<double>"), "statistics")
+    rows = stats.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).cast("int")).cast("int"))
+    data = common.written(rows.select("part", "x"), "training")
     d = len(STATISTICS)
     moments = data.select(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
     rng = np.random.default_rng(seed)
@@ -153,23 +154,23 @@ def train(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) for each row; null texts count as empty, repeated
-    rows are scored each, an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(stats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, predicted) for each row of with_statistics(); null texts count as
+    empty, repeated rows are scored each, an empty table gives no rows."""
+    shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)], dtype=float).reshape(b.num_rows, len(STATISTICS))
-            s = m.scores(x)
+            s = m.scores(b.column(1).flatten().to_numpy().reshape(b.num_rows, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def op4_fourier_quality(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = common.written(with_statistics(common.table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = train(docs.where(common.remainder(F.col("doc_id"), 3) != 1), labels)
-    return score(docs, model).select("doc_id", (F.coalesce(common.remainder(F.col("doc_id"), 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
+    learn = common.remainder(F.col("doc_id"), 3) != 1
+    model = train(stats.where(learn), labels.where(learn))
+    return score(stats, model).select("doc_id", (F.coalesce(common.remainder(F.col("doc_id"), 3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
