@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("of"), "of").limit(fit_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_rows ids and labels
-    rows = common.written(docs.join(sample, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
+    rows = common.written(docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
     vocabulary = _chosen(rows, most_features, least_docs)
     identity = [f for terms in IDENTITY_TERMS.values() for t in terms for f in sorted(features(t)) if not f.endswith("*")]
     place = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *identity]))}
