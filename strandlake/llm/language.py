@@ -42,30 +42,46 @@ def grams(word: str) -> list[str]:
 
 
 class Model:
+    """Languages; a row of log-likelihoods for each n-gram and a last one for unseen
+    ones; the languages that use each script; the penalty of a switch."""
+
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], unseen: np.ndarray, allowed: dict[str, np.ndarray], penalty: float):
-        self.langs, self.table, self.unseen, self.allowed, self.penalty = langs, table, unseen, allowed, penalty
+        self.langs, self.allowed, self.penalty = langs, allowed, penalty
+        self.index = {g: i for i, g in enumerate(table)}
+        self.matrix = np.array([*table.values(), unseen], dtype=np.float32).reshape(-1, len(langs))
         self.cache: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def word_score(self, word: str) -> np.ndarray:
-        """Log-likelihood per language, relative to the best; languages that don't use
-        the word's script are ruled out, unless none uses it."""
-        s = np.sum([self.table.get(g, self.unseen) for g in grams(word)], axis=0)
-        s = np.maximum(s - s.max(), -30.0) * 0.5
-        may = self.allowed.get(script(word))
-        return np.where(may, s, -1e4) if may is not None else np.zeros(len(self.langs))
+        self.scores = np.zeros((0, len(langs)), dtype=np.float32)
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods per language, relative to the best; languages that don't use
+        a word's script are ruled out, unless none uses it."""
+        get, unseen = self.index.get, len(self.index)
+        ids: list[int] = []
+        ends = []
+        for w in words:
+            ids += [get(g, unseen) for g in grams(w)]
+            ends.append(len(ids))
+        s = np.add.reduceat(self.matrix[ids], np.array([0, *ends[:-1]]))
+        s = np.maximum(s - s.max(1, keepdims=True), -30.0) * 0.5
+        kinds: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            kinds.setdefault("latin" if w[0] < "\u0370" else script(w), []).append(i)
+        for kind, at in kinds.items():
+            may = self.allowed.get(kind)
+            s[at] = 0 if may is None else np.where(may, s[at], -1e4)
+        return s
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words the index of each word's language."""
-        if len(self.cache) > 300_000:
-            self.cache, self.rows = {}, []
+        if len(self.cache) > 1_000_000:
+            self.cache, self.scores = {}, self.scores[:0]
         cache = self.cache
-        for words in texts:
-            for w in words:
-                if w not in cache:
-                    cache[w] = len(self.rows)
-                    self.rows.append(self.word_score(w))
-        scores = np.array(self.rows)
+        fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in cache]
+        if fresh:
+            for w in fresh:
+                cache[w] = len(cache)
+            self.scores = np.concatenate([self.scores, self.word_scores(fresh)])
+        scores = self.scores
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
         ids = np.fromiter((cache[w] for i in order for w in texts[i]), dtype=np.int64, count=int(lengths.sum()))

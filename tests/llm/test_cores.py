@@ -151,7 +151,7 @@ def test_viterbi_equals_brute_force():
     import itertools
 
     for words_, path in zip(texts, m.label(texts)):
-        s = [m.rows[m.cache[w]] for w in words_]
+        s = [m.scores[m.cache[w]] for w in words_]
         value = lambda p: sum(s[i][k] for i, k in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))
         assert len(path) == len(words_)
         if words_:
