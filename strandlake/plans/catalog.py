@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import alphabet as A
 from strandlake.functions import cigar as K
 from strandlake.functions import codes as C
+from strandlake.functions import digests
 from strandlake.operators import align, bloom, chaining, edit, matches, minimizers, missing, partition, qgrams, ranges, sampling, sketch, stats, suffixes
 from strandlake.plans import views as V
 
@@ -300,6 +301,16 @@ def numbers_without(spark, sf_dir):
     return qgrams.numbers_without(spark, 3000, V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number")))
 
 
+@query()
+def wyhash_sum(spark, sf_dir):
+    return digests.digest_sum(V.documents(spark, sf_dir))
+
+
+@query()
+def xxh64_sum(spark, sf_dir):
+    return digests.digest_sum(V.documents(spark, sf_dir), "xxh64")
+
+
 # Sketches.
 
 _S, _R = 2, 16

@@ -69,6 +69,17 @@ def test_seeded_hash_columns(spark):
         assert got == [C.seeded_fnv_int(v % 2**64, seed) for v in values]
 
 
+def test_digests(spark):
+    from strandlake.functions.digests import digest_sum, digests, wyhash
+
+    texts = ["", "A", "ACGT", "ACGTACGTA", "C" * 16, "ACG" * 11, "GATTACA" * 40]
+    assert len({wyhash(t.encode()) for t in texts}) == len(texts)
+    assert wyhash(b"") == 0x93228A4DE0EEC5A2  # of the published test vectors
+    got = digests(seqs(spark, texts)).orderBy("seq_id").collect()
+    assert [r["digest"] % 2**64 for r in got] == [wyhash(t.encode()) for t in texts]
+    assert digest_sum(seqs(spark, texts)).first()[0] == str(sum(wyhash(t.encode()) for t in texts) % 2**64)
+
+
 def test_scalar_functions(spark):
     d = spark.createDataFrame([("ab|cd|ef gh", "ACGTNacgt", "abcxef", "abdxzf")], "h string, s string, u string, v string")
     one = d.select(
