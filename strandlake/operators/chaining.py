@@ -1,16 +1,53 @@
 """Chains of collinear matches.
 
-Groups are independent, so each is one task's work: groupBy().applyInPandas. Within a
-group a sweep over positions keeps the best chain ends in a prefix-maximum tree, so a
-group of n matches takes n log n steps."""
+Groups are independent. Rows are dealt out by group and sorted, and a task streams over
+its groups in Arrow batches, as a call of Python for each of very many small groups
+would cost more than its work. Within a group a sweep over positions keeps the best
+chain ends in a prefix-maximum tree, so a group of n matches takes n log n steps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def by_group(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, names: list[str], types: list, work: Callable[[tuple, list[np.ndarray]], list[tuple]]) -> DataFrame:
+    """work(key, columns of the group) for each group of keys, in `order` within it;
+    what it returns are rows of `schema`. A task holds one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def solved(t: pa.Table) -> pa.RecordBatch:
+            key = [t.column(i).to_pylist() for i in range(len(keys))]
+            data = [t.column(len(keys) + i).to_numpy() for i in range(len(columns))]
+            both = list(zip(*key))
+            edges = [0, *(i for i in range(1, len(both)) if both[i] != both[i - 1]), len(both)]
+            out = [r for a, b in zip(edges, edges[1:]) if b > a for r in work(both[a], [c[a:b] for c in data])]
+            made = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(made, types)], names=names)
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            k = [t.column(i).to_numpy() for i in range(len(keys))]
+            cut = int(np.argmax(np.logical_and.reduce([x == x[-1] for x in k])))  # the last group may go on
+            if cut:
+                yield solved(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield solved(rest)
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.select(*keys, *[F.col(c) for c in columns])
+    return kept.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
-_OUT = "group {kind}, score double, length int, matches array<long>"
 
 
 class _PrefixBest:
@@ -72,14 +109,14 @@ def best_chain(p_start, p_len, s_start, s_len, weight, local: bool) -> tuple[flo
 def chains(matches: DataFrame, local: bool = False) -> DataFrame:
     """(group, score, length, matches) from (group, match_id, p_start, p_len, s_start,
     s_len, weight): one best chain of each group."""
-    kind = dict(matches.dtypes)["group"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("match_id", kind="stable")
-        score, places = best_chain(*(pdf[c].to_numpy() for c in ("p_start", "p_len", "s_start", "s_len", "weight")), local)
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "score": [score], "length": [len(places)], "matches": [pdf["match_id"].to_numpy()[places].tolist()]})
+    def work(key: tuple, c: list[np.ndarray]) -> list[tuple]:
+        score, places = best_chain(*c[1:], local)
+        return [(key[0], score, len(places), c[0][places].tolist())]
 
-    return matches.groupBy("group").applyInPandas(run, _OUT.format(kind=kind))
+    m = matches.withColumn("group", F.col("group").cast("long")).withColumn("match_id", F.col("match_id").cast("long"))
+    columns = ["match_id", "p_start", "p_len", "s_start", "s_len", "weight"]
+    return by_group(m, ["group"], ["match_id"], columns, "group long, score double, length int, matches array<long>", ["group", "score", "length", "matches"], [pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int64())], work)
 
 
 def segment_chains(starts, query_starts, lengths, max_previous: int) -> list[tuple[float, list[int]]]:
@@ -132,12 +169,16 @@ def local_chains(mems: DataFrame, max_previous: int = 20) -> DataFrame:
     """(ref_id, query_id, chain, score, length, ref_start, ref_end, query_start,
     query_end) from maximal matches (ref_id, query_id, ref_end, query_end, length)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(r=pdf["ref_end"] - pdf["length"] + 1, q=pdf["query_end"] - pdf["length"] + 1).sort_values(["r", "q", "length"], kind="stable")
-        rows = []
-        for k, (score, chain) in enumerate(segment_chains(pdf["r"].to_numpy(), pdf["q"].to_numpy(), pdf["length"].to_numpy(), max_previous)):
-            c = pdf.iloc[chain]
-            rows.append((pdf["ref_id"].iloc[0], pdf["query_id"].iloc[0], k, score, len(chain), c["r"].min(), c["ref_end"].max(), c["q"].min(), c["query_end"].max()))
-        return pd.DataFrame(rows, columns="ref_id query_id chain score length ref_start ref_end query_start query_end".split())
+    names = "ref_id query_id chain score length ref_start ref_end query_start query_end".split()
+
+    def work(key: tuple, c: list[np.ndarray]) -> list[tuple]:
+        ends, query_ends, lengths = c[0], c[1], c[2]
+        starts, query_starts = ends - lengths + 1, query_ends - lengths + 1
+        order = np.lexsort((lengths, query_starts, starts))
+        starts, query_starts, lengths, ends, query_ends = (x[order] for x in (starts, query_starts, lengths, ends, query_ends))
+        found = segment_chains(starts, query_starts, lengths, max_previous)
+        return [(*key, k, score, len(x), int(starts[x].min()), int(ends[x].max()), int(query_starts[x].min()), int(query_ends[x].max())) for k, (score, x) in enumerate(found)]
 
-    return mems.groupBy("ref_id", "query_id").applyInPandas(run, "ref_id long, query_id long, chain int, score double, length int, ref_start long, ref_end long, query_start long, query_end long")
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), *[pa.int64()] * 4]
+    schema = "ref_id long, query_id long, chain int, score double, length int, ref_start long, ref_end long, query_start long, query_end long"
+    return by_group(mems, ["ref_id", "query_id"], ["ref_end", "query_end"], ["ref_end", "query_end", "length"], schema, names, types, work)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import alphabet as A
 from strandlake.functions import codes as C
-from strandlake.operators.ranges import ranges
+from strandlake.operators.ranges import chunked, ranges
 
 
 def qgram_rows(sequences: DataFrame, q: int, alphabet: str = A.DNA) -> DataFrame:
@@ -31,9 +31,10 @@ def qgram_rows(sequences: DataFrame, q: int, alphabet: str = A.DNA) -> DataFrame
 
 def windows_with_wildcards(sequences: DataFrame, q: int) -> DataFrame:
     """(seq_id, pos, qgram, wildcards): every window of q characters, valid or not."""
-    long_enough = sequences.where(F.length("sequence") >= q)
-    w = long_enough.select("seq_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - q)).alias("pos"))
-    w = w.select("seq_id", "pos", F.substr("sequence", F.col("pos") + 1, F.lit(q)).alias("qgram"))
+    size = 256  # short chunks: a window is cut out of its chunk, not of the whole text
+    c = chunked(sequences, size, q - 1).where(F.length("sequence") >= q)
+    w = c.select("seq_id", "offset", "sequence", F.explode(F.sequence(F.lit(0), F.least(F.lit(size - 1), F.length("sequence") - q))).alias("i"))
+    w = w.select("seq_id", (F.col("offset") + F.col("i")).alias("pos"), F.substr("sequence", F.col("i") + 1, F.lit(q)).alias("qgram"))
     return w.withColumn("wildcards", F.regexp_count("qgram", F.lit(A.invalid(A.DNA))))
 
 
