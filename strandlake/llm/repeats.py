@@ -107,6 +107,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """Anchor rows (h, fp, rid, at, state). Where a batch of texts has a context twice
+    or more, its occurrences are known repeats (state 2, which go anywhere), and one row
+    stands for them (state 1) beside those met once (state 0): an anchor that is in a
+    large share of all texts is a row a batch, not a row an occurrence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, rid, at, fp = [], [], [], []
@@ -114,36 +119,50 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 a, p, f = anchors(text.as_buffer().to_pybytes(), length)
                 h.append(a), at.append(p), fp.append(f), rid.append(np.full(len(a), key))
             empty = np.zeros(0, np.int64)
-            columns = [pa.array(np.concatenate([*c, empty]).astype(np.int64)) for c in (h, fp, rid, at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "fp", "rid", "at"])
+            columns = [np.concatenate([*c, empty]).astype(np.int64) for c in (h, fp, rid, at)]
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            n = len(order)
+            new = np.ones(n, dtype=bool)
+            new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if n else new
+            pick = np.concatenate([np.arange(n), np.flatnonzero(new & many)])
+            state = np.concatenate([np.where(many, 2, 0), np.ones((new & many).sum(), np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[pick]) for c in columns), pa.array(state)], names=["h", "fp", "rid", "at", "state"])
 
-    return docs.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(run, "h long, fp long, rid long, at long")
+    return docs.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(run, "h long, fp long, rid long, at long, state int")
 
 
 def _sifted(rows: DataFrame) -> DataFrame:
-    """From anchor rows sorted by (h, fp): kind 0 for occurrences with an equal context
-    elsewhere, 1 for others to be compared, 2 for one that stands for its equals."""
+    """From anchor rows, those of state 2 last and the rest sorted by (h, fp): kind 0
+    for occurrences with an equal context elsewhere, 1 for others to be compared, 2 for
+    one that stands for its equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
+
+        def made(rid, at, h, kind) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at), pa.array(h), pa.array(kind.astype(np.int32))], names=["rid", "at", "h", "kind"])
 
         def full(c: list[np.ndarray]) -> pa.RecordBatch:
-            h, fp, rid, at = c
+            h, fp, rid, at, state = c
             n = len(h)
-            new_h = np.concatenate([[True], h[1:] != h[:-1]]) if n else np.zeros(0, bool)
-            new_c = new_h.copy()
-            if n:
-                new_c[1:] |= fp[1:] != fp[:-1]
+            new_h, new_c = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+            new_h[1:] = h[1:] != h[:-1]
+            new_c[1:] = new_h[1:] | (fp[1:] != fp[:-1])
             bucket, context = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-            equals = np.bincount(context)[context] if n else np.zeros(0, np.int64)
+            equals = np.bincount(context, weights=1 + (state == 1))[context] if n else np.zeros(0)
             contexts = np.bincount(bucket, weights=new_c)[bucket] if n else np.zeros(0)
-            whole, compare = equals > 1, (contexts > 1) & new_c
+            whole, compare = (equals > 1) & (state == 0), (contexts > 1) & new_c
             pick = np.concatenate([np.flatnonzero(whole), np.flatnonzero(compare)])
-            kind = np.concatenate([np.zeros(whole.sum(), np.int32), np.where(equals[compare] > 1, 2, 1).astype(np.int32)])
-            return pa.RecordBatch.from_arrays([pa.array(rid[pick]), pa.array(at[pick]), pa.array(h[pick]), pa.array(kind)], names=["rid", "at", "h", "kind"])
+            return made(rid[pick], at[pick], h[pick], np.concatenate([np.zeros(whole.sum()), np.where(equals[compare] > 1, 2, 1)]))
 
         for b in batches:
-            c = [np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest)]
+            new = [b.column(i).to_numpy() for i in range(5)]
+            done = new[4] == 2
+            if done.any():
+                yield made(new[2][done], new[3][done], new[0][done], np.zeros(done.sum()))
+            c = [np.concatenate([r, x[~done]]) for r, x in zip(rest, new)]
             if not len(c[0]):
                 continue
             cut = int(np.searchsorted(c[0], c[0][-1]))
@@ -244,7 +263,8 @@ def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, w
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
-    found = _anchor_rows(keyed, length).repartition(tasks, "h").sortWithinPartitions("h", "fp", "rid", "at")
+    key = F.when(F.col("state") == 2, F.xxhash64("rid", "at")).otherwise(F.col("h"))
+    found = _anchor_rows(keyed, length).repartition(tasks, key).sortWithinPartitions(F.col("state") == 2, "h", "fp", "rid", "at")
     sifted = common.written(_sifted(found), "anchors")
     back = length - GRAM
     wanted = sifted.where("kind > 0").groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("h", "at", "kind")).alias("places"))
