@@ -7,8 +7,8 @@ A document's place is a hash of its id in [0, 128 * 128): its block is the upper
 part. Blocks are what a source is drawn in: full passes take every block, and the
 last, partial pass takes whole places in hash order up to the remaining words; at
 the place where they run out, documents are taken in order, the last one in part.
-The running sum that needs runs over at most 16,384 places a source, and over the
-documents of one place: never over a hot source.
+The running sums that needs run over a source's 128 blocks, over the 128 places of
+one block, and over the documents of one place: never over a hot source.
 
 Block slots (source, block, pass) are then dealt to output shards by a binary tree:
 at each node a seeded permutation of the node's slots sends the first half left,
@@ -67,19 +67,26 @@ def mix(docs: DataFrame, shards: int = 8, most: float = 3.0, seed: str = "mix",
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), place(F.col("doc_id"), seed).alias("place"), F.xxhash64(F.col("text")).alias("tie"))
     narrow = own.select("source", "place", "size")
     places = common.written(narrow.groupBy("source", "place").agg(F.sum("size").alias("words")), "places")
-    targets = source_targets(places.groupBy("source").agg(F.sum("words").alias("source_size")), most)
+    blocks = places.groupBy("source", F.shiftright("place", 7).alias("block")).agg(F.sum("words").alias("words"))
+    targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), most)
     # Full passes, and what the partial pass must take.
     t = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    t = t.withColumn("part_words", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    p = places.withColumnRenamed("source", "of").join(t, F.col("of").eqNullSafe(F.col("source")))
-    w = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("upto", F.sum("words").over(w))
-    ends = p.groupBy("source").agg(
-        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("passes").alias("passes"), F.first("part_words").alias("part_words"),
-        F.coalesce(F.min(F.when(F.col("upto") > F.col("part_words"), F.col("place"))), F.lit(_BLOCKS * _BLOCKS)).alias("end_place"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("part_words"), F.col("upto"))), F.lit(0)).alias("before_end"),
+    t = common.written(t.withColumn("part_words", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "targets")
+    # The block, then the place, at which the partial pass runs out of words: running
+    # sums over a source's 128 blocks, and over the 128 places of one block.
+    run = lambda d, by: d.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    of = blocks.withColumnRenamed("source", "of").join(t, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+    end_block = run(of, "block").groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("part_words"), F.struct("block", (F.col("upto") - F.col("words")).alias("before")))).alias("e"))
+    end_block = end_block.select(F.col("source").alias("s"), F.col("e.block").alias("end_block"), F.coalesce("e.before", F.lit(0)).alias("before"))
+    t = t.join(end_block, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    inside = places.withColumnRenamed("source", "of").join(t, F.col("of").eqNullSafe(F.col("source")) & (F.shiftright("place", 7) == F.col("end_block"))).drop("of")
+    end = run(inside, "place").groupBy("source").agg(F.min(F.when(F.col("upto") + F.col("before") > F.col("part_words"), F.struct("place", (F.col("part_words") - F.col("before") - F.col("upto") + F.col("words")).alias("words")))).alias("e"))
+    end = end.select(F.col("source").alias("s"), "e")
+    ends = t.join(end, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "passes", "part_words",
+        F.coalesce("e.place", F.lit(_BLOCKS * _BLOCKS)).alias("end_place"), F.coalesce("e.words", F.lit(0)).alias("end_words"),
     )
-    ends = common.written(ends.withColumn("end_words", F.col("part_words") - F.col("before_end")), "sources")
+    ends = common.written(ends, "sources")
     few = ends.count() <= broadcast_rows
     small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
     sources = ends.select(F.col("source").alias("of"), "source_size", "target", "passes", "end_place", "end_words")
