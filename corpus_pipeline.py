@@ -40,13 +40,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeated strings are cut out. Where a cut divides a character, the bytes
     left of it go too. Documents without a word left go."""
-    rows = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    cut = repeats.repeat_dedup(docs).where("n_removed > 0").select(F.col("rid").alias("_of"), F.col("kept").alias("_kept")).dropDuplicates(["_of"])
-    joined = rows.join(cut.hint("shuffle_hash"), F.col("_rid") == F.col("_of"), "left")
-    text = F.when(F.col("_kept").isNotNull(), F.make_valid_utf8(F.col("_kept").cast("string"))).otherwise(F.col("text"))
-    text = F.when(F.col("_kept").isNotNull(), F.regexp_replace(text, "�", "")).otherwise(text)
-    done = joined.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"))
-    return _columns(done.where(F.col("_text").rlike(common.WORD)), docs, F.col("_text"))
+    cut = repeats.repeat_dedup(docs, carry=tuple(c for c in docs.columns if c != "text"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    text = F.when(F.col("n_removed") > 0, F.regexp_replace(text, "\ufffd", "")).otherwise(text)
+    done = cut.select("row", text.alias("_text")).where(F.col("_text").rlike(common.WORD))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -101,9 +102,10 @@ def anchors(data: bytes, length: int, piece: int = 1 << 20) -> tuple[np.ndarray,
     return grams[at].view(np.int64), at, print_.view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *carried) -> DataFrame:
     """Rows are told apart by a hash of id and text: equal rows have equal results."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carried)
+    return own.select(F.xxhash64("doc_id", "text").alias("rid"), "*")
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -252,11 +254,11 @@ def _intervals(contexts: DataFrame, length: int, rows_at_once: int) -> DataFrame
     return contexts.mapInArrow(run, "rid long, a long, b long")
 
 
-def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, with_kept: bool = True) -> DataFrame:
+def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for each row
     of docs (doc_id, text): every byte covered by a string of `length` bytes that also
     starts anywhere else goes. spans are the removed runs, kept the bytes left (null
-    unless asked for).
+    unless asked for). `carry` names columns of docs that come along, as a struct `row`.
 
     Null texts are empty. Repeated rows are documents each, so their long strings
     repeat. Texts shorter than `length` keep all. An empty table gives no rows."""
@@ -274,7 +276,8 @@ def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, w
     compared = _intervals(cut.repartition(tasks, "h").sortWithinPartitions("h", "rid", "at"), length, rows_at_once)
     whole = sifted.where("kind = 0").select("rid", F.greatest(F.lit(0), F.col("at") - back).alias("a"), (F.col("at") + length).alias("b"))
     runs = compared.unionByName(whole).groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    joined = keyed.join(runs.hint("shuffle_hash"), F.col("rid") == F.col("of"), "left").select("rid", "doc_id", "text", "runs")
+    whole_rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("row"))
+    joined = whole_rows.join(runs.hint("shuffle_hash"), F.col("rid") == F.col("of"), "left").select("rid", "doc_id", "text", "runs", "row")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,10 +300,11 @@ def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, w
                 rows.append((rid.as_py(), doc_id.as_py(), len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"a": a, "b": z} for a, z in spans], rest if with_kept else None))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary())
             columns = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names="rid doc_id n_bytes n_removed n_spans kept_sha256 spans kept".split())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), b.column(4)], names="rid doc_id n_bytes n_removed n_spans kept_sha256 spans kept row".split())
 
     schema = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>, kept binary"
-    return joined.mapInArrow(cut_out, schema)
+    out = joined.mapInArrow(cut_out, StructType.fromDDL(schema).add("row", whole_rows.schema["row"].dataType))
+    return out if carry else out.drop("row")
 
 
 def op5_bwt_repeats(spark, sf_dir: str) -> DataFrame:
