@@ -35,7 +35,7 @@ def greedy_parts(sequences: DataFrame, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts)], names=["seq_id", "length", "part"])
 
     narrow = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), F.length("sequence").cast("long").alias("length"))
-    return narrow.coalesce(1).sortWithinPartitions("seq_id").mapInArrow(fold, "seq_id long, length long, part long")
+    return narrow.repartition(1).sortWithinPartitions("seq_id").mapInArrow(fold, "seq_id long, length long, part long")
 
 
 def in_parts(sequences: DataFrame, parts: int, round_up: bool = True) -> DataFrame:

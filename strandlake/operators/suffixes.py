@@ -141,7 +141,7 @@ def prefix_intervals(table: DataFrame) -> DataFrame:
         close(0, n)
         yield make()
 
-    return table.select(F.col("rank").cast("long").alias("rank"), F.col("lcp").cast("long").alias("lcp")).coalesce(1).sortWithinPartitions("rank").mapInArrow(run, "lcp long, left long, right long")
+    return table.select(F.col("rank").cast("long").alias("rank"), F.col("lcp").cast("long").alias("lcp")).repartition(1).sortWithinPartitions("rank").mapInArrow(run, "lcp long, left long, right long")
 
 
 def skyline(table: DataFrame) -> DataFrame:
