@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are the presence in a text of words and of word prefixes. Those that
+Features are words and word prefixes, by their share of a text's words. Those that
 occur unevenly among toxic and other labelled texts are chosen by counts over the
 labelled training rows (a groupBy with partial counts); identity terms are always
 among them. The weights minimise logistic loss with a ridge, plus a penalty on
@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,34 +40,60 @@ IDENTITY_TERMS = {
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
 PREFIXES = (3, 4, 5)
+SHARE = 0.01
 
 
 def features(text: str | None) -> set[str]:
     """Words (lower case) and their prefixes, the latter marked by a star."""
-    words = set(_WORDS.findall((text or "").lower()))
-    found = set(words)
-    for n in PREFIXES:
-        found.update([w[:n] + "*" for w in words if len(w) > n])
-    return found
-
-
-def _chosen(train: DataFrame, most: int, least_docs: int) -> list[str]:
-    """The features that tell the classes apart best, by a signed-root chi-square of
-    document counts over the labelled rows; only counts of features come to the driver."""
+    return set(weighted(text))
+
+
+def weighted(text: str | None) -> dict[str, float]:
+    """Features with their weight: one for a share of `SHARE` of all words or more, and
+    less in proportion, so that a rare chance word in a long text counts little."""
+    words = _WORDS.findall((text or "").lower())
+    found: Counter = Counter(words)
+    for w, c in list(found.items()):
+        for n in PREFIXES:
+            if len(w) > n:
+                found[w[:n] + "*"] += c
+    unit = max(1.0, SHARE * len(words))
+    return {f: min(1.0, c / unit) for f, c in found.items()}
+
+
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """One row of each group of near copies, for the fit: the words of one toxic text
+    and its copies would look like toxic words. Copies share, with likelihood near their
+    similarity, the least and the largest hash of their runs of five words."""
+    words = F.split(F.lower("text"), r"\s+")
+    marked = rows.withColumn("_words", words).withColumn("_runs", F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, 5)])))
+    marked = marked.withColumn("_a", F.coalesce(F.array_min("_runs"), F.lit(0))).withColumn("_z", F.coalesce(F.array_max("_runs"), F.lit(0))).drop("_words", "_runs")
+    for mark in ("_a", "_z"):
+        order = Window.partitionBy(mark).orderBy("doc_id", F.xxhash64("text"), "label")
+        marked = marked.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return marked.drop("_a", "_z")
+
+
+def _chosen(train: DataFrame, most: int, least_docs: int, least_z: float) -> list[str]:
+    """The features whose document shares in the two classes differ most, in standard
+    errors (two proportions): at most `most` of them, from `least_z` on, so that a small
+    table gives few features and not many by chance. Only counts come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: dict[str, list[int]] = {}
             for text, label in zip(b.column(0), b.column(1).to_pylist()):
-                for f in features(text.as_py()):
-                    counts.setdefault(f, [0, 0])[label] += 1
+                for f, x in weighted(text.as_py()).items():
+                    if x >= 0.1:
+                        counts.setdefault(f, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["f", "n0", "n1"])
 
     sizes = {int(r["label"]): r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     a, b = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     sums = train.select("text", "label").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    gap = F.abs(F.col("n1") / a - F.col("n0") / b) / F.sqrt((F.col("n1") + F.col("n0")) / float(a + b))
-    best = sums.where(F.col("n0") + F.col("n1") >= least_docs).select("f", gap.alias("gap")).orderBy(F.col("gap").desc(), "f").limit(most)
+    share = (F.col("n1") + F.col("n0")) / float(a + b)
+    z = F.abs(F.col("n1") / a - F.col("n0") / b) / F.sqrt(share * (1.0 - share) * (1 / a + 1 / b) + 1e-12)
+    best = sums.where(F.col("n0") + F.col("n1") >= least_docs).select("f", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.col("z").desc(), "f").limit(most)
     return [r["f"] for r in best.collect()]
 
 
@@ -91,11 +118,12 @@ def _neutral_pairs(place: dict[str, int]) -> Iterator[tuple[list[int], list[int]
             yield sorted(place[f] for f in features(term) if f in place), []
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float = 1e-3, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[dict[int, float]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float = 1e-3, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient descent on the mean logistic
     loss + ridge + penalty * mean squared score change over the swapped pairs."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    row, col = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    row, col = np.repeat(np.arange(len(rows)), lengths), np.fromiter((f for r in rows for f in r), dtype=np.int64)
+    value = np.fromiter((x for r in rows for x in r.values()), dtype=float)
     p_row, p_col, p_sign = [], [], []
     for i, (old, new) in enumerate(pairs):
         for sign, part in ((1.0, set(old) - set(new)), (-1.0, set(new) - set(old))):
@@ -105,12 +133,12 @@ def fit(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int],
     y, w, b = labels.astype(float), np.zeros(n), 0.0
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # classes weigh the same
     v, vb, t = w.copy(), b, 1.0
-    scale = max(1.0, float(np.average(lengths, weights=share)) if len(rows) else 1.0)
+    scale = max(1.0, float(np.average(np.bincount(row, value**2, len(rows)), weights=share)) if len(rows) else 1.0)
     rate = 4.0 / (scale + 1 + 8 * penalty)
     for _ in range(steps):
-        z = np.bincount(row, v[col], len(rows)) + vb
+        z = np.bincount(row, v[col] * value, len(rows)) + vb
         g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.bincount(col, g[row], n) + ridge * v
+        grad = np.bincount(col, g[row] * value, n) + ridge * v
         if len(p_row):
             change = np.bincount(p_row, p_sign * v[p_col], len(pairs)) * (2 * penalty / len(pairs))
             grad += np.bincount(p_col, p_sign * change[p_row], n)
@@ -126,11 +154,11 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         place, weights = self.place, self.weights
-        z = np.array([math.fsum(weights[place[f]] for f in features(t) if f in place) for t in texts], dtype=float) + self.intercept
+        z = np.array([math.fsum(weights[place[f]] * x for f, x in weighted(t).items() if f in place) for t in texts], dtype=float) + self.intercept
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_docs: int = 5, fit_rows: int = 20_000, penalty: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_docs: int = 3, least_z: float = 4.0, fit_rows: int = 20_000, penalty: float = 1.0) -> Model:
     """Fit on docs (doc_id, text) joined with labels (doc_id, label 0/1). Rows of null
     ids or labels don't count; of repeated labels each counts. At most `fit_rows`
     labels are used (those of smallest hash, each class up to half): their ids are
@@ -139,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("of"), "of").limit(fit_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_rows ids and labels
     rows = common.written(docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
-    vocabulary = _chosen(rows, most_features, least_docs)
+    rows = common.written(_without_copies(rows), "labelled")
+    vocabulary = _chosen(rows, most_features, least_docs, least_z)
     identity = [f for terms in IDENTITY_TERMS.values() for t in terms for f in sorted(features(t)) if not f.endswith("*")]
     place = {f: i for i, f in enumerate(dict.fromkeys([*vocabulary, *identity]))}
     shared = rows.sparkSession.sparkContext.broadcast(place)
@@ -149,19 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
         for b in batches:
             own, old, new = [], [], []
             for text in b.column(0).to_pylist():
-                own.append(sorted(at[f] for f in features(text) if f in at))
+                own.append({at[f]: x for f, x in weighted(text).items() if f in at})
                 swaps = list(_swapped(text, at))[:200]
                 old.append([x for x, _ in swaps]), new.append([x for _, x in swaps])
             deep = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column(1), pa.array(old, deep), pa.array(new, deep)], names=["own", "label", "old", "new"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(o.items()) for o in own], pa.map_(pa.int32(), pa.float64())), b.column(1), pa.array(old, deep), pa.array(new, deep)], names=["own", "label", "old", "new"])
 
-    sample = rows.select("text", "label").mapInArrow(reduce, "own array<int>, label int, old array<array<int>>, new array<array<int>>").collect()
+    sample = rows.select("text", "label").mapInArrow(reduce, "own map<int,double>, label int, old array<array<int>>, new array<array<int>>").collect()
     pairs = [(list(o), list(n)) for r in sample for o, n in zip(r["old"], r["new"])] + list(_neutral_pairs(place))
     y = np.array([r["label"] for r in sample], dtype=int)
     if not len(y) or y.min() == y.max():  # one class only: its rate for all
         rate = float(y.mean()) if len(y) else 0.0
         return Model({}, np.zeros(0), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
-    weights, intercept = fit([list(r["own"]) for r in sample], y, pairs, len(place), penalty=penalty)
+    weights, intercept = fit([r["own"] for r in sample], y, pairs, len(place), penalty=penalty)
     return Model(place, weights, intercept)
 
 

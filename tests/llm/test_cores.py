@@ -135,7 +135,7 @@ def test_counterfactual_penalty_levels_identity_terms():
     rows, labels = [], []
     for i in range(400):  # feature 0 is toxic; 1 is a term that mostly goes with it, 2 its counterpart
         bad = i % 2
-        rows.append(sorted({3 + int(rng.integers(0, 20))} | ({0} if bad else set()) | ({1} if rng.random() < (0.6 if bad else 0.05) else {2} if rng.random() < 0.2 else set())))
+        rows.append(dict.fromkeys({3 + int(rng.integers(0, 20))} | ({0} if bad else set()) | ({1} if rng.random() < (0.6 if bad else 0.05) else {2} if rng.random() < 0.2 else set()), 1.0))
         labels.append(bad)
     pairs = [([1], [2]), ([1], []), ([2], [])]
     free, _ = toxicity.fit(rows, np.array(labels), pairs, 23, penalty=0.0)
