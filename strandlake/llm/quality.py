@@ -3,10 +3,11 @@
 Statistics of a whole text (lengths, shares of character classes, repeats) are
 standardised and mapped to cosines of random projections, whose inner products
 approximate a Gaussian kernel. Ridge weights solve the normal equations, which are
-sums over rows: each task sums its own rows, and the driver adds at most `tasks`
-matrices. Scores are calibrated by isotonic regression (pool adjacent violators) on
-counts in fixed bins of labelled rows held out of the ridge fit. So neither step
-brings rows to the driver, and no sample is needed.
+sums over rows: each task sums its own rows for each of five folds, and the driver
+adds at most `tasks` sets of matrices. Weights without a fold follow by subtraction;
+they choose the ridge, and give the scores on which isotonic regression (pool adjacent
+violators, on counts in fixed bins) calibrates: each row is scored by weights that
+haven't seen it. So no step brings rows to the driver, and no sample is needed.
 """
 
 from __future__ import annotations
@@ -101,12 +102,12 @@ class Model:
         return np.clip(self.levels[self.bins(raw)] * (1 - 2e-3) + 2e-3 * place, 0, 1)
 
 
-def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1e-3, bandwidth: float = 6.0, tasks: int = 16, n_bins: int = 512, seed: int = 11) -> Model:
-    """Fit on with_statistics() of documents joined with labels (doc_id, label 0/1): a fifth of
-    the rows (by a hash of the id) calibrates, the rest gives the normal equations.
-    Null ids and labels don't count. Without labelled rows every score is 0.5."""
+def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridges: tuple = (1e-4, 1e-3, 1e-2, 1e-1, 1.0), bandwidth: float = 6.0, tasks: int = 8, n_bins: int = 512, folds: int = 5, seed: int = 11) -> Model:
+    """Fit on with_statistics() of documents joined with labels (doc_id, label 0/1).
+    Folds go by a hash of the id. Null ids and labels don't count. Without labelled rows
+    every score is 0.5."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
-    rows = stats.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).cast("int")).cast("int"))
+    rows = stats.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * F.pmod(F.xxhash64("doc_id"), F.lit(folds))).cast("int"))
     data = common.written(rows.select("part", "x"), "training")
     d = len(STATISTICS)
     moments = data.select(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
@@ -121,32 +122,46 @@ def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridge: float
     width = features + d + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, a = shared.value, np.zeros((width, width + 1))
+        m, a = shared.value, np.zeros((folds, width, width + 1))
+        squares = np.zeros(folds)
         for b in batches:
             if b.num_rows:
-                z = m.cosines(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
-                a += z.T @ np.hstack([z, (b.column(0).to_numpy() % 2)[:, None].astype(float)])
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["a"])
-
-    parts = data.where("part < 2").repartition(tasks).mapInArrow(sums, "a binary").collect()
-    total = np.sum([np.frombuffer(r["a"]).reshape(width, width + 1) for r in parts], axis=0)
-    n = max(1.0, total[width - 1, width - 1])
-    penalty = np.full(width, ridge * n)
-    penalty[-1] = 1e-9 * n + 1e-9
-    model.weights = np.linalg.solve(total[:, :width] + np.diag(penalty), total[:, width])
-    fitted = data.sparkSession.sparkContext.broadcast(model)
+                z, part = m.cosines(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)), b.column(0).to_numpy()
+                for k in range(folds):
+                    own = part // 2 == k
+                    y = (part[own] % 2).astype(float)
+                    a[k] += z[own].T @ np.hstack([z[own], y[:, None]])
+                    squares[k] += (y**2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([squares.tobytes()], pa.binary())], names=["a", "squares"])
+
+    parts = data.repartition(tasks).mapInArrow(sums, "a binary, squares binary").collect()
+    by_fold = np.sum([np.frombuffer(r["a"]).reshape(folds, width, width + 1) for r in parts], axis=0)
+    squares = np.sum([np.frombuffer(r["squares"]) for r in parts], axis=0)
+    total = by_fold.sum(0)
+
+    def solved(a: np.ndarray, ridge: float) -> np.ndarray:
+        penalty = np.full(width, ridge * max(1.0, a[width - 1, width - 1]))
+        penalty[-1] = 1e-9 * penalty[-1] + 1e-9
+        return np.linalg.solve(a[:, :width] + np.diag(penalty), a[:, width])
+
+    # Squared errors of a fold under weights without it, from the fold's sums alone.
+    outside = {r: [solved(total - a, r) for a in by_fold] for r in ridges}
+    error = lambda r: sum(w @ a[:, :width] @ w - 2 * w @ a[:, width] + y for w, a, y in zip(outside[r], by_fold, squares))
+    best = min(ridges, key=error)
+    model.weights = solved(total, best)
+    fitted = data.sparkSession.sparkContext.broadcast((model, np.array(outside[best])))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, count = fitted.value, np.zeros((n_bins, 2), dtype=np.int64)
+        (m, weights), count = fitted.value, np.zeros((n_bins, 2), dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                at = m.bins(m.raw(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)))
-                np.add.at(count, (at, b.column(0).to_numpy() % 2), 1)
+                part = b.column(0).to_numpy()
+                z = m.cosines(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
+                np.add.at(count, (m.bins((z * weights[part // 2]).sum(1)), part % 2), 1)
         used = np.nonzero(count.sum(1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(count[used, 0]), pa.array(count[used, 1])], names=["bin", "n0", "n1"])
 
-    held = data.where("part >= 2")
-    seen = (held if held.limit(1).count() else data).mapInArrow(binned, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
+    seen = data.mapInArrow(binned, "bin long, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
     counts = np.zeros((n_bins, 2))
     for r in seen:
         counts[r["bin"]] = r["n0"], r["n1"]
