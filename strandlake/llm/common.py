@@ -33,12 +33,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that Python gets at once, where this module runs the job.
+BATCH_ROWS = 2000
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends
-    here, and a lost executor costs no more than the tasks that read the table."""
+    here, and a lost executor costs no more than the tasks that read the table. While
+    it is written, Arrow batches have at most BATCH_ROWS rows, as texts may be long."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, key = new_path(spark, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
