@@ -40,7 +40,8 @@ IDENTITY_TERMS = {
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
 PREFIXES = (3, 4, 5)
-SHARE = 0.01
+#: One word in 400.
+SHARE = 0.0025
 
 
 def features(text: str | None) -> set[str]:
@@ -118,7 +119,7 @@ def _neutral_pairs(place: dict[str, int]) -> Iterator[tuple[list[int], list[int]
             yield sorted(place[f] for f in features(term) if f in place), []
 
 
-def fit(rows: list[dict[int, float]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float = 1e-3, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[dict[int, float]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float = 1e-4, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient descent on the mean logistic
     loss + ridge + penalty * mean squared score change over the swapped pairs."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
