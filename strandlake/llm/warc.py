@@ -140,8 +140,24 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the files that the manifest names, a task per few files."""
+def members(data: bytes, step: int = 8192) -> Iterator[bytes]:
+    """The decompressed gzip members of a file, a few kilobytes fed at a time."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("an archive ends within a record")
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        yield b"".join(parts)
+
+
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
+    """The records of the files that the manifest names, a task per few files. Digests
+    are checked in any case; payloads are returned if asked for, else null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
@@ -154,13 +170,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    data, rows, size, member = f.read(), [], 0, None
-                while data:
-                    member = zlib.decompressobj(31)
-                    for row in parse(member.decompress(data)):
-                        rows.append(row)
-                        size += len(row[6] or b"") + 200
-                    data = member.unused_data
+                    data, rows, size = f.read(), [], 0
+                for member in members(data):
+                    for row in parse(member):
+                        rows.append(row if with_payload else (*row[:6], None))
+                        size += len(rows[-1][6] or b"") + 200
                     if size > 8 << 20:
                         yield batch_of(rows)
                         rows, size = [], 0
@@ -175,4 +189,4 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives in the shared folder and read back."""
     folder = common.new_path(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
