@@ -18,7 +18,7 @@ def longest_needed(total_length: int, alphabet_size: int = 4) -> int:
 
 
 def _present(sequences: DataFrame, q: int, alphabet: str, both_strands: bool) -> DataFrame:
-    rows = qgram_values(sequences, q, "code", alphabet, both_strands)
+    rows = qgram_values(sequences, q, "code", alphabet, columns=("value", "rc_value") if both_strands else ("value",))
     seen = rows.select(F.col("value").alias("code"))
     if both_strands:
         seen = rows.select(F.explode(F.array("value", "rc_value")).alias("code"))

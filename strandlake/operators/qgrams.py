@@ -38,41 +38,50 @@ def windows_with_wildcards(sequences: DataFrame, q: int) -> DataFrame:
     return w.withColumn("wildcards", F.regexp_count("qgram", F.lit(A.invalid(A.DNA))))
 
 
-def qgram_values(sequences: DataFrame, q: int, kind: str = "hash", alphabet: str = A.DNA, reverse: bool = False, batch_rows: int = 1 << 18) -> DataFrame:
+def qgram_values(sequences: DataFrame, q: int, kind: str = "hash", alphabet: str = A.DNA, reverse: bool = False, columns: tuple[str, ...] | None = None, top_zero_bits: int = 0, batch_chars: int = 1 << 20) -> DataFrame:
     """(seq_id, range_start, pos, value[, rc_value]) of all valid q-grams by arrays.
     kind: `hash` (rolling hash) or `code` (integer code). rc_value is the value of the
-    reverse complement."""
+    reverse complement. `columns` names those that are wanted: others aren't made or
+    moved. top_zero_bits keeps only values whose top bits are zero.
+
+    Sequences of a batch are joined, with an invalid character between two, and every
+    window of the whole text is computed at once; windows with an invalid character go."""
     if kind == "code" and len(alphabet) ** q > 2**63:
         raise ValueError(f"codes of q-grams of length {q} don't fit 63 bits")
     size = len(alphabet)
-    names = ["seq_id", "range_start", "pos", "value", *(["rc_value"] if reverse else [])]
+    names = list(columns or ["seq_id", "range_start", "pos", "value", *(["rc_value"] if reverse else [])])
+
+    def made(ids: list, texts: list[str]) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        r = C.ranks("\n".join(texts), alphabet)
+        bad = r >= size
+        if len(r) < q:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()) for _ in names], names=names)
+        before = np.concatenate([[0], np.cumsum(bad)])
+        at = np.flatnonzero(before[q:] == before[:-q])
+        clean = np.where(bad, 0, r)
+        values = {n: (C.window_hashes(clean, q, alphabet, n == "rc_value").view(np.int64) if kind == "hash" else C.window_codes(clean, q, size, n == "rc_value"))[at] for n in {"value", *names} & {"value", "rc_value"}}
+        if top_zero_bits:
+            few = np.flatnonzero(values["value"].view(np.uint64) >> np.uint64(64 - top_zero_bits) == 0)
+            at, values = at[few], {n: v[few] for n, v in values.items()}
+        if set(names) & {"seq_id", "range_start", "pos"}:
+            of = np.searchsorted(offsets, at, side="right") - 1
+            last_bad = np.maximum.accumulate(np.where(bad, np.arange(len(r)), -1))
+            values |= {"seq_id": np.asarray(ids, dtype=np.int64)[of], "pos": at - offsets[of], "range_start": last_bad[at] + 1 - offsets[of]}
+        return pa.RecordBatch.from_arrays([pa.array(values[n], pa.int64()) for n in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[list[np.ndarray]] = [[] for _ in names]
-            count = 0
-
-            def flush() -> pa.RecordBatch:
-                columns = [np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64) for c in held]
-                for c in held:
-                    c.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
+            ids, texts, held = [], [], 0
             for seq_id, sequence in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = C.ranks(sequence or "", alphabet)
-                for start, end in C.runs(r, size, q):
-                    part = r[start:end]
-                    make = (lambda rc: C.window_hashes(part, q, alphabet, rc).view(np.int64)) if kind == "hash" else (lambda rc: C.window_codes(part, q, size, rc))
-                    values = make(False)
-                    n = len(values)
-                    held[0].append(np.full(n, seq_id)), held[1].append(np.full(n, start)), held[2].append(np.arange(start, start + n)), held[3].append(values)
-                    if reverse:
-                        held[4].append(make(True))
-                    count += n
-                    if count >= batch_rows:
-                        yield flush()
-                        count = 0
-            yield flush()
+                if sequence:
+                    ids.append(seq_id), texts.append(sequence)
+                    held += len(sequence)
+                if held >= batch_chars:
+                    yield made(ids, texts)
+                    ids, texts, held = [], [], 0
+            if texts:
+                yield made(ids, texts)
 
     schema = ", ".join(f"{n} long" for n in names)
     return sequences.select("seq_id", "sequence").mapInArrow(run, schema)

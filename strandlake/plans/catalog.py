@@ -214,7 +214,7 @@ def non_n_range_summary(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(8)} SELECT qgram, count(*) AS n FROM g GROUP BY 1")
 def qgram_counts_k8(spark, sf_dir):
-    n = qgrams.counts(qgrams.qgram_values(V.documents(spark, sf_dir), 8, "code"), "value")
+    n = qgrams.counts(qgrams.qgram_values(V.documents(spark, sf_dir), 8, "code", columns=("value",)), "value")
     return n.select(C.decode_code(F.col("value"), 8).alias("qgram"), "n")
 
 
@@ -224,12 +224,12 @@ def _code_sums(rows: DataFrame, column: str) -> DataFrame:
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 12)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def qgram_codes_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code"), "value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)), "value")
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 12, True)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def qgram_codes_rc_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", reverse=True), "rc_value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("rc_value",)), "rc_value")
 
 
 @query(f"WITH {V.SQL_PARTS}, {V.sql_ranges()}, {V.sql_qgrams(9)} SELECT seq_id, pos, qgram, ({V.sql_code('qgram', 9)})::BIGINT AS code, ({V.sql_code('qgram', 9, True)})::BIGINT AS rc_code, qgram AS decoded FROM g")
@@ -249,7 +249,7 @@ def protein_codes(spark, sf_dir):
 @query(f"WITH {V.SQL_DOCUMENTS}, t AS (SELECT seq_id, regexp_replace(sequence, '[^ACGTUacgtu]', 'A', 'g') AS sequence FROM s), {V.sql_ranges(of='t')}, {V.sql_qgrams(10)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 10)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def wildcard_as_a_qgrams(spark, sf_dir):
     d = V.documents(spark, sf_dir).withColumn("sequence", A.wildcards_as_a(F.col("sequence")))
-    return _code_sums(qgrams.qgram_values(d, 10, "code"), "value")
+    return _code_sums(qgrams.qgram_values(d, 10, "code", columns=("value",)), "value")
 
 
 @query(f"WITH {V.SQL_DOCUMENTS}, w AS (SELECT sequence, unnest(range(0, length(sequence) - 9)) AS i FROM s WHERE length(sequence) >= 10) SELECT (10 - length(replace(substr(sequence, (i + 1)::INTEGER, 10), 'N', '')))::INTEGER AS wildcards, count(*) AS n FROM w GROUP BY 1")
@@ -259,7 +259,7 @@ def windows_with_wildcards(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_hash('qgram', 12)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def rolling_hash_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12), "value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",)), "value")
 
 
 @query(f"WITH {V.SQL_PARTS}, {V.sql_ranges()}, {V.sql_qgrams(8)} SELECT seq_id, pos, ({V.sql_hash('qgram', 8)} & 9223372036854775807::UBIGINT)::BIGINT AS hash, ({V.sql_hash('qgram', 8, True)} & 9223372036854775807::UBIGINT)::BIGINT AS rc_hash FROM g")
@@ -270,7 +270,7 @@ def rolling_hash_columns(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT seq_id, min(least({V.sql_hash('qgram', 12)} & 9223372036854775807::UBIGINT, {V.sql_hash('qgram', 12, True)} & 9223372036854775807::UBIGINT))::BIGINT AS hash FROM g GROUP BY 1")
 def canonical_hash_min(spark, sf_dir):
-    g = qgrams.qgram_values(V.documents(spark, sf_dir), 12, reverse=True)
+    g = qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("seq_id", "value", "rc_value"))
     return g.groupBy("seq_id").agg(F.min(C.canonical(F.col("value"), F.col("rc_value"))).alias("hash"))
 
 
@@ -281,18 +281,18 @@ def constant_distance_qgrams(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(DISTINCT qgram) AS distinct_qgrams, count(*) AS qgrams FROM g")
 def distinct_qgrams(spark, sf_dir):
-    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code").agg(F.count_distinct("value").alias("distinct_qgrams"), F.count("*").alias("qgrams"))
+    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)).agg(F.count_distinct("value").alias("distinct_qgrams"), F.count("*").alias("qgrams"))
 
 
 @query()
 def approx_distinct_qgrams(spark, sf_dir):
-    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code").agg(F.approx_count_distinct("value").alias("distinct_qgrams"))
+    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)).agg(F.approx_count_distinct("value").alias("distinct_qgrams"))
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(14)}, {V.SQL_BENCHMARK}, {V.sql_ranges('x', 'b')}, {V.sql_qgrams(14, 'h', 'x')} SELECT qgram FROM g INTERSECT SELECT qgram FROM h")
 def shared_qgrams(spark, sf_dir):
     """q-grams of both documents and benchmark."""
-    d, b = (qgrams.qgram_values(t(spark, sf_dir), 14, "code").select("value") for t in (V.documents, V.benchmark))
+    d, b = (qgrams.qgram_values(t(spark, sf_dir), 14, "code", columns=("value",)) for t in (V.documents, V.benchmark))
     return d.intersect(b).select(C.decode_code(F.col("value"), 14).alias("qgram"))
 
 
@@ -317,7 +317,7 @@ _S, _R = 2, 16
 
 
 def _slots(spark, sf_dir):
-    return sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12), _S, _R)
+    return sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=_S), _S, _R)
 
 
 _SLOTS = f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)} AS h FROM g), t AS (SELECT (h & {(1 << _R) - 1}::UBIGINT)::BIGINT AS slot, count(*) AS n FROM h WHERE h >> {64 - _S} = 0 GROUP BY 1)"
@@ -326,7 +326,7 @@ _SLOTS = f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)}
 @query(f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)} AS h FROM g), t AS (SELECT (h & {(1 << 22) - 1}::UBIGINT)::BIGINT AS slot, count(*) AS n FROM h WHERE h >> 62 = 0 GROUP BY 1) SELECT round(-ln(({1 << 22} - count(*)) / {1 << 22}::DOUBLE) * {1 << 24}::DOUBLE, 3) AS f0 FROM t")
 def sketch_f0(spark, sf_dir):
     """Flagship: estimated number of distinct q-grams of all documents."""
-    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12), 2, 22)
+    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=2), 2, 22)
     return sketch.f0(s, 2, 22).select(F.round("f0", 3).alias("f0"))
 
 
@@ -337,21 +337,21 @@ def sketch_slot_histogram(spark, sf_dir):
 
 @query()
 def sketch_moments(spark, sf_dir):
-    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12), 2, 22)
+    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=2), 2, 22)
     return sketch.moments_table(s, 2, 22)
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(32)} SELECT count(*) AS f1, (SELECT count(*) FROM s) AS sequences_number FROM g")
 def sketch_f1(spark, sf_dir):
     d = V.documents(spark, sf_dir)
-    return qgrams.qgram_values(d, 32).agg(F.count("*").alias("f1")).crossJoin(d.agg(F.count("*").alias("sequences_number")))
+    return qgrams.qgram_values(d, 32, columns=("value",)).agg(F.count("*").alias("f1")).crossJoin(d.agg(F.count("*").alias("sequences_number")))
 
 
 @query(f"{_SLOTS} SELECT slot, n FROM t")
 def sketch_merged_parts(spark, sf_dir):
     """Sketches of two halves of the table as one."""
     d = V.documents(spark, sf_dir)
-    halves = [sketch.slots(qgrams.qgram_values(d.where(F.col("seq_id") % 2 == i), 12), _S, _R) for i in (0, 1)]
+    halves = [sketch.slots(qgrams.qgram_values(d.where(F.col("seq_id") % 2 == i), 12, columns=("value",), top_zero_bits=_S), _S, _R) for i in (0, 1)]
     return sketch.merged(*halves)
 
 

@@ -23,7 +23,7 @@ def fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def slot_stream(sequences: DataFrame, q: int = 32, s: int = 7, r: int = 27) -> DataFrame:
     """(slot, n) over all sequences so far, of a stream or a table."""
-    return slots(qgram_values(sequences, q), s, r)
+    return slots(qgram_values(sequences, q, columns=("value",), top_zero_bits=s), s, r)
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
