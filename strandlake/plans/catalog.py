@@ -232,9 +232,9 @@ def qgram_codes_rc_sum(spark, sf_dir):
     return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("rc_value",)), "rc_value")
 
 
-@query(f"WITH {V.SQL_PARTS}, {V.sql_ranges()}, {V.sql_qgrams(9)} SELECT seq_id, pos, qgram, ({V.sql_code('qgram', 9)})::BIGINT AS code, ({V.sql_code('qgram', 9, True)})::BIGINT AS rc_code, qgram AS decoded FROM g")
+@query(f"WITH {V.SQL_BENCHMARK}, s AS (SELECT * FROM b), {V.sql_ranges()}, {V.sql_qgrams(9)} SELECT seq_id, pos, qgram, ({V.sql_code('qgram', 9)})::BIGINT AS code, ({V.sql_code('qgram', 9, True)})::BIGINT AS rc_code, qgram AS decoded FROM g")
 def qgram_code_columns(spark, sf_dir):
-    g = qgrams.qgram_rows(V.parts(spark, sf_dir), 9)
+    g = qgrams.qgram_rows(V.benchmark(spark, sf_dir), 9)
     g = g.select("seq_id", F.col("pos").cast("long").alias("pos"), "qgram", C.code(F.col("qgram")).alias("code"), C.reverse_code(F.col("qgram")).alias("rc_code"))
     return g.withColumn("decoded", C.decode_code(F.col("code"), 9))
 
@@ -262,9 +262,9 @@ def rolling_hash_sum(spark, sf_dir):
     return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",)), "value")
 
 
-@query(f"WITH {V.SQL_PARTS}, {V.sql_ranges()}, {V.sql_qgrams(8)} SELECT seq_id, pos, ({V.sql_hash('qgram', 8)} & 9223372036854775807::UBIGINT)::BIGINT AS hash, ({V.sql_hash('qgram', 8, True)} & 9223372036854775807::UBIGINT)::BIGINT AS rc_hash FROM g")
+@query(f"WITH {V.SQL_BENCHMARK}, s AS (SELECT * FROM b), {V.sql_ranges()}, {V.sql_qgrams(8)} SELECT seq_id, pos, ({V.sql_hash('qgram', 8)} & 9223372036854775807::UBIGINT)::BIGINT AS hash, ({V.sql_hash('qgram', 8, True)} & 9223372036854775807::UBIGINT)::BIGINT AS rc_hash FROM g")
 def rolling_hash_columns(spark, sf_dir):
-    g = qgrams.qgram_rows(V.parts(spark, sf_dir), 8)
+    g = qgrams.qgram_rows(V.benchmark(spark, sf_dir), 8)
     return g.select("seq_id", F.col("pos").cast("long").alias("pos"), C.masked(C.hash_qgram(F.col("qgram"), 8), 63).alias("hash"), C.masked(C.hash_qgram(A.reverse_complement(F.col("qgram")), 8), 63).alias("rc_hash"))
 
 
@@ -417,7 +417,7 @@ def minimizer_density(spark, sf_dir):
     return minimizers.density(_minimizers(spark, sf_dir), ranges.ranges(V.documents(spark, sf_dir)), 12)
 
 
-@query(f"""WITH {V.SQL_PARTS}, {V.sql_ranges()}, {V.sql_qgrams(8)},
+@query(f"""WITH {V.SQL_BENCHMARK}, s AS (SELECT * FROM b), {V.sql_ranges()}, {V.sql_qgrams(8)},
 v AS (SELECT seq_id, range_start, pos, ({V.sql_code('qgram', 8)})::BIGINT AS f, ({V.sql_code('qgram', 8, True)})::BIGINT AS r FROM g),
 c AS (SELECT seq_id, range_start, pos, least(f, r) AS h, CASE WHEN r < f THEN 1 ELSE 0 END AS strand, f = r AS same FROM v),
 {_minimizer_sql('h', 5, 'c')},
@@ -425,7 +425,7 @@ x AS (SELECT m.hash, m.seq_id, m.pos, c.strand FROM m JOIN c ON m.seq_id = c.seq
       UNION SELECT h, seq_id, pos, unnest([0, 1]) FROM c WHERE same)
 SELECT DISTINCT x.hash, x.seq_id * 2 + x.strand AS seq_id, CASE WHEN strand = 1 THEN length(sequence) - x.pos - 8 ELSE x.pos END::BIGINT AS pos FROM x JOIN s ON x.seq_id = s.seq_id""")
 def canonical_minimizers(spark, sf_dir):
-    p = V.parts(spark, sf_dir)
+    p = V.benchmark(spark, sf_dir)
     g = qgrams.qgram_values(p, 8, "code", reverse=True)
     return minimizers.canonical_minimizers(g, 5, p.select("seq_id", F.length("sequence").cast("long").alias("length")), 8)
 
