@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the scan has fewer parts than there are cores (a
+    small table in one file); larger tables stay as they are scanned, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_dna(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z\n]", ""), LETTERS, BASES)
 
