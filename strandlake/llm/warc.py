@@ -79,10 +79,11 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
     manifest. A null html is empty; a null id gets no revisits; of repeated rows of
     one id and payload the first is the response and the rest revisit it."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    facts = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= revisit_from)).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    facts = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= revisit_from)).select("page_id", "digest")
     groups = facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "refers_to")
     links = facts.join(groups, F.col("digest") == F.col("of")).select("page_id", "digest", "refers_to").distinct()
-    rows = pages.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(
+    rows = pages.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(
         links.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"))
     )
 
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store.create_dir(base, recursive=True)
-        open_file, name, rolled, known, known_of, done = None, "", 0, {}, None, []
+        open_file, name, rolled, link, linked, origin, done = None, "", 0, None, None, False, []
 
         def close() -> None:
             out, seen, sha, first, last, n = open_file
@@ -104,20 +105,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
 
         for batch in batches:
             for page_id, url, html, digest, refers, kind in zip(*(batch.column(i) for i in range(6))):
-                page_id, kind = page_id.as_py(), kind.as_py()
-                if known_of != page_id or page_id is None:
-                    known, known_of = {}, page_id
+                page_id, kind, digest = page_id.as_py(), kind.as_py(), digest.as_py()
                 if kind == 0:
-                    known[digest.as_py()] = refers.as_py()
+                    link, linked = refers.as_py(), (page_id, digest)
+                    origin = link == page_id  # the next row is the response that the others revisit
                     continue
-                payload = html.as_py().encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                to = known.get(digest)
-                if to == page_id and to is not None:
-                    known[digest] = -1 - to  # the response is written; what follows revisits it
-                    to = None
-                elif to is not None and to == -1 - page_id:
-                    to = page_id
+                to = link if linked == (page_id, digest) and not origin else None
+                origin, payload = False, html.as_py().encode()
                 if open_file is None:
                     name = f"part-{part:06d}-{rolled:05d}.warc.gz"
                     open_file, rolled = [store.open_output_stream(f"{base}/.{name}.{attempt}", compression=None), 0, hashlib.sha256(), page_id, page_id, 0], rolled + 1
@@ -135,7 +129,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
 
     spark = pages.sparkSession
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // per_task + 1))
-    manifest = rows.repartitionByRange(tasks, "page_id", F.xxhash64("url", "html")).sortWithinPartitions("page_id", "kind", "url", "html").mapInArrow(write, _MANIFEST)
+    # A link and all rows of its id and payload have one key, so no boundary parts them.
+    # Rows without an id have no link: they are dealt by url as well.
+    key = ("page_id", "digest", F.when(F.col("page_id").isNull(), F.xxhash64("url")))
+    manifest = rows.repartitionByRange(tasks, *key).sortWithinPartitions("page_id", "digest", "kind", "url").mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 

@@ -247,6 +247,23 @@ def test_archives_round_trip(spark, roll):
     assert sorted(r["sha256"] for r in second.collect()) == sorted(r["sha256"] for r in manifest.collect())
 
 
+def test_links_and_their_pages_are_never_parted(spark):
+    rows = [(i // 2 if i % 10 == 1 else i, f"http://x/{i}", "p" * 100) for i in range(2000)] + [(None, f"n{i}", "p" * 100) for i in range(500)]
+    folder, key = common.new_path(spark, "warc-test"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64")
+        manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, per_task=10)
+        got = warc.read_archives(spark, folder, with_payload=False).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert manifest.count() > 40 and len(got) == len(rows)
+    assert manifest.where("first_id IS NULL AND last_id IS NULL").count() > 4
+    assert all((r["record_type"], r["refers_to"]) == ("response", None) for r in got if r["page_id"] is None)
+    full = [r["page_id"] for r in got if r["page_id"] is not None and r["record_type"] == "response"]
+    assert full == [0] and all(r["refers_to"] == 0 for r in got if r["record_type"] == "revisit")
+
+
 def test_classifiers_learn_and_take_odd_texts(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
