@@ -246,6 +246,13 @@ def protein_codes(spark, sf_dir):
     return g.withColumn("decoded", C.decode_protein_code(F.col("code"), 3))
 
 
+@query(f"WITH {V.SQL_BENCHMARK_LETTERS}, {V.sql_ranges(inside='[' + A.PROTEIN + ']')}, g AS (SELECT seq_id, start + i AS pos, substr(run, i + 1, 3) AS qgram FROM (SELECT *, unnest(range(0, len - 2))::INTEGER AS i FROM r WHERE len >= 3)) SELECT seq_id, pos::BIGINT AS pos, qgram, ((instr('{A.PROTEIN}', substr(qgram, 1, 1)) - 1) * 400 + (instr('{A.PROTEIN}', substr(qgram, 2, 1)) - 1) * 20 + instr('{A.PROTEIN}', substr(qgram, 3, 1)) - 1)::BIGINT AS code, qgram AS decoded FROM g")
+def benchmark_protein_codes(spark, sf_dir):
+    g = qgrams.qgram_rows(V.benchmark_letters(spark, sf_dir), 3, A.PROTEIN).select("seq_id", F.col("pos").cast("long").alias("pos"), "qgram")
+    g = g.withColumn("code", C.code(F.col("qgram"), A.PROTEIN))
+    return g.withColumn("decoded", C.decode_protein_code(F.col("code"), 3))
+
+
 @query(f"WITH {V.SQL_DOCUMENTS}, t AS (SELECT seq_id, regexp_replace(sequence, '[^ACGTUacgtu]', 'A', 'g') AS sequence FROM s), {V.sql_ranges(of='t')}, {V.sql_qgrams(10)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 10)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def wildcard_as_a_qgrams(spark, sf_dir):
     d = V.documents(spark, sf_dir).withColumn("sequence", A.wildcards_as_a(F.col("sequence")))
@@ -522,6 +529,7 @@ def colinear_pairs(spark, sf_dir):
 # Pairs, edit distances, alignments.
 
 _PAIRS = f"WITH {V.SQL_NATIONS}, p AS (SELECT x.seq_id AS a, y.seq_id AS b, x.sequence AS u, y.sequence AS v FROM s x JOIN s y ON x.seq_id < y.seq_id)"
+_BENCHMARK_PAIRS = f"WITH {V.SQL_BENCHMARK_LETTERS}, p AS (SELECT x.seq_id AS a, y.seq_id AS b, x.sequence AS u, y.sequence AS v FROM s x JOIN s y ON x.seq_id < y.seq_id)"
 
 
 @query(f"{_PAIRS} SELECT a, b FROM p")
@@ -579,6 +587,13 @@ def edit_distance_pairs(spark, sf_dir):
     return edit.distances(p).select("a", "b", "distance")
 
 
+@query(f"{_BENCHMARK_PAIRS} SELECT a, b, levenshtein(u, v)::INTEGER AS distance FROM p")
+def benchmark_edit_distances(spark, sf_dir):
+    n = V.benchmark_letters(spark, sf_dir)
+    p = partition.triangle_pairs(n, "seq_id").join(n.select(F.col("seq_id").alias("a"), F.col("sequence").alias("left")), "a").join(n.select(F.col("seq_id").alias("b"), F.col("sequence").alias("right")), "b")
+    return edit.distances(p).select("a", "b", "distance")
+
+
 @query("WITH p AS (SELECT x.item_id AS a, y.item_id AS b, levenshtein(x.text, y.text) AS d FROM benchmark x JOIN benchmark y ON x.item_id < y.item_id) SELECT a, b, CASE WHEN d <= 60 THEN d ELSE -1 END::INTEGER AS distance FROM p")
 def bounded_edit_distance(spark, sf_dir):
     b = V.benchmark_text(spark, sf_dir)
@@ -594,6 +609,14 @@ def matching_characters(spark, sf_dir):
     return p.select("a", "b", A.hamming(u, v).cast("int").alias("mismatches"), A.common_prefix(u, v).cast("int").alias("prefix"), A.common_suffix(u, v).cast("int").alias("suffix"))
 
 
+@query(f"{_BENCHMARK_PAIRS}, k AS (SELECT *, least(length(u), length(v)) AS n FROM p) SELECT a, b, hamming(left(u, n), left(v, n))::INTEGER AS mismatches, coalesce(list_min(list_filter(range(1, n + 1), lambda i: substr(u, i::INTEGER, 1) <> substr(v, i::INTEGER, 1))) - 1, n)::INTEGER AS prefix, coalesce(list_min(list_filter(range(1, n + 1), lambda i: substr(u, (length(u) - i + 1)::INTEGER, 1) <> substr(v, (length(v) - i + 1)::INTEGER, 1))) - 1, n)::INTEGER AS suffix FROM k")
+def benchmark_matching_characters(spark, sf_dir):
+    n = V.benchmark_letters(spark, sf_dir)
+    p = partition.triangle_pairs(n, "seq_id").join(n.select(F.col("seq_id").alias("a"), F.col("sequence").alias("u")), "a").join(n.select(F.col("seq_id").alias("b"), F.col("sequence").alias("v")), "b")
+    u, v = F.col("u"), F.col("v")
+    return p.select("a", "b", A.hamming(u, v).cast("int").alias("mismatches"), A.common_prefix(u, v).cast("int").alias("prefix"), A.common_suffix(u, v).cast("int").alias("suffix"))
+
+
 _PATTERNS = ["the", "tion", "ing", "and th"]
 
 
@@ -618,7 +641,8 @@ def all_edit_scripts(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir, **options):
-    return align.align_pairs(triangle_pairs(spark, sf_dir), V.nations(spark, sf_dir), **options)
+    b = V.benchmark_letters(spark, sf_dir)
+    return align.align_pairs(partition.triangle_pairs(b, "seq_id"), b, **options)
 
 
 @query()
@@ -648,7 +672,7 @@ def local_alignments_bits(spark, sf_dir):
 
 @query()
 def local_alignments_report(spark, sf_dir):
-    return align.report(_aligned(spark, sf_dir, with_cigar=True), V.nations(spark, sf_dir))
+    return align.report(_aligned(spark, sf_dir, with_cigar=True), V.benchmark_letters(spark, sf_dir))
 
 
 @query()

@@ -39,6 +39,12 @@ def benchmark_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("sequence"))
 
 
+def benchmark_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts as protein sequences: their letters, in upper case."""
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("header"), letters.alias("sequence"))
+
+
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("seq_id"), F.col("n_name").alias("header"), F.upper(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("sequence"))
 
@@ -53,6 +59,7 @@ def _sql_dna(text: str) -> str:
 
 SQL_DOCUMENTS = f"s AS (SELECT doc_id AS seq_id, concat_ws('|', source, doc_id::VARCHAR, lang) AS header, {_sql_dna('text')} AS sequence FROM documents)"
 SQL_BENCHMARK = f"b AS (SELECT item_id AS seq_id, {_sql_dna('text')} AS sequence FROM benchmark)"
+SQL_BENCHMARK_LETTERS = "s AS (SELECT item_id AS seq_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS sequence FROM benchmark)"
 SQL_NATIONS = "s AS (SELECT n_nationkey::BIGINT AS seq_id, n_name AS header, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS sequence FROM nation)"
 SQL_PARTS = f"s AS (SELECT p_partkey AS seq_id, {_sql_dna('p_name')} AS sequence FROM part)"
 
