@@ -15,40 +15,101 @@ def distances(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("left", "right") if most is None else F.levenshtein("left", "right", most))
 
 
-def scripts(a: str, b: str, most: int = 1000) -> tuple[int, list[str]]:
-    """(distance, all best edit scripts as CIGAR strings, sorted; at most `most`)."""
+def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unit edit distances of all prefixes."""
     m, n = len(a), len(b)
-    d = np.zeros((m + 1, n + 1), dtype=int)
-    d[:, 0], d[0] = np.arange(m + 1), np.arange(n + 1)
+    place = np.arange(n + 1, dtype=np.int32)
+    d = np.empty((m + 1, n + 1), dtype=np.int32)
+    d[0] = place
     for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-    found, stack = [], [(m, n, "")]
-    while stack and len(found) < most:
+        now = d[i - 1] + 1
+        np.minimum(now[1:], d[i - 1, :-1] + (b != a[i - 1]), out=now[1:])
+        d[i] = np.minimum.accumulate(now - place) + place
+    return d
+
+
+def script_graph(a: str, b: str) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, number of best edit scripts, i, j, steps): the graph of all of them. A
+    place (i, j), prefixes of a and b, is there if a best script passes it, in order of i
+    and j; steps has bit 1 for D from (i - 1, j), 2 for I from (i, j - 1), 4 for = or X."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
+    d = _table(x, y)
+    rest = _table(x[::-1], y[::-1])[::-1, ::-1]
+    least = int(d[-1, -1])
+    steps = np.zeros(d.shape, dtype=np.int8)
+    steps[1:] |= (d[1:] == d[:-1] + 1).astype(np.int8)
+    steps[:, 1:] |= (d[:, 1:] == d[:, :-1] + 1).astype(np.int8) << 1
+    steps[1:, 1:] |= (d[1:, 1:] == d[:-1, :-1] + (x[:, None] != y)).astype(np.int8) << 2
+    i, j = np.nonzero(d + rest == least)
+    steps = steps[i, j]
+    counts = {(0, 0): 1}
+    for u, v, s in zip(i.tolist(), j.tolist(), steps.tolist()):
+        if s:
+            counts[u, v] = (counts[u - 1, v] if s & 1 else 0) + (counts[u, v - 1] if s & 2 else 0) + (counts[u - 1, v - 1] if s & 4 else 0)
+    return least, counts[len(x), len(y)], i.astype(np.int32), j.astype(np.int32), steps
+
+
+def each_script(a: str, b: str) -> Iterator[str]:
+    """All best edit scripts as CIGAR strings, one at a time."""
+    import itertools
+
+    _, _, us, vs, steps = script_graph(a, b)
+    at = dict(zip(zip(us.tolist(), vs.tolist()), steps.tolist()))
+    stack = [(len(a), len(b), "")]
+    while stack:
         i, j, tail = stack.pop()
         if not i and not j:
-            found.append(tail)
+            yield "".join(f"{len(list(g))}{c}" for c, g in itertools.groupby(tail))
             continue
-        if i and d[i, j] == d[i - 1, j] + 1:
+        s = at[i, j]
+        if s & 1:
             stack.append((i - 1, j, "D" + tail))
-        if j and d[i, j] == d[i, j - 1] + 1:
+        if s & 2:
             stack.append((i, j - 1, "I" + tail))
-        if i and j and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if s & 4:
             stack.append((i - 1, j - 1, ("=" if a[i - 1] == b[j - 1] else "X") + tail))
-    import itertools
 
-    return int(d[m, n]), sorted("".join(f"{len(list(g))}{c}" for c, g in itertools.groupby(s)) for s in found)
+
+def scripts(a: str, b: str) -> tuple[int, list[str]]:
+    """(distance, all best edit scripts as CIGAR strings, sorted). Their number grows
+    exponentially: script_graph() holds those of long pairs."""
+    return script_graph(a, b)[0], sorted(each_script(a, b))
 
 
-def all_scripts(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """pairs (id, left, right) with distance and the array of best scripts."""
+def all_scripts(pairs: DataFrame) -> DataFrame:
+    """pairs (id, left, right) with distance, the exact number of best scripts (in
+    decimal, as it may pass any integer type) and the graph that holds all of them
+    (arrays i, j, steps; see script_graph). Nulls are empty."""
+    names = ["id", "distance", "n_scripts", "i", "j", "steps"]
+    types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [scripts(x, y, most) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["id", "distance", "scripts"])
+        rows, size = [], 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return pairs.select(F.col("id").cast("long").alias("id"), "left", "right").mapInArrow(run, "id long, distance int, scripts array<string>")
+        for b in batches:
+            for key, x, y in zip(*(b.column(k).to_pylist() for k in range(3))):
+                least, n, i, j, steps = script_graph(x or "", y or "")
+                rows.append((key, least, int_text(n), i, j, steps))
+                size += len(i)
+                if size > 1 << 19:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return pairs.select(F.col("id").cast("long").alias("id"), "left", "right").mapInArrow(run, "id long, distance int, n_scripts string, i array<int>, j array<int>, steps array<tinyint>")
+
+
+def int_text(n: int) -> str:
+    """Decimal digits of any integer from 0 on; str() stops at 4,300 of them."""
+    parts, base = [], 10**4000
+    while n >= base:
+        n, part = divmod(n, base)
+        parts.append(f"{part:04000d}")
+    return str(n) + "".join(reversed(parts))
 
 
 def pattern_hits(text: str, pattern: str, most: int) -> int:

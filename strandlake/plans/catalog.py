@@ -635,9 +635,10 @@ def approx_pattern_count(spark, sf_dir):
 
 @query()
 def all_edit_scripts(spark, sf_dir):
-    n = V.nations(spark, sf_dir)
-    p = triangle_pairs(spark, sf_dir).join(n.select(F.col("seq_id").alias("a"), F.col("sequence").alias("left")), "a").join(n.select(F.col("seq_id").alias("b"), F.col("sequence").alias("right")), "b")
-    return edit.all_scripts(p.select((F.col("a") * 1000 + F.col("b")).alias("id"), "left", "right"))
+    n = V.benchmark_letters(spark, sf_dir)
+    p = partition.triangle_pairs(n, "seq_id").join(n.select(F.col("seq_id").alias("a"), F.col("sequence").alias("left")), "a").join(n.select(F.col("seq_id").alias("b"), F.col("sequence").alias("right")), "b")
+    p = p.select("a", "b", (F.shiftleft(F.col("a").cast("long"), 31) + F.col("b")).alias("id"), "left", "right")
+    return edit.all_scripts(p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b"))
 
 
 def _aligned(spark, sf_dir, **options):
