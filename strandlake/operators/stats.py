@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import alphabet as A
+from strandlake.sources.tables import written
 
 
 def length() :
@@ -64,12 +65,17 @@ def in_length_range(sequences: DataFrame, least: int = 0, most: int = 0) -> Data
 
 
 def ranked(sequences: DataFrame, *order) -> DataFrame:
-    """sequences with their 0-based rank, by a range-partitioned sort and an offset
-    for each partition: no task sees all rows."""
-    s = sequences.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    s = s.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    starts = s.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return s.join(F.broadcast(starts.select("_part", "_before")), "_part").withColumn("rank", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
+    """sequences with their 0-based rank, by a range-partitioned sort and an offset for
+    each partition: no task sees all rows. The sorted partitions are written once, each
+    row with its partition and its place there, and counted on that table: a second
+    plan of the sort would sample other bounds. Partitions are few, so offsets are
+    broadcast."""
+    place = F.monotonically_increasing_id()  # partition << 33 | place in the partition
+    s = written(sequences.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "ranked")
+    part = F.shiftright("_place", 33)
+    ends = s.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = ends.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return s.join(F.broadcast(starts), part == F.col("_part")).withColumn("rank", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_before")
 
 
 def by_header(sequences: DataFrame, short: bool = False) -> DataFrame:
