@@ -106,7 +106,9 @@ def decode_code(number: Column, q: int, complement: bool = False) -> Column:
 
 
 def decode_protein_code(number: Column, q: int) -> Column:
-    place = lambda i: F.substr(F.lit(PROTEIN), (F.floor(number / F.lit(len(PROTEIN) ** (q - 1 - i))) % len(PROTEIN) + 1).cast("int"), F.lit(1))
+    """Whole-number division, so that codes of 14 residues come back exactly."""
+    whole = lambda i: F.call_function("div", number, F.lit(len(PROTEIN) ** (q - 1 - i)).cast("long"))
+    place = lambda i: F.substr(F.lit(PROTEIN), (whole(i) % len(PROTEIN) + 1).cast("int"), F.lit(1))
     return F.concat(*[place(i) for i in range(q)])
 
 

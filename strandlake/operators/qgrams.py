@@ -48,28 +48,60 @@ def qgram_values(sequences: DataFrame, q: int, kind: str = "hash", alphabet: str
     window of the whole text is computed at once; windows with an invalid character go."""
     if kind == "code" and len(alphabet) ** q > 2**63:
         raise ValueError(f"codes of q-grams of length {q} don't fit 63 bits")
-    size = len(alphabet)
     names = list(columns or ["seq_id", "range_start", "pos", "value", *(["rc_value"] if reverse else [])])
 
     def made(ids: list, texts: list[str]) -> pa.RecordBatch:
-        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        r = C.ranks("\n".join(texts), alphabet)
-        bad = r >= size
-        if len(r) < q:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()) for _ in names], names=names)
-        before = np.concatenate([[0], np.cumsum(bad)])
-        at = np.flatnonzero(before[q:] == before[:-q])
-        clean = np.where(bad, 0, r)
-        values = {n: (C.window_hashes(clean, q, alphabet, n == "rc_value").view(np.int64) if kind == "hash" else C.window_codes(clean, q, size, n == "rc_value"))[at] for n in {"value", *names} & {"value", "rc_value"}}
+        w = Windows(ids, texts, q, alphabet)
+        at = w.at
+        values = {n: w.values(kind, n == "rc_value") for n in names if n in ("value", "rc_value") or top_zero_bits and n == "value"}
         if top_zero_bits:
-            few = np.flatnonzero(values["value"].view(np.uint64) >> np.uint64(64 - top_zero_bits) == 0)
+            first = values["value"] if "value" in values else w.values(kind)
+            few = np.flatnonzero(first.view(np.uint64) >> np.uint64(64 - top_zero_bits) == 0)
             at, values = at[few], {n: v[few] for n, v in values.items()}
         if set(names) & {"seq_id", "range_start", "pos"}:
-            of = np.searchsorted(offsets, at, side="right") - 1
-            last_bad = np.maximum.accumulate(np.where(bad, np.arange(len(r)), -1))
-            values |= {"seq_id": np.asarray(ids, dtype=np.int64)[of], "pos": at - offsets[of], "range_start": last_bad[at] + 1 - offsets[of]}
+            seq_id, pos, start = w.places(at)
+            values |= {"seq_id": seq_id, "pos": pos, "range_start": start}
         return pa.RecordBatch.from_arrays([pa.array(values[n], pa.int64()) for n in names], names=names)
 
+    return by_batch(sequences, made, ", ".join(f"{n} long" for n in names), batch_chars)
+
+
+class Windows:
+    """The valid q-grams of a batch of sequences, joined with an invalid character
+    between two: `at` are their starts in the joined text."""
+
+    def __init__(self, ids: list, texts: list[str], q: int, alphabet: str):
+        self.ids, self.q, self.alphabet = np.asarray(ids, dtype=np.int64), q, alphabet
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.offsets = np.cumsum(np.concatenate([[0], self.lengths + 1]))[:-1]
+        r = C.ranks("\n".join(texts), alphabet)
+        self.bad = r >= len(alphabet)
+        self.clean = np.where(self.bad, 0, r)
+        before = np.concatenate([[0], np.cumsum(self.bad)])
+        self.at = np.flatnonzero(before[q:] == before[:-q]) if len(r) >= q else np.zeros(0, np.int64)
+
+    def values(self, kind: str, reverse: bool = False) -> np.ndarray:
+        """Rolling hashes (kind `hash`) or integer codes (`code`) of the q-grams."""
+        if not len(self.at):
+            return np.zeros(0, np.int64)
+        if kind == "hash":
+            return C.window_hashes(self.clean, self.q, self.alphabet, reverse).view(np.int64)[self.at]
+        return C.window_codes(self.clean, self.q, len(self.alphabet), reverse)[self.at]
+
+    def texts_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, position, start of the valid run) of joined positions."""
+        of = self.texts_of(at)
+        last_bad = np.maximum.accumulate(np.where(self.bad, np.arange(len(self.bad)), -1))
+        return self.ids[of], at - self.offsets[of], last_bad[at] + 1 - self.offsets[of]
+
+
+def by_batch(sequences: DataFrame, made, schema: str, batch_chars: int = 1 << 20) -> DataFrame:
+    """made(ids, texts) for sequences of about `batch_chars` characters at a time; null
+    and empty ones are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts, held = [], [], 0
@@ -83,7 +115,6 @@ def qgram_values(sequences: DataFrame, q: int, kind: str = "hash", alphabet: str
             if texts:
                 yield made(ids, texts)
 
-    schema = ", ".join(f"{n} long" for n in names)
     return sequences.select("seq_id", "sequence").mapInArrow(run, schema)
 
 

@@ -401,7 +401,7 @@ _MINIMIZERS = f"{_RANGES}, {V.sql_qgrams(12)}, {_minimizer_sql('(' + V.sql_code(
 
 
 def _minimizers(spark, sf_dir):
-    return minimizers.minimizers(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code"), 10)
+    return minimizers.sequence_minimizers(V.spread(V.documents(spark, sf_dir)), 12, 10)
 
 
 @query(f"{_MINIMIZERS} SELECT hash, seq_id, pos FROM m")
@@ -432,9 +432,7 @@ x AS (SELECT m.hash, m.seq_id, m.pos, c.strand FROM m JOIN c ON m.seq_id = c.seq
       UNION SELECT h, seq_id, pos, unnest([0, 1]) FROM c WHERE same)
 SELECT DISTINCT x.hash, x.seq_id * 2 + x.strand AS seq_id, CASE WHEN strand = 1 THEN length(sequence) - x.pos - 8 ELSE x.pos END::BIGINT AS pos FROM x JOIN s ON x.seq_id = s.seq_id""")
 def canonical_minimizers(spark, sf_dir):
-    p = V.benchmark(spark, sf_dir)
-    g = qgrams.qgram_values(p, 8, "code", reverse=True)
-    return minimizers.canonical_minimizers(g, 5, p.select("seq_id", F.length("sequence").cast("long").alias("length")), 8)
+    return minimizers.canonical_minimizers(V.benchmark(spark, sf_dir), 8, 5)
 
 
 _TWO = f"{_RANGES}, {V.sql_qgrams(20)}, {V.SQL_BENCHMARK}, {V.sql_ranges('x', 'b')}, {V.sql_qgrams(20, 'h', 'x')}"
@@ -446,7 +444,7 @@ def _both(spark, sf_dir, q=20):
 
 @query(f"{_TWO}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10, 'h').replace('m_w', 'a_w').replace('m AS', 'a AS', 1).replace('m AS (SELECT DISTINCT', 'a AS (SELECT DISTINCT')}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10)} SELECT a.seq_id AS ref_id, m.seq_id AS query_id, a.pos AS ref_pos, m.pos AS query_pos, a.hash FROM a JOIN m ON a.hash = m.hash")
 def seed_matches(spark, sf_dir):
-    b, d = (minimizers.minimizers(x, 10) for x in _both(spark, sf_dir))
+    b, d = (minimizers.sequence_minimizers(V.spread(t(spark, sf_dir)), 20, 10) for t in (V.benchmark, V.documents))
     return matches.seed_matches(b, d)
 
 
@@ -463,7 +461,7 @@ def maximal_matches(spark, sf_dir):
 
 @query(f"{_MEMS} SELECT * FROM n WHERE length >= 40")
 def extended_minimizer_matches(spark, sf_dir):
-    b, d = (minimizers.minimizers(x, 10) for x in _both(spark, sf_dir))
+    b, d = (minimizers.sequence_minimizers(V.spread(t(spark, sf_dir)), 20, 10) for t in (V.benchmark, V.documents))
     return matches.extended_matches(matches.seed_matches(b, d), V.benchmark(spark, sf_dir), V.documents(spark, sf_dir), 20, 40)
 
 

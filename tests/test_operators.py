@@ -184,6 +184,26 @@ def test_minimizers_equal_a_deque(spark):
             for v, p in simulated_minimizers([C.window_codes(r[a:b], 4).tolist() for a, b in found], [a for a, _ in found], w):
                 want.add((v, i, p))
         assert set(rows(minimizers.minimizers(g, w))) == want
+        found = rows(minimizers.sequence_minimizers(seqs(spark, texts), 4, w))
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_least_in_windows_is_the_leftmost_least():
+    rng = random.Random(8)
+    for window in (1, 2, 3, 5, 8, 13):
+        values = np.array([rng.randint(0, 5) for _ in range(60)])
+        starts = np.sort(np.array([0] + [rng.randint(0, 59) for _ in range(4)]))
+        run_start = starts[np.searchsorted(starts, np.arange(60), side="right") - 1]
+        got = minimizers.least_in_windows(values, run_start, window)
+        for i in range(60):
+            low = max(run_start[i], i - window + 1)
+            assert got[i] == low + int(np.argmin(values[low : i + 1]))
+
+
+def test_protein_codes_of_14_residues_come_back(spark):
+    words = ["".join(random.Random(i).choice(A.PROTEIN) for _ in range(14)) for i in range(20)] + [A.PROTEIN[-1] * 14]
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in d.select(C.decode_protein_code(C.code(F.col("w"), A.PROTEIN), 14)).collect()] == words
 
 
 # Statistics and partitions.
@@ -196,6 +216,17 @@ def test_ranked_is_a_global_order(spark):
     assert [g[0] for g in got] == list(range(500)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
 
 
+def test_ranks_of_many_partitions_are_whole(spark):
+    """A second plan of a sampled range sort has other bounds: ranks must not depend on it."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 300_000
+        d = spark.range(n).select((F.col("id") * 7919 % 300_007).alias("k"))
+        assert [r["rank"] for r in stats.ranked(d, "k").orderBy("k").select("rank").collect()] == list(range(n))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @given(st.lists(st.integers(0, 30), max_size=40), st.integers(1, 60))
 @settings(max_examples=15, deadline=None)
 def test_greedy_parts_equal_a_fold(spark, lengths, limit):
