@@ -14,6 +14,7 @@ spreads evenly, and each task holds one window of piece records at a time.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,38 +30,54 @@ from . import common
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
 _encoders: dict = {}
+_BLANK_RUN = 10_000
+_BLANKS = re.compile(rf"\s{{{_BLANK_RUN}}}")
 
 
-def encoder(path: str):
-    """A function from a text to its ids. A .tiktoken file of ranks gives the same
-    ids as the .json file of the same vocabulary, about four times as fast; strings
-    of special tokens are ordinary text in either."""
-    if path not in _encoders:
+def encoder(path: str, added: str | None = None):
+    """A function from a text to its ids, without special tokens put around it. A
+    .tiktoken file of ranks gives the same ids as the .json file of the same vocabulary,
+    about four times as fast; `added` is that .json file, whose added tokens are
+    recognised wherever they stand in a text, as its own library does. Texts with a very
+    long run of blanks go to that library, as the other one's pattern recurses on each."""
+    if (path, added) not in _encoders:
         if path.endswith(".tiktoken"):
             import base64
+            import json
 
             import public_tokenizers
             import tiktoken
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = made.encode_ordinary
+            special = {}
+            if added:
+                with open(added, encoding="utf-8") as f:
+                    special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            slow = encoder(added) if added else None
+
+            def encode(text: str) -> list[int]:
+                if slow and len(text) >= _BLANK_RUN and _BLANKS.search(text):
+                    return slow(text)
+                return made.encode(text, allowed_special="all") if any(t in text for t in special) else made.encode_ordinary(text)
+
+            _encoders[path, added] = encode
         else:
             from tokenizers import Tokenizer
 
-            made = Tokenizer.from_file(path)
-            made.encode_special_tokens = True
-            _encoders[path] = lambda text: made.encode(text, add_special_tokens=False).ids
-    return _encoders[path]
+            whole = Tokenizer.from_file(path)
+            _encoders[path, added] = lambda text: whole.encode(text, add_special_tokens=False).ids
+    return _encoders[path, added]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, closing_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, closing_id: int = 1, added: str | None = None) -> DataFrame:
     """A row per piece: each document's ids and the closing id, cut every
-    `capacity` ids. A null text is empty: one piece with the closing id."""
+    `capacity` ids. A null text is empty: one piece with the closing id. `path` and
+    `added` are encoder()'s. A text is encoded whole, one at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -158,15 +175,18 @@ def pack(piece_rows: DataFrame, capacity: int = 2048, window: int = 4096, per_ta
     return piece_rows.repartition(tasks, key[0]).sortWithinPartitions(*key).mapInArrow(run, _PACKED)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
-    """Pack documents (doc_id, text; other columns are ignored) into sequences of
-    at most `capacity` ids. Empty tables give no rows; null and empty texts give a
-    piece with the closing id; repeated rows are packed each; a null id stays null."""
-    return pack(common.written(pieces(docs, path, capacity), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, added: str | None = None) -> DataFrame:
+    """Pack documents (doc_id, text) into sequences of at most `capacity` ids.
+
+    Columns other than these two are ignored, whatever their names. Empty tables give no
+    rows; null and empty texts give a piece with the closing id; a very long text gives a
+    piece for each `capacity` ids, which are dealt out like any others; repeated rows are
+    packed each; a null id stays null."""
+    return pack(common.written(pieces(docs, path, capacity, added=added), "pieces"), capacity)
 
 
 def op9_min_bin_slack_packing(spark, sf_dir: str) -> DataFrame:
     """Packing of all documents with the 50k byte-level BPE vocabulary."""
     import public_tokenizers
 
-    return pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=public_tokenizers.path("byte_bpe_50k.json"))
