@@ -1,8 +1,10 @@
 """Language identification of mixed text.
 
-Words (runs of letters) are scored for each learned language by naive Bayes over
-character n-grams. The Unicode script of a word's letters narrows the languages to
-those whose training words use that script. A Viterbi pass over a text's words,
+Words are runs of letters (Unicode category L) of one script: a run is cut where its
+script changes, and every 40 letters, so that text without blanks is read whole, a
+piece at a time. They are scored for each learned language by naive Bayes over
+character n-grams. A word's script narrows the languages to those whose training words
+use that script. A Viterbi pass over a text's words,
 with a penalty for each switch of language, labels spans; the language with the most
 letters is the text's. The pass advances all texts of a batch by one word at a time,
 so its cost is vector work and not a Python step a word.
@@ -11,8 +13,11 @@ so its cost is vector work and not a Python step a word.
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_WORDS = re.compile(r"[^\W\d_]+")
 # First code points of script ranges, and their names.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "other"),
            (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
@@ -29,16 +33,43 @@ SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
 _STARTS = [a for a, _ in SCRIPTS]
 
 
-def script(word: str) -> str:
-    from bisect import bisect_right
+MOST_LETTERS = 40  # of a word; a longer run is several words
+
 
+def script(word: str) -> str:
+    """The script of a word's letters, which are all of one."""
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
+@cache
+def _pattern() -> re.Pattern:
+    """Runs of up to MOST_LETTERS letters of one script, an alternative a script."""
+    letters: dict[str, list[str]] = {}
+    start = None
+    for i, (low, name) in enumerate(SCRIPTS):
+        high = _STARTS[i + 1] if i + 1 < len(SCRIPTS) else sys.maxunicode + 1
+        for c in range(low, high + 1):
+            if c < high and chr(c).isalpha():  # the categories of L
+                start = c if start is None else start
+            elif start is not None:
+                letters.setdefault(name, []).append(f"\\U{start:08x}-\\U{c - 1:08x}")
+                start = None
+    return re.compile("|".join(f"[{''.join(r)}]{{1,{MOST_LETTERS}}}" for r in letters.values()))
+
+
+_PLAIN = re.compile(f"[a-z]{{1,{MOST_LETTERS}}}")  # the same for texts of ASCII alone, faster
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, in lower case."""
+    low = (text or "").lower()
+    return (_PLAIN if low.isascii() else _pattern()).findall(low)
+
+
 def grams(word: str) -> list[str]:
     """Character 1- to 4-grams with word ends, and the word itself."""
-    w = f" {word[:40]} "
-    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [f"={word[:40]}"]
+    w = f" {word} "
+    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [f"={word}"]
 
 
 class Model:
@@ -75,16 +106,16 @@ class Model:
         """For each list of words the index of each word's language."""
         if len(self.cache) > 1_000_000:
             self.cache, self.scores = {}, self.scores[:0]
-        cache = self.cache
-        fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in cache]
+        known = self.cache
+        fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in known]
         if fresh:
             for w in fresh:
-                cache[w] = len(cache)
+                known[w] = len(known)
             self.scores = np.concatenate([self.scores, self.word_scores(fresh)])
         scores = self.scores
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
-        ids = np.fromiter((cache[w] for i in order for w in texts[i]), dtype=np.int64, count=int(lengths.sum()))
+        ids = np.fromiter((known[w] for i in order for w in texts[i]), dtype=np.int64, count=int(lengths.sum()))
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         k = len(self.langs)
         own = np.arange(k)
@@ -116,7 +147,8 @@ class Model:
 
 def train(docs: DataFrame, fit_docs: int = 2000, most_grams: int = 60_000, penalty: float = 6.0) -> Model | None:
     """Fit on docs (doc_id, text, lang): at most `fit_docs` texts of each language
-    (those of smallest hash); of their n-grams the `most_grams` most frequent ones.
+    (those of smallest hash); of their n-grams the `most_grams` most frequent ones, which
+    bounds the model. Null texts and languages don't count; repeated rows count each.
     None without a labelled text."""
     from pyspark.sql import Window
 
@@ -130,7 +162,7 @@ def train(docs: DataFrame, fit_docs: int = 2000, most_grams: int = 60_000, penal
         found: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
-                found[lang].update(_WORDS.findall(text.as_py().lower()))
+                found[lang].update(words_of(text.as_py()))
         keys, langs, counts = [], [], []
         for lang, words in found.items():
             total: Counter = Counter()
@@ -169,9 +201,13 @@ def train(docs: DataFrame, fit_docs: int = 2000, most_grams: int = 60_000, penal
 
 
 def identify(docs: DataFrame, model: Model | None, chunk_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) for each row: spans are (start, words, lang)
-    over the text's runs of letters. `und` and score 0 where a text is null or has no
-    letter. score is the share of letters in spans of the language."""
+    """(doc_id, lang_pred, score, spans) for each row of docs (doc_id, text): spans are
+    (start, words, lang) over words_of() the text. `und` and score 0 where a text is null,
+    empty or without a letter (digits, other numbers and marks aren't letters), and for
+    all rows if nothing was learned (model None). score is the share of letters in spans
+    of the language; of languages with equally many letters the first in the model's
+    order is taken. A very long text is scored whole, and repeated rows each; a null id
+    stays null; columns other than these two are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
@@ -195,7 +231,7 @@ def identify(docs: DataFrame, model: Model | None, chunk_words: int = 1_000_000)
         for b in batches:
             ids, texts, words = [], [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids.append(doc_id), texts.append(_WORDS.findall((text.as_py() or "").lower()))
+                ids.append(doc_id), texts.append(words_of(text.as_py()))
                 words += len(texts[-1])
                 if words >= chunk_words:
                     yield labelled(ids, texts)
