@@ -10,7 +10,8 @@ is charged. So terms of a kind get like weights near zero, and a neutral mention
 a group doesn't raise a score.
 
 The fit runs on the driver over a bounded sample: at most `fit_rows` labelled texts,
-each as its chosen features only. Scoring passes over every whole text once.
+each as its chosen features only (at most `most_features`). Swaps are counted where the
+texts are, for every sentence; equal changes are summed. Scoring passes over every whole text once.
 """
 
 from __future__ import annotations
@@ -98,39 +99,41 @@ def _chosen(train: DataFrame, most: int, least_docs: int, least_z: float) -> lis
     return [r["f"] for r in best.collect()]
 
 
-def _swapped(text: str, place: dict[str, int]) -> Iterator[tuple[list[int], list[int]]]:
-    """For each sentence with an identity term: features of the sentence, and of the
-    same sentence with the term swapped or left out."""
+def swaps(text: str | None, place: dict[str, int]) -> Counter:
+    """The changes of features that swaps in a text's sentences make, with how often each
+    is made: in each sentence with an identity term, the term is swapped for each other
+    term of its kind and left out. A change is the sorted places of features that come,
+    as place + 1, and that go, as -(place + 1); empty where the score can't change."""
+    made: Counter = Counter()
     for sentence in _SENTENCES.split((text or "").lower()):
         words = _WORDS.findall(sentence)
-        for kind, terms in IDENTITY_TERMS.items():
+        for terms in IDENTITY_TERMS.values():
             for term in set(words).intersection(terms):
-                old = sorted(place[f] for f in features(sentence) if f in place)
+                old = {place[f] for f in features(sentence) if f in place}
                 for other in [t for t in terms if t != term] + [""]:
-                    new = " ".join(other if w == term else w for w in words)
-                    yield old, sorted(place[f] for f in features(new) if f in place)
+                    new = {place[f] for f in features(" ".join(other if w == term else w for w in words)) if f in place}
+                    made[tuple(sorted([p + 1 for p in new - old] + [-p - 1 for p in old - new]))] += 1
+    return made
 
 
-def _neutral_pairs(place: dict[str, int]) -> Iterator[tuple[list[int], list[int]]]:
+def _neutral_changes(place: dict[str, int]) -> Counter:
     """A bare mention of each identity term against none: keeps the weights of terms
     that no labelled sentence holds near zero too."""
-    for terms in IDENTITY_TERMS.values():
-        for term in terms:
-            yield sorted(place[f] for f in features(term) if f in place), []
+    return Counter(tuple(sorted(-place[f] - 1 for f in features(term) if f in place)) for terms in IDENTITY_TERMS.values() for term in terms)
 
 
-def fit(rows: list[dict[int, float]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, ridge: float = 1e-4, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, changes: dict[tuple[int, ...], int], n: int, ridge: float = 1e-4, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated gradient descent on the mean logistic
-    loss + ridge + penalty * mean squared score change over the swapped pairs."""
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    row, col = np.repeat(np.arange(len(rows)), lengths), np.fromiter((f for r in rows for f in r), dtype=np.int64)
-    value = np.fromiter((x for r in rows for x in r.values()), dtype=float)
-    p_row, p_col, p_sign = [], [], []
-    for i, (old, new) in enumerate(pairs):
-        for sign, part in ((1.0, set(old) - set(new)), (-1.0, set(new) - set(old))):
-            for f in part:
-                p_row.append(i), p_col.append(f), p_sign.append(sign)
-    p_row, p_col, p_sign = np.array(p_row, dtype=np.int64), np.array(p_col, dtype=np.int64), np.array(p_sign)
+    loss + ridge + penalty * mean squared score change over the swaps. rows: (places,
+    values) of each text; changes: those of swaps(), with their counts."""
+    lengths = np.array([len(r[0]) for r in rows], dtype=np.int64)
+    row, col = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)]).astype(np.int64)
+    value = np.concatenate([np.zeros(0), *(r[1] for r in rows)]).astype(float)
+    made = sorted(changes.items())
+    times = np.array([k for _, k in made], dtype=float)
+    p_row = np.repeat(np.arange(len(made)), [len(c) for c, _ in made])
+    signed = np.array([x for c, _ in made for x in c], dtype=np.int64)
+    p_col, p_sign = np.abs(signed) - 1, np.sign(signed).astype(float)
     y, w, b = labels.astype(float), np.zeros(n), 0.0
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))  # classes weigh the same
     v, vb, t = w.copy(), b, 1.0
@@ -141,7 +144,7 @@ def fit(rows: list[dict[int, float]], labels: np.ndarray, pairs: list[tuple[list
         g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         grad = np.bincount(col, g[row] * value, n) + ridge * v
         if len(p_row):
-            change = np.bincount(p_row, p_sign * v[p_col], len(pairs)) * (2 * penalty / len(pairs))
+            change = times * np.bincount(p_row, p_sign * v[p_col], len(made)) * (2 * penalty / times.sum())
             grad += np.bincount(p_col, p_sign * change[p_row], n)
         w2, b2, t2 = v - rate * grad, vb - rate * g.sum(), (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -177,27 +180,37 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         for b in batches:
-            own, old, new = [], [], []
-            for text in b.column(0).to_pylist():
-                own.append({at[f]: x for f, x in weighted(text).items() if f in at})
-                swaps = list(_swapped(text, at))[:200]
-                old.append([x for x, _ in swaps]), new.append([x for _, x in swaps])
-            deep = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([list(o.items()) for o in own], pa.map_(pa.int32(), pa.float64())), b.column(1), pa.array(old, deep), pa.array(new, deep)], names=["own", "label", "old", "new"])
-
-    sample = rows.select("text", "label").mapInArrow(reduce, "own map<int,double>, label int, old array<array<int>>, new array<array<int>>").collect()
-    pairs = [(list(o), list(n)) for r in sample for o, n in zip(r["old"], r["new"])] + list(_neutral_pairs(place))
+            places, values = [], []
+            for text in b.column(0):
+                own = [(at[f], x) for f, x in weighted(text.as_py()).items() if f in at]
+                places.append(np.array([p for p, _ in own], "<i4").tobytes()), values.append(np.array([x for _, x in own], "<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), pa.array(values, pa.binary()), b.column(1)], names=["places", "values", "label"])
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        for b in batches:
+            made: Counter = Counter()
+            for text in b.column(0):
+                made.update(swaps(text.as_py(), at))
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, made)), pa.list_(pa.int32())), pa.array(list(made.values()), pa.int64())], names=["change", "n"])
+
+    sample = rows.select("text", "label").mapInArrow(reduce, "places binary, values binary, label int").collect()
+    # Of all swaps in all sentences only the different changes, with their counts, leave the executors.
+    made = rows.select("text").mapInArrow(changed, "change array<int>, n long").groupBy("change").agg(F.sum("n").alias("n")).collect()
+    changes = _neutral_changes(place) + Counter({tuple(r["change"]): r["n"] for r in made})
     y = np.array([r["label"] for r in sample], dtype=int)
     if not len(y) or y.min() == y.max():  # one class only: its rate for all
         rate = float(y.mean()) if len(y) else 0.0
         return Model({}, np.zeros(0), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
-    weights, intercept = fit([r["own"] for r in sample], y, pairs, len(place), penalty=penalty)
+    weights, intercept = fit([(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["values"], "<f8")) for r in sample], y, changes, len(place), penalty=penalty)
     return Model(place, weights, intercept)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) for each row of docs. Null and empty texts get the
-    score of no features; repeated rows are scored each; null ids stay."""
+    """(doc_id, score, predicted) for each row of docs (doc_id, text). Null and empty texts
+    get the score of no features; a very long text is scored whole, one at a time;
+    repeated rows are scored each; null ids stay; columns other than these two are
+    ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
