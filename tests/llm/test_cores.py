@@ -104,12 +104,17 @@ def test_fullest_finds_the_best_sum():
 
 def test_ids_equal_the_tokenizer_files():
     P = pytest.importorskip("public_tokenizers")
-    fast, slow = packing.encoder(P.path("byte_bpe_50k.tiktoken")), packing.encoder(P.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    json_file = P.path("byte_bpe_50k.json")
+    fast, slow, plain = packing.encoder(P.path("byte_bpe_50k.tiktoken"), json_file), packing.encoder(json_file), Tokenizer.from_file(json_file)
     rng = random.Random(5)
-    texts = ["", " ", "a" * 3000, "<|endoftext|>", "naïve café 123 don't\n\n  x", "你好 \U0001f600 x́"]
-    texts += ["".join(rng.choice("ab cd\n\t'sé1!    漢") for _ in range(200)) for _ in range(200)]
+    texts = ["", " ", "a" * 3000, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "<|endoftext", "naïve café 123 don't\n\n  x", "你好 \U0001f600 x́"]
+    texts += ["".join(rng.choice([*"ab cd\n\t'sé1!    漢", "<|endoftext|>"]) for _ in range(200)) for _ in range(200)]
+    texts += ["x" + " " * n + "<|endoftext|> y" for n in (9_999, 10_000, 400_000)] + ["a" * 200_000]
     for t in texts:
-        assert list(fast(t)) == list(slow(t))
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert list(fast(t)) == want and list(slow(t)) == want
 
 
 def test_records_round_trip():
@@ -135,14 +140,31 @@ def test_counterfactual_penalty_levels_identity_terms():
     rows, labels = [], []
     for i in range(400):  # feature 0 is toxic; 1 is a term that mostly goes with it, 2 its counterpart
         bad = i % 2
-        rows.append(dict.fromkeys({3 + int(rng.integers(0, 20))} | ({0} if bad else set()) | ({1} if rng.random() < (0.6 if bad else 0.05) else {2} if rng.random() < 0.2 else set()), 1.0))
+        places = sorted({3 + int(rng.integers(0, 20))} | ({0} if bad else set()) | ({1} if rng.random() < (0.6 if bad else 0.05) else {2} if rng.random() < 0.2 else set()))
+        rows.append((np.array(places), np.ones(len(places))))
         labels.append(bad)
-    pairs = [([1], [2]), ([1], []), ([2], [])]
-    free, _ = toxicity.fit(rows, np.array(labels), pairs, 23, penalty=0.0)
-    held, _ = toxicity.fit(rows, np.array(labels), pairs, 23, penalty=3.0)
+    changes = {(-2, 3): 1, (-2,): 1, (-3,): 1}  # feature 1 for 2, and each left out
+    free, _ = toxicity.fit(rows, np.array(labels), changes, 23, penalty=0.0)
+    held, _ = toxicity.fit(rows, np.array(labels), changes, 23, penalty=3.0)
     assert abs(held[1]) < 0.3 * abs(free[1]) and held[0] > 1
 
 
+def test_swaps_count_every_sentence():
+    place = {f: i for i, f in enumerate(sorted({f for terms in toxicity.IDENTITY_TERMS.values() for t in terms for f in toxicity.features(t)} | {"kind"}))}
+    one, many = toxicity.swaps("A blind man is kind.", place), toxicity.swaps("A blind man is kind. " * 500, place)
+    assert sum(one.values()) == 4 + 7 and many == {c: 500 * n for c, n in one.items()}
+    assert tuple(sorted([-place["blind"] - 1, -place["bli*"] - 1, -place["blin*"] - 1])) in one
+    assert sum(toxicity.swaps("none of them\n", place).values()) == 0 == sum(toxicity.swaps(None, place).values())
+
+
+def test_words_are_pieces_of_one_script():
+    assert language.words_of("² ½ Ⅷ ٣ 12 _") == [] == language.words_of(None)
+    assert language.words_of("aB1c-éжД漢字ひら") == ["ab", "c", "é", "жд", "漢字", "ひら"]
+    assert list(map(len, language.words_of("x" * 95))) == [40, 40, 15] == list(map(len, language.words_of("я" * 95)))
+    for c in map(chr, range(0x3000)):
+        assert bool(language.words_of(c)) == any(x.isalpha() for x in c.lower())
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("abc"), 3)) for _ in range(12)]

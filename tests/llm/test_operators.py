@@ -306,6 +306,8 @@ def test_language_spans(spark):
     assert [s["lang"] for s in out[200]["spans"]] == ["xx", "zz", "yy"] and out[200]["lang_pred"] == "zz" and 0.5 < out[200]["score"] < 0.8
     assert [(s["start"], s["words"]) for s in out[200]["spans"]] == [(0, 25), (25, 60), (85, 9)]
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (201, 202, 203)) and out[204]["lang_pred"] in make
+    tail = docs(spark, [(1, "aeiou" * 8 + "дбг" * 3400, "s", None), (2, "aeiou" * 8, "s", None), (3, "² ½ Ⅷ", "s", None), (2, "aeiou" * 8, "s", None)])
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in language.identify(tail, model).collect()) == [(1, "zz"), (2, "xx"), (2, "xx"), (3, "und")]
     assert language.train(d.where("false")) is None
     assert {r["lang_pred"] for r in language.identify(d, None).collect()} == {"und"}
     assert language.identify(docs(spark, []), model).count() == 0

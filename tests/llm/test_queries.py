@@ -2,14 +2,16 @@
 force or exact properties; and each stage of the pipeline on its own input."""
 
 import hashlib
+import math
 import os
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import common, packing
+from strandlake.llm import common, language, quality, toxicity
 from strandlake.llm import queries as registry
 from tests.llm.test_cores import brute_repeats
 
@@ -55,6 +57,78 @@ def test_learned_queries_score_every_text(spark, docs, number, n, held):
     assert np.mean(right) > 0.85
 
 
+def learning(spark, name, column, n, held):
+    """The rows that a query may learn from."""
+    docs = common.table(spark, DATA, "documents")
+    learn = common.remainder(F.col("doc_id"), n) != held
+    labels = common.table(spark, DATA, "labels").select("doc_id", F.col(column).alias("label")) if column else None
+    return docs.where(learn), labels.where(learn) if column else None
+
+
+def test_op1_scores_follow_plainly_from_its_weights(spark, docs):
+    rows, labels = learning(spark, "op1", "toxic", 5, 0)
+    model = toxicity.train(rows.select("doc_id", "text"), labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op1_counterfactual_toxicity"](spark, DATA).collect()}
+    assert len(model.place) > 50
+    for doc_id, text in docs:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        z = model.intercept
+        for feature, at in model.place.items():
+            times = sum(w.startswith(feature[:-1]) and len(w) >= len(feature) for w in words) if feature.endswith("*") else words.count(feature)
+            z += model.weights[at] * min(1.0, times / max(1.0, len(words) / 400))
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+    terms = [model.weights[model.place[t]] for ts in toxicity.IDENTITY_TERMS.values() for t in ts]
+    assert max(map(abs, terms)) < 0.5 * max(model.weights)
+
+
+def test_op4_scores_follow_plainly_from_its_model(spark, docs):
+    rows, labels = learning(spark, "op4", "quality", 3, 1)
+    m = quality.train(quality.with_statistics(rows), labels)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op4_fourier_quality"](spark, DATA).collect()}
+    known = {r["doc_id"]: r["label"] for r in labels.collect()}
+    z = {}
+    for doc_id, text in docs:
+        x = [max(-8.0, min(8.0, (v - a) / b)) for v, a, b in zip(quality.statistics(text), m.mean, m.spread)]
+        z[doc_id] = [math.cos(sum(p * v for p, v in zip(column, x)) + f) * math.sqrt(2 / len(m.phase)) for column, f in zip(m.projection.T, m.phase)] + x + [1.0]
+    raw = {d: float(np.dot(v, m.weights)) for d, v in z.items()}
+    for d, r in raw.items():
+        share = (r + 0.5) / 2
+        level = m.levels[max(0, min(511, int(share * 512)))]
+        assert got[d] == pytest.approx(max(0.0, min(1.0, level * 0.998 + 0.002 * max(0.0, min(1.0, share)))), abs=1e-6) or abs(share * 512 - round(share * 512)) < 1e-6
+    # The weights solve the normal equations for one of the ridges.
+    a, y = np.array([z[d] for d in known if d in z]), np.array([known[d] for d in known if d in z])
+    gradient = a.T @ (a @ m.weights - y)
+    assert min(np.abs(gradient + r * len(y) * np.r_[m.weights[:-1], 0]).max() for r in (1e-4, 1e-3, 1e-2, 1e-1, 1.0)) < 1e-5 * len(y)
+    assert all(np.diff(m.levels) >= 0)
+
+
+def test_op6_labels_follow_plainly_from_its_table(spark, docs):
+    rows, _ = learning(spark, "op6", None, 4, 2)
+    m = language.train(rows.select("doc_id", "text", "lang"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["n_spans"]) for r in QUERIES["op6_viterbi_language"](spark, DATA).collect()}
+    for doc_id, text in sorted(docs, key=lambda d: len(d[1]))[:120]:
+        words, best, back = re.findall(r"[^\W\d_]{1,40}", text.lower()), None, []  # one script in these tables
+        for w in words:
+            s = sum((m.matrix[m.index.get(g, len(m.index))] for g in language.grams(w)), np.zeros(len(m.langs), np.float32))
+            s = [max(float(x - s.max()), -30.0) * 0.5 if m.allowed["latin"][k] else -1e4 for k, x in enumerate(s)]
+            if best is None:
+                best = s
+                continue
+            top = int(np.argmax(best))
+            came = [k if best[k] >= best[top] - m.penalty else top for k in range(len(s))]
+            best = [max(best[k], best[top] - m.penalty) + s[k] for k in range(len(s))]
+            back.append(came)
+        if not words:
+            assert got[doc_id] == ("und", 0.0, 0)
+            continue
+        path = [int(np.argmax(best))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        path.reverse()
+        letters = np.bincount(path, list(map(len, words)), len(m.langs))
+        assert got[doc_id] == (m.langs[int(letters.argmax())], letters.max() / letters.sum(), 1 + sum(a != b for a, b in zip(path, path[1:])))
+
+
 def sets_of(rows):
     out = []
     for _, text in rows:
@@ -105,10 +179,12 @@ def packed_right(rows, texts):
     """rows: pieces; texts: (doc_id, text), ids may repeat."""
     import public_tokenizers
 
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {}
     for d, t in texts:
-        ids.setdefault(d, []).append(np.array([*encode(t), 1], dtype="<u4"))
+        ids.setdefault(d, []).append(np.array([*plain.encode(t, add_special_tokens=False).ids, 1], dtype="<u4"))
     places, fill = {}, {}
     for r in rows:
         assert any(zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] and len(x) == r["doc_tokens"] for x in ids[r["doc_id"]])
