@@ -53,6 +53,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of keys is joined by broadcast for at most this many keys.
+HOT_KEYS = 10_000
+
+
+def hot_split_join(rows: DataFrame, keyed: DataFrame, key: str, of: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `keyed` on rows.key = keyed.of, where a key may hold a large share
+    of all rows. keyed has a row a key and its number of rows in column n, total is their
+    sum. Keys with more than one row in HOT_KEYS are fewer than HOT_KEYS, whatever the
+    size: those are broadcast, and their rows stay where they are. The rest are shuffled.
+    how: inner or left. rows is read twice, so it should be a written table."""
+    hot = F.col(n) * HOT_KEYS > F.lit(total)
+    few = F.broadcast(keyed.where(hot))
+    heavy = rows.join(few, F.col(key) == F.col(of))
+    light = rows.join(F.broadcast(keyed.where(hot).select(F.col(of).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
+    return heavy.unionByName(light.join(keyed.where(~hot), F.col(key) == F.col(of), how))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency_rules": line_rules.OP2_SQL, "op7_source_mixing": mixing.OP7_SQL, "op8_voronoi_knn": knn.OP8_SQL}
+    return {"op2_line_frequency_rules": line_rules.OP2_SQL, "op7_source_mixing": mixing.OP7_SQL, "op8_voronoi_knn": knn.OP8_SQL, "op10_warc_writer": warc.OP10_SQL}

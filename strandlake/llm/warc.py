@@ -1,15 +1,18 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id. Each task writes its range as gzip members, one per
-record, into files that it rolls once their compressed size passes a limit. A file
-is written under a temporary name that holds the task attempt, then moved to its
-name; its bytes depend on the rows alone, so a second attempt writes the same file.
-The manifest (a Parquet table: name, records, bytes, digest) is committed last by
-Spark's own protocol, and a reader takes only the files that it names.
+Pages are range-sorted by id. Exact ranks of the ids (not sampled bounds) cut them into
+ranges of `per_range` pages, and a range's records go as gzip members, one per record,
+into files that are rolled once their compressed size passes a limit. So files and
+their bytes depend on the rows alone, not on the number of tasks or their bounds: each
+task writes some whole ranges. A file is written under a temporary name that holds the
+task attempt, then moved to its name; a second attempt writes the same file. The
+manifest (a Parquet table: name, records, bytes, digest) is committed last by Spark's
+own protocol, and a reader takes only the files that it names.
 
 Records of equal payloads of at least `revisit_from` bytes become one response, of
-the smallest id, and revisits. Which ids are revisits is found on digests alone:
-payloads are shuffled once, by the range sort.
+the smallest id, and revisits. Which ids are revisits is found on digests alone: a
+payload that a large share of all pages hold is not one task's rows, and payloads are
+shuffled once, by the range sort.
 """
 
 from __future__ import annotations
@@ -20,11 +23,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.stats import ranked
+
 from . import common
 
 _MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -74,27 +81,59 @@ def parse(data: bytes) -> Iterator[tuple]:
         yield (page and int(page), None if "X-No-Url" in fields else fields["WARC-Target-URI"], size, fields["WARC-Payload-Digest"][7:], fields["WARC-Type"], refers and int(refers), payload if full else None)
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, revisit_from: int = 100, per_task: int = 4096, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
-    """Write `pages` (page_id, url, html; other columns are ignored) and return the
-    manifest. A null html is empty; a null id gets no revisits; of repeated rows of
-    one id and payload the first is the response and the rest revisit it."""
+def _range_starts(ids: DataFrame, per_range: int) -> DataFrame:
+    """(page_id, number): the ids at which ranges of about `per_range` rows start, by exact
+    ranks. Rows of one id are never parted."""
+    ranks = ranked(ids.select("page_id"), "page_id")
+    return ranks.where(F.col("rank") % per_range == 0).groupBy("page_id").agg(F.min(F.floor(F.col("rank") / per_range)).alias("number"))
+
+
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, revisit_from: int = 100, per_range: int = 4096, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
+    """Write `pages` (page_id, url, html) and return the manifest. Two writes of equal
+    rows give equal files and manifests, whatever the number of tasks.
+
+    Other columns are ignored, whatever their names. A null html is empty, a null url is
+    marked as such; a page without an id is always a response, and such pages are dealt to
+    ranges by digest and url; of repeated rows of one id and payload the first by url is
+    the response and the rest revisit it. A very long html is one record, and its file is
+    rolled after it. An empty table gives an empty manifest."""
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    facts = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= revisit_from)).select("page_id", "digest")
-    groups = facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "refers_to")
-    links = facts.join(groups, F.col("digest") == F.col("of")).select("page_id", "digest", "refers_to").distinct()
-    rows = pages.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionByName(
-        links.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"))
-    )
+    facts = common.written(pages.select("page_id", "digest", (F.octet_length("html") >= revisit_from).alias("large")), "pages")
+    named, large = F.col("page_id").isNotNull(), F.col("large")
+    sizes = facts.agg(F.count_if(~named).alias("none"), F.count_if(named & large).alias("large")).first()
+    candidates = facts.where(named & large).select("page_id", "digest")
+    groups = common.written(candidates.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    links = common.hot_split_join(candidates, groups, "digest", "of", "n", sizes["large"]).select("page_id", "digest", "refers_to").distinct()
+    starts = common.written(_range_starts(facts.where(named), per_range), "ranges")
+    # Tasks take runs of whole ranges: as many bounds as there are shuffle partitions at most.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, -(-starts.count() // tasks))
+    bounds = np.array([r["page_id"] for r in starts.where(F.col("number") % every == 0).orderBy("number").select("page_id").collect()][:tasks], dtype=np.int64)
+    none_ranges = max(1, -(-sizes["none"] // per_range))
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right").astype(np.int32))
+
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    rows = pages.select("page_id", "url", "html", "digest", number.alias("refers_to"), F.lit(2).alias("kind"))
+    rows = rows.unionByName(links.select("page_id", text.alias("url"), text.alias("html"), "digest", "refers_to", F.lit(1).alias("kind")))
+    rows = rows.unionByName(starts.select("page_id", text.alias("url"), text.alias("html"), F.lit("").alias("digest"), F.col("number").alias("refers_to"), F.lit(0).alias("kind")))
+    dealt = F.pmod(F.xxhash64("digest", "url"), F.lit(none_ranges)).cast("int")
+    rows = rows.withColumn("part", F.when(named, part_of("page_id") + none_ranges).otherwise(dealt))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
-        context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        attempt = TaskContext.get().taskAttemptId()
         store.create_dir(base, recursive=True)
-        open_file, name, rolled, link, linked, origin, done = None, "", 0, None, None, False, []
+        open_file, name, shard, rolled, link, linked, origin, done = None, "", "", 0, None, None, False, []
 
         def close() -> None:
+            nonlocal open_file
+            if open_file is None:
+                return
             out, seen, sha, first, last, n = open_file
             out.close()
             final = f"{base}/{name}"
@@ -102,18 +141,29 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
                 store.delete_file(final)
             store.move(f"{base}/.{name}.{attempt}", final)
             done.append((name, n, seen, sha.hexdigest(), first, last))
+            open_file = None
+
+        def begin(new: str) -> None:
+            nonlocal shard, rolled
+            close()
+            shard, rolled = new, 0
 
         for batch in batches:
-            for page_id, url, html, digest, refers, kind in zip(*(batch.column(i) for i in range(6))):
+            for page_id, url, html, digest, refers, kind, part in zip(*(batch.column(i) for i in range(7))):
                 page_id, kind, digest = page_id.as_py(), kind.as_py(), digest.as_py()
-                if kind == 0:
+                if kind == 0:  # a range starts
+                    begin(f"part-{refers.as_py():08d}")
+                    continue
+                if kind == 1:
                     link, linked = refers.as_py(), (page_id, digest)
                     origin = link == page_id  # the next row is the response that the others revisit
                     continue
+                if page_id is None and shard != f"none-{part.as_py():08d}":
+                    begin(f"none-{part.as_py():08d}")
                 to = link if linked == (page_id, digest) and not origin else None
                 origin, payload = False, html.as_py().encode()
                 if open_file is None:
-                    name = f"part-{part:06d}-{rolled:05d}.warc.gz"
+                    name = f"{shard}-{rolled:05d}.warc.gz"
                     open_file, rolled = [store.open_output_stream(f"{base}/.{name}.{attempt}", compression=None), 0, hashlib.sha256(), page_id, page_id, 0], rolled + 1
                 member = gzip.compress(record(page_id, url.as_py(), payload, digest, to, date), 6, mtime=0)
                 open_file[0].write(member)
@@ -121,18 +171,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
                 open_file[1], open_file[4], open_file[5] = open_file[1] + len(member), page_id, open_file[5] + 1
                 if open_file[1] >= roll_bytes:
                     close()
-                    open_file = None
-        if open_file is not None:
-            close()
+        close()
         columns = list(zip(*done)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["file", "records", "bytes", "sha256", "first_id", "last_id"])
 
-    spark = pages.sparkSession
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // per_task + 1))
-    # A link and all rows of its id and payload have one key, so no boundary parts them.
-    # Rows without an id have no link: they are dealt by url as well.
-    key = ("page_id", "digest", F.when(F.col("page_id").isNull(), F.xxhash64("url")))
-    manifest = rows.repartitionByRange(tasks, *key).sortWithinPartitions("page_id", "digest", "kind", "url").mapInArrow(write, _MANIFEST)
+    # A part is some whole ranges, so the sampled bounds of this sort only share out work.
+    spread = rows.repartitionByRange(max(1, min(tasks, len(bounds) + none_ranges)), "part")
+    manifest = spread.sortWithinPartitions("part", "page_id", F.col("kind") > 0, "digest", "kind", "url").mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
@@ -187,3 +232,16 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_path(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH d AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, url, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM d),
+m AS (SELECT *, page_id IS NOT NULL AND payload_bytes >= 100 AS able,
+             min(CASE WHEN payload_bytes >= 100 THEN page_id END) OVER (PARTITION BY payload_digest) AS least,
+             row_number() OVER (PARTITION BY payload_digest, page_id ORDER BY url NULLS FIRST) AS n FROM h),
+r AS (SELECT *, able AND (page_id <> least OR n > 1) AS again FROM m)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN least END AS refers_to
+FROM r
+"""

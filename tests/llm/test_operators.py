@@ -218,7 +218,7 @@ def test_archives_round_trip(spark, roll):
     rows = [(i, f"http://x/{i}", shared[i % 4] if i % 2 else "".join(rng.choice("abc") for _ in range(300)), 0) for i in range(80)]
     rows += [(90, None, None, 0), (91, "u\r\nv", "é" * 60, 0), (None, "n", "p" * 100, 0), (3, "again", shared[3], 0), (1, "twice", shared[1], 0), (5, "http://x/5", "q" * 5000, 0), (6, "other", "q" * 5000, 0), (6, "other", "q" * 5000, 0)]
     folder = common.new_path(spark, "warc-test")
-    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest int"), folder, roll_bytes=roll, per_task=20)
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest int"), folder, roll_bytes=roll, per_range=20)
     got = warc.read_archives(spark, folder).collect()
     assert manifest.agg(F.sum("records")).first()[0] == len(rows) == len(got)
     least = {}
@@ -243,7 +243,7 @@ def test_archives_round_trip(spark, roll):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_archives(spark, empty).count() == 0
     again = common.new_path(spark, "warc-test")
-    second = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(5), again, roll_bytes=roll, per_task=20)
+    second = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(5), again, roll_bytes=roll, per_range=20)
     assert sorted(r["sha256"] for r in second.collect()) == sorted(r["sha256"] for r in manifest.collect())
 
 
@@ -253,7 +253,7 @@ def test_links_and_their_pages_are_never_parted(spark):
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, "64")
-        manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, per_task=10)
+        manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, per_range=10)
         got = warc.read_archives(spark, folder, with_payload=False).collect()
     finally:
         spark.conf.set(key, before)
@@ -264,6 +264,47 @@ def test_links_and_their_pages_are_never_parted(spark):
     assert full == [0] and all(r["refers_to"] == 0 for r in got if r["record_type"] == "revisit")
 
 
+def test_archives_are_exact_and_equal_for_any_number_of_tasks(spark):
+    rng = random.Random(12)
+    ids = rng.sample(range(-10_000, 1 << 40), 20_000)
+    text = lambda i: f"payload {i % 500} ".ljust(90 + i % 30, "x") if i % 3 == 0 else f"own {i}"
+    rows = [(p, f"u{i}", text(i)) for i, p in enumerate(ids)] + [(None, f"n{i}", text(i)) for i in range(300)]
+    key, manifests = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for parts, shuffle in ((9, "64"), (4, "5")):
+            spark.conf.set(key, shuffle)
+            folder = common.new_path(spark, "warc-test")
+            d = spark.createDataFrame(rng.sample(rows, len(rows)), "page_id long, url string, html string").repartition(parts)
+            manifests.append(sorted(tuple(r) for r in warc.write_archives(d, folder, per_range=300, roll_bytes=20_000).collect()))
+            spark.range(1000).repartition(7).count()
+    finally:
+        spark.conf.set(key, before)
+    assert manifests[0] == manifests[1] and len(manifests[0]) >= 67
+    least = {}
+    for p, _, t in rows:
+        if p is not None and len(t) >= 100:
+            least[t] = min(p, least.get(t, p))
+    want = []
+    for p, _, t in rows:
+        first = least.get(t, p) if p is not None else None
+        again = first is not None and first != p
+        want.append((str(p), len(t), hashlib.sha256(t.encode()).hexdigest(), "revisit" if again else "response", first if again else None))
+    got = warc.read_archives(spark, folder, with_payload=False).collect()
+    assert sorted((str(r["page_id"]), *tuple(r)[2:6]) for r in got) == sorted(want)
+    assert sum(w[3] == "revisit" for w in want) > 3000
+
+
+def test_hot_keys_are_joined_without_their_shuffle(spark):
+    d = spark.createDataFrame([(i % 7 if i % 2 else i, i) for i in range(400)], "k long, x long")
+    keyed = d.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("n"), F.max("x").alias("most")).where("of % 5 <> 0")
+    for total in (400, 100_000, 10_000_000):
+        for how in ("inner", "left"):
+            want = d.join(keyed, F.col("k") == F.col("of"), how)
+            got = common.hot_split_join(d, keyed, "k", "of", "n", total, how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_classifiers_learn_and_take_odd_texts(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
