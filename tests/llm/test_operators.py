@@ -167,6 +167,28 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     slow = mixing.mix(d, shards=3, broadcast_rows=-1).collect()
     assert sorted(map(str, out)) == sorted(map(str, slow))
+    again = [(None, "a b c", "s0", "en")] * 5 + [(1, "x " * 100_000, "s0", "en"), (1, "x " * 100_000, "s0", "en"), (2, None, None, None)]
+    both = [mixing.mix(docs(spark, again).repartition(n)).collect() for n in (1, 3)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and len(both[0]) == 8
+    assert abs(sum(r["taken"] for r in both[0]) - 200_015) <= 2
+
+
+def test_the_tree_splits_quotas_exactly_and_as_drawn_at_random(spark):
+    slots = spark.createDataFrame([(f"s{k}", b, p) for k, passes in enumerate((1, 3, 2)) for b in range(128) for p in range(1, passes + 1)], "key string, block int, pass int")
+    for shards in (1, 5, 8):
+        out = mixing.dealt(slots, shards, "t").collect()
+        assert sorted(tuple(r)[:3] for r in out) == sorted(map(tuple, slots.collect()))
+        sizes = [sum(r["shard"] == i for r in out) for i in range(shards)]
+        assert sum(sizes) == 768 and max(sizes) - min(sizes) <= 3
+    left = [sum(r["key"] == "s0" and r["shard"] == 0 for r in mixing.dealt(slots, 2, f"seed {i}").collect()) for i in range(24)]
+    # Hypergeometric: 128 of 768 slots, half of them drawn: mean 64, variance 26.7.
+    assert 60 < np.mean(left) < 68 and 8 < np.var(left) < 80 and len(set(left)) > 5
+
+
+def test_the_mix_is_taken_through_the_tree(spark):
+    taken = mixing.mix(docs(spark, odd_rows())).select("taken")
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert "slots" in plan  # what is taken is summed over the slots that the tree has dealt
 
 
 def test_voronoi_equals_brute_force(spark):
