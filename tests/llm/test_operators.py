@@ -1,6 +1,7 @@
 """The operators on small tables: brute force, and the odd cases of their docstrings."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -199,17 +200,36 @@ def test_voronoi_equals_brute_force(spark):
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None), (None, [0.0] * 5), (901, [1.0, None, 0.0, 0.0, 0.0]), (902, [float("nan")] * 5), (903, [float("inf")] * 5), (50, [float(x) for x in v[50]])]
     data = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     ints = [(i, np.floor(1024 * np.array(x, dtype=np.float64)).astype(int)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(np.array(x)).all()]
-    got = knn.voronoi_top_k(data, data.where("vec_id % 10 = 3 OR vec_id = 200"), pivots=7, block=16, chunk=8).collect()
+    got = knn.voronoi_top_k(data, data.where("vec_id % 10 = 3 OR vec_id = 200"), most_pivots=7, block=16, chunk=8).collect()
     for q, x in ints:
         if q % 10 == 3 or q == 200:
             want = sorted((-int(x @ y), i) for i, y in ints if i != q)[:10]
             mine = sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
             assert [m[1:] for m in mine] == want and [m[0] for m in mine] == list(range(1, 11))
     few = data.where("vec_id < 4")
+    repeated = data.where("vec_id = 50").unionByName(data.where("vec_id = 50"))
+    again = knn.voronoi_top_k(data.unionByName(repeated), repeated, k=3).collect()
+    assert len(again) == 3 and all(r["query_id"] == 50 != r["vec_id"] for r in again)
     assert knn.voronoi_top_k(few, few).count() == 12
     assert knn.voronoi_top_k(data.where("false"), data).count() == 0
 
 
+def test_vectors_of_other_lengths_and_sizes(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [0.5, 0.5, 9.0]), (4, [1e300, -1e300]), (5, [2.0, 1.0]), (6, [-1e18, 3.0]), (0, [1.0, 1.0])]
+    ints = [(i, [math.floor(max(-(2.0**62), min(2.0**62, 1024 * x))) for x in v]) for i, v in rows]
+    data = knn.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r["vec_id"], r["v"]) for r in data.collect()) == sorted(ints)
+    for block in (1, 100):
+        got = {}
+        for r in knn.voronoi_top_k(data, data, k=4, block=block, chunk=block).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        for q in {i for i, _ in ints}:
+            own = min(v for i, v in ints if i == q)
+            clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+            want = sorted((-clip(sum(a * b for a, b in zip(own, v))), i) for i, v in ints if i != q)[:4]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
 def test_packing_is_exact_and_tight(spark):
     P = pytest.importorskip("public_tokenizers")
     rows = odd_rows()
