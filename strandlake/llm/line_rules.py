@@ -2,9 +2,11 @@
 
 Base rules look at one text. Then each line with a word is normalised (ASCII case
 folded, runs of blanks made one, ends trimmed) and hashed, and the distinct
-documents of a host (the source column) that hold it are counted. Lines held by
-more than the limit of their host's documents are removed, and documents that lose
-too large a share of their words are rejected as depleted.
+documents of a host (the source column) that hold it are counted. Two limits apply to
+lines of more than a few documents: a share of the host's documents, and a number of
+documents that doesn't grow with the host, as a line of a thousand documents is no text
+of its own on the largest host either. Lines above a limit are removed, and documents
+that lose too large a share of their words are rejected as depleted.
 
 Only (host, hash) rows are shuffled, after a partial count on the map side: a line
 in a third of all documents is one row a task. The table of lines above the limit
@@ -57,14 +59,15 @@ def with_base(docs: DataFrame, window: int = 5, least_words: int = 10, most_repe
     return d.drop("_hashes", "_some", "_sorted", "_places", "_words", "_text")
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", most_percent: float = 10.0, least_docs: int = 10) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", most_percent: float = 10.0, most_docs: int = 1000, least_docs: int = 10) -> DataFrame:
     """(host, line): hashes of normalised lines that more than `most_percent` of a
-    host's documents hold, and more than `least_docs` of them."""
+    host's documents hold, or more than `most_docs` of them; in either case more than
+    `least_docs`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.coalesce(F.concat(F.lit("s"), F.col(host).cast("string")), F.lit("")).alias("host"), F.array_distinct(line_hashes(text)).alias("lines"))
     held = lines.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     hosts = lines.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("docs"))
-    return held.join(hosts, F.col("host") == F.col("of")).where(F.col("n") * 100.0 > F.col("docs") * most_percent).select("host", "line")
+    return held.join(hosts, F.col("host") == F.col("of")).where((F.col("n") * 100.0 > F.col("docs") * most_percent) | (F.col("n") > most_docs)).select("host", "line")
 
 
 def line_hashes(text: Column) -> Column:
@@ -73,14 +76,16 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(normal_line(x)))
 
 
-def judge(docs: DataFrame, host: str = "source", most_percent: float = 10.0, least_docs: int = 10, depleted_percent: int = 50, broadcast_rows: int = 50_000) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_percent: float = 10.0, most_docs: int = 1000, least_docs: int = 10, depleted_percent: int = 50, broadcast_rows: int = 50_000) -> DataFrame:
     """One row per row of `docs` (doc_id, text, the host): _row (its input columns
     as a struct), the base counts, base_failed, n_removed_words, kept, and clean_text
     (the text without its removed lines; the text itself where none goes).
 
-    A null host is a host of its own; a null text is empty and fails. Repeated rows
-    count as documents each. An empty table gives no rows."""
-    frequent = common.written(frequent_lines(docs, host, most_percent, least_docs), "lines")
+    A null host is a host of its own; a null or empty text has no words and fails. A very
+    long text is judged whole: its lines and words are arrays in one row. Repeated rows
+    count as documents each, and a document's own repeats of a line count once. Columns
+    beside these come along in _row, whatever their names. An empty table gives no rows."""
+    frequent = common.written(frequent_lines(docs, host, most_percent, most_docs, least_docs), "lines")
     by_host = frequent.groupBy(F.col("host").alias("_of")).agg(F.collect_list("line").alias("_frequent")) if frequent.count() <= broadcast_rows else None
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(host).cast("string")), F.lit("")).alias("_host"))
     if by_host is not None:
@@ -121,7 +126,7 @@ c AS (SELECT rid, sum(least(5, coalesce(lead_i - i, 5))) AS n FROM (SELECT *, le
 l AS (SELECT rid, host, unnest(lines) AS line FROM w),
 k AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
 f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM k GROUP BY ALL) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host)
-      WHERE n > 10 AND n * 100.0 > docs * 10.0),
+      WHERE n > 10 AND (n * 100.0 > docs * 10.0 OR n > 1000)),
 x AS (SELECT k.rid, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM k JOIN f USING (host, norm) GROUP BY k.rid),
 s AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,

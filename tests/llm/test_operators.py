@@ -131,6 +131,10 @@ def test_line_rules_equal_a_plain_count(spark):
         assert r["kept"] == (not r["base_failed"] and lost * 100 <= 50 * len(w)) == shuffled[doc_id, text, source]["kept"]
         if text is not None:
             assert r["clean_text"] == "\n".join(x for x in text.split("\n") if x not in gone)
+    many = [(i, f"own line {i} of ten words that stay here for good\n" + ("Menu  of the SITE\n" if i % 50 < 3 else ""), "large", "en") for i in range(600)]
+    limited = line_rules.judge(docs(spark, many), most_docs=35)
+    assert {r["n_removed_words"] for r in limited.collect() if "Menu" in r["_row"]["text"]} == {4}
+    assert not line_rules.judge(docs(spark, many), most_docs=36).where("n_removed_words > 0").count()
     assert line_rules.judge(docs(spark, rows)).where("kept").count() == sum(r["kept"] for r in line_rules.judge(docs(spark, rows)).collect())
     assert line_rules.judge(docs(spark, [])).count() == 0
 

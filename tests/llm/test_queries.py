@@ -246,7 +246,7 @@ def test_each_stage_equals_brute_force_on_its_input(spark):
         for places in seen.values():
             if len(places) > 1:
                 twice |= {i + k for i in places for k in range(5)}
-        often = [x for x in r["text"].split("\n") if norm(x) and (n := held[r["source"], norm(x)]) > 10 and n * 10 > hosts[r["source"]]]
+        often = [x for x in r["text"].split("\n") if norm(x) and (n := held[r["source"], norm(x)]) > 10 and (n * 10 > hosts[r["source"]] or n > 1000)]
         lost = sum(len(x.encode().split()) for x in often)
         if len(w) >= 10 and 100 * len(twice) <= 20 * len(w) and 2 * lost <= len(w):
             want[r["doc_id"]] = "\n".join(x for x in r["text"].split("\n") if x not in often)
