@@ -42,6 +42,13 @@ def test_repeated_columns_equal_brute_force(seed):
             assert got[i, c] == want
 
 
+def test_one_global_order_serves_prefixes_and_trie():
+    order = jaccard.Order(np.array([3, 7, 9], dtype=np.uint64), np.array([5, 2, 2]))
+    tokens = np.array([9, 1, 3, 8, 7], dtype=np.uint64)
+    assert order.sorted(tokens).tolist() == [1, 8, 7, 9, 3]
+    assert jaccard.Order(np.zeros(0, np.uint64), np.zeros(0, np.int64)).sorted(tokens).tolist() == [1, 3, 7, 8, 9]
+
+
 def test_every_window_has_an_anchor_of_its_content():
     rng = random.Random(3)
     base = bytes(rng.choice(b"abcd ") for _ in range(900))
@@ -69,11 +76,13 @@ def test_trie_join_equals_brute_force(seed):
             s.discard(rng.choice(sorted(s))) if len(s) > 1 and rng.random() < 0.5 else s.add(int(rng.integers(0, 400)))
         sets.append(s)
     arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    known = np.unique(rng.integers(0, 400, 80)).astype(np.uint64)
+    order = jaccard.Order(known, rng.integers(2, 9, len(known)))
     for percent in (85, 50, 100):
         want = brute_links(sets, percent)
-        got = {(i, j) for i, p in jaccard.trie_join(arrays, None, percent) for j in p.tolist() if i != j}
+        got = {(i, j) for i, p in jaccard.trie_join(arrays, None, percent, order) for j in p.tolist() if i != j}
         assert got == want
-        cross = {(i, j) for i, p in jaccard.trie_join(arrays[:20], arrays[20:], percent) for j in p.tolist()}
+        cross = {(i, j) for i, p in jaccard.trie_join(arrays[:20], arrays[20:], percent, order) for j in p.tolist()}
         assert cross == {(i, j - 20) for i, j in want if i < 20 <= j}
         described = [(len(a), *jaccard.sketch(a)) for a in arrays]
         assert all(jaccard.may_link(described[i], described[j], percent) for i, j in want)

@@ -71,7 +71,7 @@ def brute_jaccard(rows):
     return sorted((str(rows[i][0]), len(sets[i]), str(least[group[i]]), sum(map(bool, link[i]))) for i in range(n))
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 4, "tile_tokens": 60, "sample_docs": 10}])
+@pytest.mark.parametrize("options", [{}, {"tile": 4, "tile_tokens": 60, "sample_docs": 10}, {"tile": 4, "tile_tokens": 300, "sample_docs": 60, "salt_rows": 8}])
 def test_jaccard_join_equals_brute_force(spark, options):
     rows = odd_rows()
     rng = random.Random(4)
