@@ -19,6 +19,10 @@ buckets by content, in place of a range partition of a global order:
    common prefixes of neighbours follow from the range minima of those before. As
    rows are aligned, one refinement a column suffices. Neighbours with `length`
    bytes or more in common are repeated intervals.
+   An anchor with very many different contexts is divided before they are fetched into
+   tasks: its windows by where they start, in quarters, and its contexts by the bytes that
+   all windows of a quarter cover. Equal windows stay together, so this loses none; in the
+   end a part is small or holds windows that are equal whole.
 3. Repeated intervals of a text are merged and cut out.
 
 Shuffled are anchors (about one in 85 bytes), and contexts at the ends of repeats.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,13 +143,13 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 def _sifted(rows: DataFrame) -> DataFrame:
     """From anchor rows, those of state 2 last and the rest sorted by (h, fp): kind 0
     for occurrences with an equal context elsewhere, 1 for others to be compared, 2 for
-    one that stands for its equals."""
+    one that stands for its equals. contexts: how many its anchor has to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 5
 
-        def made(rid, at, h, kind) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at), pa.array(h), pa.array(kind.astype(np.int32))], names=["rid", "at", "h", "kind"])
+        def made(rid, at, h, kind, contexts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at), pa.array(h), pa.array(kind.astype(np.int32)), pa.array(contexts.astype(np.int64))], names=["rid", "at", "h", "kind", "contexts"])
 
         def full(c: list[np.ndarray]) -> pa.RecordBatch:
             h, fp, rid, at, state = c
@@ -157,13 +162,13 @@ def _sifted(rows: DataFrame) -> DataFrame:
             contexts = np.bincount(bucket, weights=new_c)[bucket] if n else np.zeros(0)
             whole, compare = (equals > 1) & (state == 0), (contexts > 1) & new_c
             pick = np.concatenate([np.flatnonzero(whole), np.flatnonzero(compare)])
-            return made(rid[pick], at[pick], h[pick], np.concatenate([np.zeros(whole.sum()), np.where(equals[compare] > 1, 2, 1)]))
+            return made(rid[pick], at[pick], h[pick], np.concatenate([np.zeros(whole.sum()), np.where(equals[compare] > 1, 2, 1)]), contexts[pick])
 
         for b in batches:
             new = [b.column(i).to_numpy() for i in range(5)]
             done = new[4] == 2
             if done.any():
-                yield made(new[2][done], new[3][done], new[0][done], np.zeros(done.sum()))
+                yield made(new[2][done], new[3][done], new[0][done], np.zeros(done.sum()), np.zeros(done.sum()))
             c = [np.concatenate([r, x[~done]]) for r, x in zip(rest, new)]
             if not len(c[0]):
                 continue
@@ -172,7 +177,7 @@ def _sifted(rows: DataFrame) -> DataFrame:
             rest = [x[cut:] for x in c]
         yield full(rest)
 
-    return rows.mapInArrow(run, "rid long, at long, h long, kind int")
+    return rows.mapInArrow(run, "rid long, at long, h long, kind int, contexts long")
 
 
 def shard_columns(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +222,9 @@ def repeated_columns(symbols: np.ndarray, length: int, shard_rows: int = 512) ->
 
 
 def _intervals(contexts: DataFrame, length: int, rows_at_once: int) -> DataFrame:
-    """From (h, rid, at, kind, low, context) with a bucket's rows together: repeated
-    intervals (rid, a, b) of rows of kind 1."""
+    """From (h, first, last, rid, at, kind, low, context) with the rows of an h together:
+    repeated intervals (rid, a, b) of rows of kind 1, of windows that start in columns
+    first to last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = length - GRAM
@@ -226,24 +232,31 @@ def _intervals(contexts: DataFrame, length: int, rows_at_once: int) -> DataFrame
         held: list[tuple] = []
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            data = np.zeros((len(rows), width), np.uint16)
-            for i, (_, _, at, _, low, text) in enumerate(rows):
+            # A column more, in front of the anchor and so in every window, holds the number
+            # of the row's part: a row that is in two parts doesn't meet itself.
+            data = np.zeros((len(rows), width + 1), np.uint16)
+            part, key = 0, None
+            for i, (h, _, _, _, at, _, low, text) in enumerate(rows):
+                part, key = part + (h != key), h
                 first = left - (at - low)
-                data[i, first : first + len(text)] = np.frombuffer(text, np.uint8)
-                data[i, first : first + len(text)] += 1
-            hit = repeated_columns(data, length)
+                symbols = np.frombuffer(text, np.uint8).astype(np.uint16) + 1
+                data[i, first:left], data[i, left] = symbols[: left - first], part
+                data[i, left + 1 : first + len(text) + 1] = symbols[left - first :]
+            hit = repeated_columns(data, length + 1)
+            columns = np.arange(left + 1)
+            hit &= (columns >= np.array([r[1] for r in rows])[:, None]) & (columns <= np.array([r[2] for r in rows])[:, None])
             edge = np.diff(np.concatenate([np.zeros((len(rows), 1), np.int8), hit.astype(np.int8), np.zeros((len(rows), 1), np.int8)], axis=1), axis=1)
             out = []
             (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
             for row, x, y in zip(i.tolist(), a.tolist(), b.tolist()):
-                _, rid, at, kind, _, _ = rows[row]
+                _, _, _, rid, at, kind, _, _ = rows[row]
                 if kind == 1:
                     out.append((rid, at - left + x, at - left + y - 1 + length))
-            columns = list(zip(*out)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rid", "a", "b"])
+            found = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["rid", "a", "b"])
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
                 if len(held) >= rows_at_once and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
@@ -254,14 +267,44 @@ def _intervals(contexts: DataFrame, length: int, rows_at_once: int) -> DataFrame
     return contexts.mapInArrow(run, "rid long, a long, b long")
 
 
-def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def _divided(contexts: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of anchors with more than `most` contexts, from rows (h, first, last, rid, at,
+    kind, low, context): such rows in parts of at most `most`, and intervals (rid, a, b) of
+    windows that are equal whole. A part's windows start in columns first to last, so all
+    cover the bytes from `last` to `first + length`: rows that differ there have no window
+    in common and are parted by a hash of them. A part still too large is divided again; of
+    a single column all windows of a part are equal. A round quarters the columns."""
+    left = length - GRAM
+    parts, whole, rows = [], [], contexts
+    while True:
+        quarters = F.expr("filter(transform(sequence(0, 3), q -> struct(first + cast((last - first + 1) * q div 4 as int) AS f, first + cast((last - first + 1) * (q + 1) div 4 as int) - 1 AS l)), x -> x.f <= x.l)")
+        rows = rows.select("h", "rid", "at", "kind", "low", "context", F.explode(quarters).alias("x")).select("h", F.col("x.f").alias("first"), F.col("x.l").alias("last"), "rid", "at", "kind", "low", "context")
+        start = (F.col("last") - left + F.col("at") - F.col("low")).cast("int")  # of the covered bytes in the context
+        size = F.lit(length) - (F.col("last") - F.col("first"))
+        rows = rows.where((start >= 0) & (start + size <= F.octet_length("context"))).withColumn("h", F.xxhash64("h", "first", "last", F.substring("context", start + 1, size)))
+        rows = common.written(rows, "parts")
+        counts = common.written(rows.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        sized = common.hot_split_join(rows, counts, "h", "of", "n", rows.count()).drop("of")
+        parts.append(sized.where(F.col("n") <= most).drop("n"))
+        whole.append(sized.where((F.col("n") > most) & (F.col("first") == F.col("last")) & (F.col("kind") == 1)).select("rid", (F.col("at") - left + F.col("first")).alias("a"), (F.col("at") - left + F.col("first") + length).alias("b")))
+        if not counts.where(F.col("n") > most).limit(1).count():
+            break
+        rows = sized.where((F.col("n") > most) & (F.col("first") < F.col("last"))).drop("n")
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, whole)
+
+
+def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, most_contexts: int = 20_000, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """(rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for each row
     of docs (doc_id, text): every byte covered by a string of `length` bytes that also
     starts anywhere else goes. spans are the removed runs, kept the bytes left (null
     unless asked for). `carry` names columns of docs that come along, as a struct `row`.
+    A task compares about `rows_at_once` contexts at a time, and those of one anchor
+    together up to `most_contexts`; anchors with more are divided.
 
     Null texts are empty. Repeated rows are documents each, so their long strings
-    repeat. Texts shorter than `length` keep all. An empty table gives no rows."""
+    repeat. Texts shorter than `length` keep all; a very long text is gone through in
+    pieces, and its spans are cut out by one task. Columns that aren't carried are
+    ignored, whatever their names. An empty table gives no rows."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
@@ -269,15 +312,25 @@ def repeat_dedup(docs: DataFrame, length: int = 200, rows_at_once: int = 4000, w
     found = _anchor_rows(keyed, length).repartition(tasks, key).sortWithinPartitions(F.col("state") == 2, "h", "fp", "rid", "at")
     sifted = common.written(_sifted(found), "anchors")
     back = length - GRAM
-    wanted = sifted.where("kind > 0").groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("h", "at", "kind")).alias("places"))
-    texts = keyed.select("rid", "text").join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("rid", "places", F.col("text").cast("binary").alias("text")).dropDuplicates(["rid"])
+    wanted = sifted.where("kind > 0").groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("h", "at", "kind", "contexts")).alias("places"))
+    texts = keyed.select("rid", "text").join(wanted, F.col("rid") == F.col("of")).select("rid", "places", F.col("text").cast("binary").alias("text")).dropDuplicates(["rid"])
     low = F.greatest(F.lit(0), F.col("p.at") - back)
-    cut = texts.select("rid", "text", F.explode("places").alias("p")).select(F.col("p.h").alias("h"), "rid", F.col("p.at").alias("at"), F.col("p.kind").alias("kind"), low.alias("low"), F.substring(F.col("text"), (low + 1).cast("int"), (F.col("p.at") - low + length).cast("int")).alias("context"))
-    compared = _intervals(cut.repartition(tasks, "h").sortWithinPartitions("h", "rid", "at"), length, rows_at_once)
+    cut = texts.select("rid", "text", F.explode("places").alias("p")).select(
+        F.col("p.h").alias("h"), F.lit(0).alias("first"), F.lit(back).alias("last"), "rid", F.col("p.at").alias("at"), F.col("p.kind").alias("kind"), low.alias("low"),
+        F.substring(F.col("text"), (low + 1).cast("int"), (F.col("p.at") - low + length).cast("int")).alias("context"), F.col("p.contexts").alias("contexts"),
+    )
     whole = sifted.where("kind = 0").select("rid", F.greatest(F.lit(0), F.col("at") - back).alias("a"), (F.col("at") + length).alias("b"))
+    if sifted.where(F.col("contexts") > most_contexts).limit(1).count():
+        cut = common.written(cut, "contexts")
+        parts, equal = _divided(cut.where(F.col("contexts") > most_contexts).drop("contexts"), length, most_contexts)
+        cut = cut.where(F.col("contexts") <= most_contexts).drop("contexts").unionByName(parts)
+        whole = whole.unionByName(equal)
+    else:
+        cut = cut.drop("contexts")
+    compared = _intervals(cut.repartition(tasks, "h").sortWithinPartitions("h", "rid", "at"), length, rows_at_once)
     runs = compared.unionByName(whole).groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     whole_rows = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("row"))
-    joined = whole_rows.join(runs.hint("shuffle_hash"), F.col("rid") == F.col("of"), "left").select("rid", "doc_id", "text", "runs", "row")
+    joined = whole_rows.join(runs, F.col("rid") == F.col("of"), "left").select("rid", "doc_id", "text", "runs", "row")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -97,12 +97,25 @@ def test_repeats_equal_brute_force(spark):
         kept = bytes(c for c, g in zip(t, gone) if not g)
         spans = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
         want.append((str(r[0]), len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept))
-    out = repeats.repeat_dedup(docs(spark, rows), rows_at_once=50)
-    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in out.collect()]
-    assert sorted(got) == sorted(want)
+    rows_of = lambda d: sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in d.collect())
+    for at_once in (50, 5, 2, 1):  # anchors with more contexts than that are divided
+        assert rows_of(repeats.repeat_dedup(docs(spark, rows), rows_at_once=at_once, most_contexts=at_once)) == sorted(want)
     assert repeats.repeat_dedup(docs(spark, [])).count() == 0
 
 
+def test_a_hot_anchor_is_divided_without_loss(spark):
+    rng = random.Random(31)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    heart, sides = noise(150), [noise(120) for _ in range(4)]
+    texts = [noise(40) + rng.choice(sides)[rng.randint(0, 90) :] + heart + rng.choice(sides)[: rng.randint(0, 120)] + noise(30) for _ in range(70)]
+    gone = brute_repeats([t.encode() for t in texts], 200)
+    want = {i: sum(g) for i, g in enumerate(gone)}
+    assert len(set(want.values())) > 20
+    d = docs(spark, [(i, t, "s", "en") for i, t in enumerate(texts)])
+    for at_once in (1000, 8, 3):
+        assert {r["doc_id"]: r["n_removed"] for r in repeats.repeat_dedup(d, rows_at_once=at_once, most_contexts=at_once).collect()} == want
+
+
 def test_line_rules_equal_a_plain_count(spark):
     rows = odd_rows() + [(500 + i, f"The  common LINE\nown line of words number {i} with more of them here to stay\n" + ("the common line\n" * (i % 3)), "hot", "en") for i in range(30)]
     got = {(str(r["_row"]["doc_id"]), r["_row"]["text"], r["_row"]["source"]): r for r in line_rules.judge(docs(spark, rows)).collect()}
