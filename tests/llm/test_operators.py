@@ -413,6 +413,22 @@ def test_language_spans(spark):
     assert language.identify(docs(spark, []), model).count() == 0
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s", "en"), (5, a + " more", "s", "en"), (5, b, "s", "en"), (9, b + " end", None, None), (9, c, "s", "en"), (9, c, "s", "en"), (3, None, "s", "en"), (3, None, "s", "en"), (None, a, "s", "en"), (None, a, "s", "en"), (4, " ", "s", "en")]
+    out = pipeline.near_duplicates(spark, docs(spark, rows), "")
+    kept = [(1, a), (5, b), (9, c), (3, None), (3, None), (None, a), (None, a), (4, " ")]
+    assert sorted(map(str, kept)) == sorted(str((r["doc_id"], r["text"])) for r in out.collect())
+    # Five words and 80 percent: 56 shingles, of which two changes far from each other leave 46 of 66.
+    w = a.split()
+    two, one = [*w[:20], "x", *w[21:40], "y", *w[41:]], [*w[:20], "x", *w[21:]]
+    out = pipeline.near_duplicates(spark, docs(spark, [(1, a, "s", "en"), (2, " ".join(two), "s", "en"), (3, " ".join(one), "s", "en")]), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1]  # 2 links with 3, and 3 with 1
+    out = pipeline.near_duplicates(spark, docs(spark, [(1, a, "s", "en"), (2, " ".join(two), "s", "en")]), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
 def test_pipeline_stages_feed_each_other(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = odd_rows() + [(700 + i, odd_rows(5)[i % 50][1], "s9", "en") for i in range(40)]
