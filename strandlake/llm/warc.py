@@ -175,8 +175,9 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
         columns = list(zip(*done)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["file", "records", "bytes", "sha256", "first_id", "last_id"])
 
-    # A part is some whole ranges, so the sampled bounds of this sort only share out work.
-    spread = rows.repartitionByRange(max(1, min(tasks, len(bounds) + none_ranges)), "part")
+    # A part is some whole ranges, so the sampled bounds of this sort only share out work;
+    # with four times as many partitions as parts, each part gets one of its own.
+    spread = rows.repartitionByRange(4 * (len(bounds) + none_ranges), "part")
     manifest = spread.sortWithinPartitions("part", "page_id", F.col("kind") > 0, "digest", "kind", "url").mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
