@@ -74,7 +74,7 @@ def _centres(points: np.ndarray, pivots: int) -> np.ndarray:
     return centres
 
 
-def voronoi_top_k(data: DataFrame, queries: DataFrame, k: int = 10, most_pivots: int = 1024, block: int = 8192, chunk: int = 8192) -> DataFrame:
+def voronoi_top_k(data: DataFrame, queries: DataFrame, k: int = 10, most_pivots: int = 1024, block: int = 32_768, chunk: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id of `queries` (vec_id, v) the k best
     rows of `data` (vec_id, v) other than its own id; ties to the smaller id.
 
@@ -83,8 +83,9 @@ def voronoi_top_k(data: DataFrame, queries: DataFrame, k: int = 10, most_pivots:
     each is a candidate. Scores beyond 64 bits are held at their ends. Other columns are
     ignored. Empty tables give no rows.
 
-    There are about sqrt(rows) pivots, `most_pivots` at most, from the 8 rows a pivot of
-    smallest hash: pivots steer the work and never change the result."""
+    There are about sqrt(rows) / 4 pivots, `most_pivots` at most, from the 8 rows a pivot
+    of smallest hash: pivots steer the work and never change the result. A block's rows
+    are sent once for `chunk` queries, and a query once for `block` rows."""
     spark = data.sparkSession
     data = data.select("vec_id", "v")
     facts = data.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
@@ -95,7 +96,7 @@ def voronoi_top_k(data: DataFrame, queries: DataFrame, k: int = 10, most_pivots:
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v")).join(own_rows, F.col("vec_id") == F.col("of"), "left")
     queries = common.written(queries.select("vec_id", "v", F.coalesce("own", F.lit(0)).alias("own")), "queries")
     width = max(facts["width"], queries.agg(F.max(F.size("v")).alias("w")).first()["w"] or 0, 1)
-    pivots = min(most_pivots, max(16, int(facts["n"] ** 0.5)))
+    pivots = min(most_pivots, max(16, int(facts["n"] ** 0.5 / 4)))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(8 * pivots).select("v").collect()
     points = _centres(np.array([r["v"] + [0] * (width - len(r["v"])) for r in sample], dtype=np.float64), pivots)
     shared = spark.sparkContext.broadcast(points)
@@ -151,9 +152,10 @@ def voronoi_top_k(data: DataFrame, queries: DataFrame, k: int = 10, most_pivots:
         ids, asked_ids = own["vec_id"].to_numpy(np.int64), asked["query_id"].to_numpy(np.int64)
         stack = lambda vectors: np.array([np.pad(v, (0, width - len(v))) for v in vectors], dtype=np.int64)
         theirs, out = stack(own["v"]), []
-        for at in range(0, len(asked), 256):
-            scores = top_scores(stack(asked["v"].iloc[at : at + 256]), theirs)
-            for q, row in zip(asked_ids[at : at + 256], scores):
+        step = max(1, (1 << 21) // len(own))
+        for at in range(0, len(asked), step):
+            scores = top_scores(stack(asked["v"].iloc[at : at + step]), theirs)
+            for q, row in zip(asked_ids[at : at + step], scores):
                 other = np.nonzero(ids != q)[0]
                 mine = row[other]
                 if len(mine) > k:
