@@ -107,10 +107,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
     groups = common.written(candidates.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads")
     links = common.hot_split_join(candidates, groups, "digest", "of", "n", sizes["large"]).select("page_id", "digest", "refers_to").distinct()
     starts = common.written(_range_starts(facts.where(named), per_range), "ranges")
-    # Tasks take runs of whole ranges: as many bounds as there are shuffle partitions at most.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = max(1, -(-starts.count() // tasks))
-    bounds = np.array([r["page_id"] for r in starts.where(F.col("number") % every == 0).orderBy("number").select("page_id").collect()][:tasks], dtype=np.int64)
+    # Tasks take runs of whole ranges: at most four bounds for each shuffle partition.
+    most = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, -(-starts.count() // most))
+    bounds = np.array([r["page_id"] for r in starts.where(F.col("number") % every == 0).orderBy("number").select("page_id").collect()], dtype=np.int64)
     none_ranges = max(1, -(-sizes["none"] // per_range))
 
     @F.pandas_udf("int")
