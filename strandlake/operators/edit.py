@@ -112,46 +112,60 @@ def int_text(n: int) -> str:
     return str(n) + "".join(reversed(parts))
 
 
-def pattern_hits(text: str, pattern: str, most: int) -> int:
-    """Ends in the text at which the pattern matches with at most `most` edits, by bit
-    vectors of the pattern's length."""
+def batch_hits(texts: list[str], pattern: str, most: int) -> int:
+    """Ends in the texts at which the pattern matches with at most `most` edits. A row of
+    the table of distances is made for all texts at once, a row a pattern character;
+    between two texts stand as many characters that match nothing as the pattern has, so
+    that no match passes them."""
     m = len(pattern)
     if not 0 < m <= 64:
         raise ValueError("a pattern has 1 to 64 characters")
     if most > m // 2:
         raise ValueError("at most half of a pattern's characters may differ")
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    masks: dict[str, int] = {}
+    pause = np.full(m, 0x110000, dtype=np.uint32)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
+    joined = np.concatenate([x for c in codes for x in (c, pause)] or [pause])
+    place = np.arange(len(joined), dtype=np.int64)
+    row = np.zeros(len(joined), dtype=np.int64)  # of the empty prefix, which matches anywhere
     for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
-    plus, minus, cost, hits = full, 0, m, 0
-    for c in text:
-        x = masks.get(c, 0) | minus
-        zero = ((plus + (x & plus)) ^ plus) | x
-        up, down = minus | ~(zero | plus) & full, plus & zero
-        cost += bool(up & top) - bool(down & top)
-        up, down = (up << 1) & full, (down << 1) & full
-        plus, minus = (down | ~(zero | up)) & full, up & zero
-        hits += cost <= most
-    return hits
-
-
-def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
-    """(pattern, hits) over all texts (sequence), for a list of patterns whose size is
-    checked; texts are read once and each task sums for all patterns."""
-    listed = [r["pattern"] for r in patterns.select("pattern").distinct().limit(10_001).collect()]
-    if len(listed) > 10_000:
-        raise ValueError("more than 10,000 patterns: run them in several lists")
+        now = row + 1
+        before = np.concatenate([[i], row[:-1]])
+        np.minimum(now, before + (joined != ord(c)), out=now)
+        now[0] = min(now[0], i + 2)
+        row = np.minimum.accumulate(now - place) + place
+    return int(((row <= most) & (joined != 0x110000)).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = dict.fromkeys(listed, 0)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for p in listed:
-                    sums[p] += pattern_hits(text or "", p, most)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["pattern", "hits"])
 
-    return texts.select("sequence").mapInArrow(run, "pattern string, hits long").groupBy("pattern").agg(F.sum("hits").alias("hits"))
+def pattern_hits(text: str, pattern: str, most: int) -> int:
+    """batch_hits() of one text."""
+    return batch_hits([text], pattern, most)
+
+
+def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int, at_once: int = 10_000) -> DataFrame:
+    """(pattern, hits) over all texts (sequence), for each distinct pattern. Patterns go
+    out in lists of at most `at_once`, each of which reads the texts once."""
+    listed = sorted({r["pattern"] for r in patterns.select("pattern").distinct().toLocalIterator()})
+
+    def counted(some: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = dict.fromkeys(some, 0)
+            for b in batches:
+                held: list[str] = []
+                for text in [*b.column(0).to_pylist(), None]:
+                    if text:
+                        held.append(text)
+                    if held and (text is None or sum(map(len, held[-1:])) > 1 << 20 or len(held) >= 256):
+                        for p in some:
+                            sums[p] += batch_hits(held, p, most)
+                        held = []
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["pattern", "hits"])
+
+        return texts.select("sequence").mapInArrow(run, "pattern string, hits long").groupBy("pattern").agg(F.sum("hits").alias("hits"))
+
+    out = counted(listed[:at_once])
+    for i in range(at_once, len(listed), at_once):
+        out = out.unionByName(counted(listed[i : i + at_once]))
+    return out
 
 
 def closed_gaps(matches: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:

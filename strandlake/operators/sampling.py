@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def random_sample(rows: DataFrame, n: int, seed: int, id_column: str = "seq_id") -> DataFrame:
-    """n rows without replacement, ascending by id; an error if there are fewer."""
+    """n rows without replacement, ascending by id; an error if there are fewer. Those of
+    smallest md5 of id and seed: only each task's n first are compared."""
     there = rows.count()
     if n > there:
         raise ValueError(f"cannot take a sample of {n} from {there} rows")
-    return rows.orderBy(F.xxhash64(F.col(id_column), F.lit(seed)), id_column).limit(n).orderBy(id_column)
+    return rows.orderBy(F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"|{seed}"))), id_column).limit(n).orderBy(id_column)
 
 
 def select(sequences: DataFrame, ids: list[int] | None = None, pattern: str | None = None, header: str | None = None, least: int = 0, most: int = 0) -> DataFrame:

@@ -65,9 +65,9 @@ def moments(histogram: dict[int, int], s: int = 7, r: int = 27) -> dict:
     return {"f0": distinct, "f1": sum(i * x for i, x in enumerate(f)), "f": f, "repeats": distinct + 2 * (distinct - (f[1] if most else 0.0))}
 
 
-def moments_table(slot_rows: DataFrame, s: int = 7, r: int = 27, most: int = 999) -> DataFrame:
-    """(i, f_i) up to `most`."""
+def moments_table(slot_rows: DataFrame, s: int = 7, r: int = 27, most: int | None = 999) -> DataFrame:
+    """(i, f_i) up to `most`, or all if that is None."""
     spark = slot_rows.sparkSession
     histogram = {row["count"]: row["slots"] for row in slot_histogram(slot_rows).collect()}  # at most 65,535 rows
     f = moments(histogram, s, r)["f"]
-    return spark.createDataFrame([(i, x) for i, x in enumerate(f) if 0 < i <= most], "i int, f_i double")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(f) if 0 < i and (most is None or i <= most)], "i int, f_i double")

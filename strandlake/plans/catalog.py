@@ -546,7 +546,12 @@ def tile_partition(spark, sf_dir):
     return partition.tiles(spark, 1500, cutlen=150)
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT m, n, greatest(1, greatest(m, n) // 10) AS cut FROM (SELECT (SELECT count(*) FROM customer) AS m, (SELECT count(*) FROM supplier) AS n)),
+t AS (SELECT 0::BIGINT AS i, m AS rows, 0::BIGINT AS j, n AS columns, cut FROM k
+  UNION ALL SELECT CASE WHEN rows < columns OR h = 0 THEN i ELSE i + (rows + 1) // 2 END, CASE WHEN rows < columns THEN rows WHEN h = 0 THEN (rows + 1) // 2 ELSE rows // 2 END,
+    CASE WHEN rows < columns AND h = 1 THEN j + (columns + 1) // 2 ELSE j END, CASE WHEN rows >= columns THEN columns WHEN h = 0 THEN (columns + 1) // 2 ELSE columns // 2 END, cut
+  FROM t, (VALUES (0), (1)) x(h) WHERE rows > cut OR columns > cut)
+SELECT (row_number() OVER (ORDER BY i + j, i, j) - 1)::INTEGER AS tile, i::INTEGER AS i, rows::INTEGER AS rows, j::INTEGER AS j, columns::INTEGER AS columns FROM t WHERE rows <= cut AND columns <= cut""")
 def tile_partition_two_tables(spark, sf_dir):
     return partition.tiles(spark, V.table(spark, sf_dir, "customer").count(), V.table(spark, sf_dir, "supplier").count())
 
@@ -721,7 +726,7 @@ def split_variance(spark, sf_dir):
     return partition.size_variance(partition.in_parts(V.documents(spark, sf_dir), 7, round_up=False))
 
 
-@query()
+@query("SELECT doc_id AS seq_id FROM documents ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id LIMIT 50")
 def random_sample(spark, sf_dir):
     return sampling.random_sample(V.documents(spark, sf_dir).select("seq_id"), 50, 42)
 
@@ -771,14 +776,23 @@ def bloom_statistics(spark, sf_dir):
     return bloom.statistics(_filter(spark, sf_dir), _BITS, V.table(spark, sf_dir, "supplier").count(), _HASHES)
 
 
-@query()
+def _bits_sql(bits: list[str]) -> str:
+    """Membership of the suppliers of lineitem by the given bits of a value {v}."""
+    of = lambda v: "[" + ", ".join(f"({b.format(v=v)})::BIGINT" for b in bits) + "]"
+    return f"WITH f AS (SELECT DISTINCT unnest({of('s_suppkey')}) AS bit FROM supplier), k AS (SELECT DISTINCT l_suppkey FROM lineitem), a AS (SELECT l_suppkey, unnest({of('l_suppkey')}) AS bit FROM k) SELECT l_suppkey, bool_and(bit IN (SELECT bit FROM f)) AS contained FROM a GROUP BY 1"
+
+
+_BLOCK = f"({_sql_fnv('{v}', 0)} % {_BITS // 512}) * 512"
+
+
+@query(_bits_sql([f"{_BLOCK} + {_sql_fnv('{v}', i + 1)} % 512" for i in range(_HASHES)]))
 def bloom_blocked(spark, sf_dir):
     s, keys = V.table(spark, sf_dir, "supplier"), V.table(spark, sf_dir, "lineitem").select("l_suppkey").distinct()
     f = bloom.build(s, "s_suppkey", _BITS, _HASHES, bloom.blocked_positions)
     return bloom.contains(keys, "l_suppkey", f, _BITS, _HASHES, bloom.blocked_positions)
 
 
-@query()
+@query(_bits_sql([f"{_BLOCK} + (({_sql_fnv('{v}', 0)} >> {9 * i}) & 511)" for i in range(_HASHES)]))
 def bloom_one_hash(spark, sf_dir):
     s, keys = V.table(spark, sf_dir, "supplier"), V.table(spark, sf_dir, "lineitem").select("l_suppkey").distinct()
     f = bloom.build(s, "s_suppkey", _BITS, _HASHES, bloom.one_hash_positions)
@@ -802,12 +816,18 @@ def suffix_array(spark, sf_dir):
     return suffixes.suffix_array(V.benchmark_text(spark, sf_dir))
 
 
-@query(f"WITH {_SUFFIXES}, p AS (SELECT rank, seq_id, pos, suffix AS a, lag(suffix) OVER (ORDER BY rank) AS b FROM o) SELECT rank, seq_id, pos, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i::INTEGER, 1) <> substr(b, i::INTEGER, 1))) - 1, least(length(a), length(b))) END::INTEGER AS lcp FROM p")
+_PREFIXES = f"WITH {_SUFFIXES}, p AS (SELECT rank, seq_id, pos, suffix AS a, lag(suffix) OVER (ORDER BY rank) AS b FROM o), c AS (SELECT rank, seq_id, pos, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i::INTEGER, 1) <> substr(b, i::INTEGER, 1))) - 1, least(length(a), length(b))) END::INTEGER AS lcp FROM p)"
+
+
+@query(f"{_PREFIXES} SELECT rank, seq_id, pos, lcp FROM c")
 def suffix_common_prefixes(spark, sf_dir):
     return suffixes.common_prefixes(V.benchmark_text(spark, sf_dir))
 
 
-@query()
+@query(f"""{_PREFIXES}, e AS (SELECT rank, lcp FROM c UNION ALL SELECT count(*), -1 FROM c),
+l AS (SELECT x.rank, any_value(x.lcp) AS lcp, max(y.rank) AS lower FROM c x LEFT JOIN e y ON y.rank < x.rank AND y.lcp < x.lcp WHERE x.lcp > 0 GROUP BY 1),
+h AS (SELECT x.rank, min(y.rank) AS upper FROM c x JOIN e y ON y.rank > x.rank AND y.lcp < x.lcp WHERE x.lcp > 0 GROUP BY 1)
+SELECT DISTINCT lcp::BIGINT AS lcp, lower::BIGINT AS left, (upper - 1)::BIGINT AS right FROM l JOIN h USING (rank)""")
 def suffix_prefix_intervals(spark, sf_dir):
     return suffixes.prefix_intervals(suffixes.common_prefixes(V.benchmark_text(spark, sf_dir)))
 

@@ -209,6 +209,32 @@ def test_protein_codes_of_14_residues_come_back(spark):
 # Statistics and partitions.
 
 
+def test_pattern_ends_equal_full_tables(spark):
+    rng = random.Random(14)
+    texts = [random_dna(rng, rng.randint(0, 40), "abc") for _ in range(60)] + ["", "abcabc" * 20, "\U0001f600ab\U0001f600"]
+    patterns = ["ab", "abca", "ccba", "a" * 6, "abcabcabcabc", "\U0001f600a"]
+
+    def ends(text, pattern, most):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(pattern):
+            new = [i + 1]
+            for j, t in enumerate(text):
+                new.append(min(row[j] + (c != t), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return sum(x <= most for x in row[1:])
+
+    for most in (0, 1):
+        want = {p: sum(ends(t, p, most) for t in texts) for p in patterns}
+        assert all(edit.batch_hits(texts, p, most) == want[p] for p in patterns)
+        assert all(edit.pattern_hits(t, "abca", most) == ends(t, "abca", most) for t in texts)
+        d = spark.createDataFrame([(t,) for t in [*texts, None]], "sequence string").repartition(3)
+        listed = spark.createDataFrame([(p,) for p in patterns + patterns[:2]], "pattern string")
+        for at_once in (10_000, 2):
+            assert {r["pattern"]: r["hits"] for r in edit.pattern_counts(d, listed, most, at_once).collect()} == want
+    with pytest.raises(ValueError):
+        edit.batch_hits(["a"], "abc", 2)
+
+
 def test_ranked_is_a_global_order(spark):
     rng = random.Random(6)
     d = spark.createDataFrame([(i, rng.randint(0, 50)) for i in range(500)], "seq_id long, k int").repartition(7)
