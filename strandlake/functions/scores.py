@@ -6,7 +6,7 @@ import numpy as np
 
 # Lower triangle of the published matrix blosum62, rows and columns in
 # the order below.
-_ORDER = "ARNDCQEGHILKMFPSTWYV"
+_ORDER = "ARNDCQEGHILKMFPSTWYVBZX*"
 _BLOSUM62 = """
  4
 -1  5
@@ -28,6 +28,10 @@ _BLOSUM62 = """
 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
 -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
 
 
@@ -59,13 +63,13 @@ def unit(characters: str, match: int, mismatch: int, fold: bool = True) -> Score
 def named(name: str) -> Scores:
     if name == "blosum62":
         rows = [[int(x) for x in line.split()] for line in _BLOSUM62.strip("\n").split("\n")]
-        table = np.full((21, 21), -1)
+        table = np.full((len(_ORDER) + 1,) * 2, min(map(min, rows)))  # other characters: the least score
         for i, row in enumerate(rows):
             for j, x in enumerate(row):
                 table[i, j] = table[j, i] = x
         return Scores(_ORDER, table, fold=False)
     if name == "unit_score_aa":
-        return unit(_ORDER, 1, -1, fold=False)
+        return unit(_ORDER[:20], 1, -1, fold=False)
     if name == "unit_score_nuc":
         return unit("ACGT", 2, -1)
     if name == "unit_score_nuc_2_2":

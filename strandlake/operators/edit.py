@@ -222,9 +222,23 @@ def greedy_extension(u: str, v: str, most_error_percent: float = 20.0, history:
             if i + i - k >= 2 * history and h.bit_count() < least:
                 continue
             fresh[k] = (i, h)
-            if 2 * i - k > best[0] + best[1] and polished(h, i):
+            if 2 * i - k > best[0] + best[1] and polished(h, max(i, i - k)):
                 best = (i, i - k, d)
         front = fresh
         if d * 200.0 > most_error_percent * (m + n) + 200.0:
             break
     return best
+
+
+def greedy_extensions(pairs: DataFrame, most_error_percent: float = 20.0, history: int = 64, least_matches_percent: int = 55) -> DataFrame:
+    """(id, left_length, right_length, edits) for pairs (id, left, right): the longest
+    polished common start of each, by greedy_extension(). Nulls are empty. To extend to
+    the front, give reversed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(key, *greedy_extension(u or "", v or "", most_error_percent, history, least_matches_percent)) for key, u, v in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "left_length", "right_length", "edits"])
+
+    return pairs.select(F.col("id").cast("long").alias("id"), "left", "right").mapInArrow(run, "id long, left_length long, right_length long, edits long")

@@ -93,6 +93,25 @@ def duplicate_headers(sequences: DataFrame, short: bool = False) -> DataFrame:
     return sequences.groupBy(header.alias("header")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_files(paths: DataFrame, column: str = "path") -> DataFrame:
+    """(name, n): file names, without their folders, that several paths end in."""
+    return paths.groupBy(F.substring_index(column, "/", -1).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def bit_select(ranks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, position, bit): where the k-th one (from 1) of a bit vector stands, from words
+    in order (position, bits, rank), rank being the ones up to and with the word, and
+    wanted (k). Words are found by an equi-join on blocks of ones, not by a range."""
+    size = F.bit_count("bits")
+    own = ranks.where(size > 0).select("position", "bits", F.col("rank"), (F.col("rank") - size).alias("before"))
+    block = lambda c: F.floor(c / 1024)
+    own = own.select("*", F.explode(F.sequence(block(F.col("before") + 1), block(F.col("rank")))).alias("_block"))
+    asked = wanted.select("k").withColumn("_of", block(F.col("k")))
+    hit = asked.join(own, (F.col("_of") == F.col("_block")) & (F.col("k") > F.col("before")) & (F.col("k") <= F.col("rank")))
+    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1)
+    return hit.select("k", "position", F.get(ones, (F.col("k") - F.col("before") - 1).cast("int")).alias("bit"))
+
+
 def table_is_protein(sequences: DataFrame, most: int = 1000) -> DataFrame:
     """(is_protein): whether, among sequences before which fewer than `most` residues
     stand, one looks like protein. Only ids, lengths and flags of the first rows are

@@ -144,6 +144,39 @@ def prefix_intervals(table: DataFrame) -> DataFrame:
     return table.select(F.col("rank").cast("long").alias("rank"), F.col("lcp").cast("long").alias("lcp")).repartition(1).sortWithinPartitions("rank").mapInArrow(run, "lcp long, left long, right long")
 
 
+def saturated(table: DataFrame, most: int = 255) -> tuple[DataFrame, DataFrame]:
+    """From (rank, lcp) a byte for each rank, (rank, small), where `most` stands for that
+    or more, and (rank, lcp) of the few larger ones. restored() undoes it."""
+    small = table.select("rank", F.least("lcp", F.lit(most)).cast("smallint").alias("small"))
+    return small, table.where(F.col("lcp") >= most).select("rank", "lcp")
+
+
+def restored(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(rank, lcp) of saturated()."""
+    over = large.select(F.col("rank").alias("_rank"), F.col("lcp").alias("_lcp"))
+    return small.join(over, F.col("rank") == F.col("_rank"), "left").select("rank", F.coalesce("_lcp", F.col("small").cast("int")).cast("int").alias("lcp"))
+
+
+def prefix_bits(table: DataFrame) -> DataFrame:
+    """(seq_id, word, bits): the common prefixes in the order of the texts, as bits. With
+    lcp[p] that of the suffix at p, lcp[p] + 2 p rises from p to p + 1, so a text of n
+    characters is a bit vector with n ones at these places, 2 n and a few bits, kept in
+    words of 64. The bit of p is its p-th one: see prefix_of_bits()."""
+    at = F.col("lcp").cast("long") + 2 * F.col("pos").cast("long")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = table.select("seq_id", F.floor(at / 64).alias("word"), one.alias("bit"))
+    return words.groupBy("seq_id", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def prefix_of_bits(words: DataFrame) -> DataFrame:
+    """(seq_id, pos, lcp) from prefix_bits(): ranks of ones by running counts of words."""
+    before = F.coalesce(F.sum(F.bit_count("bits")).over(Window.partitionBy("seq_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ones = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1)) == 1)
+    rows = words.withColumn("before", before).select("seq_id", "word", "before", F.posexplode(ones).alias("k", "i"))
+    pos = F.col("before") + F.col("k")
+    return rows.select("seq_id", pos.cast("int").alias("pos"), (F.col("word") * 64 + F.col("i") - 2 * pos).cast("int").alias("lcp"))
+
+
 def skyline(table: DataFrame) -> DataFrame:
     """(rank, bar): a star for each shared character."""
     return table.select("rank", F.expr("repeat('*', lcp)").alias("bar"))

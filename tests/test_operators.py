@@ -209,6 +209,72 @@ def test_protein_codes_of_14_residues_come_back(spark):
 # Statistics and partitions.
 
 
+def test_common_prefixes_come_back_from_their_small_forms(spark):
+    rng = random.Random(15)
+    texts = [random_dna(rng, n, "ab") for n in (1, 70, 130)] + ["a" * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "seq_id long, sequence string")
+    table = suffixes.common_prefixes(d)
+    want = sorted((r["rank"], r["lcp"]) for r in table.collect())
+    for most in (255, 3):
+        small, large = suffixes.saturated(table, most)
+        assert large.count() == sum(x >= most for _, x in want) and sorted(map(tuple, suffixes.restored(small, large).collect())) == want
+    one = spark.createDataFrame([(0, "abracadabra" * 30)], "seq_id long, sequence string")
+    table = suffixes.common_prefixes(one)
+    words = suffixes.prefix_bits(table)
+    assert words.count() <= 2 * 330 / 64 + 2
+    assert sorted(map(tuple, suffixes.prefix_of_bits(words).collect())) == sorted((r["seq_id"], r["pos"], r["lcp"]) for r in table.collect())
+
+
+def test_bits_are_selected_by_their_rank(spark):
+    rng = random.Random(16)
+    words = [rng.getrandbits(63) if rng.random() < 0.7 else 0 for _ in range(90)]
+    ranks, ones, total = [], [], 0
+    for i, x in enumerate(words):
+        ones += [(i, b) for b in range(64) if x >> b & 1]
+        total += x.bit_count()
+        ranks.append((i, x, total))
+    d = spark.createDataFrame(ranks, "position long, bits long, rank long")
+    got = {r["k"]: (r["position"], r["bit"]) for r in stats.bit_select(d, spark.range(1, total + 5).select(F.col("id").alias("k"))).collect()}
+    assert got == {k + 1: x for k, x in enumerate(ones)}
+
+
+def test_files_of_one_name(spark):
+    d = spark.createDataFrame([("/a/x.fna",), ("/b/x.fna",), ("y.fna",)], "path string")
+    assert rows(stats.duplicate_files(d)) == [("x.fna", 2)]
+
+
+def test_extensions_of_pairs(spark):
+    u = random_dna(random.Random(3), 200)
+    v = u[:90] + "A" + u[90:150] + random_dna(random.Random(4), 50)
+    d = spark.createDataFrame([(1, u, v), (2, u, u), (3, None, u)], "id long, left string, right string")
+    assert rows(edit.greedy_extensions(d)) == [(1, *edit.greedy_extension(u, v)), (2, 200, 200, 0), (3, 0, 0, 0)]
+
+
+def test_functions_for_sql(spark):
+    from strandlake.functions import surfaces
+
+    surfaces.register(spark)
+    rng = random.Random(17)
+    texts = [random_dna(rng, 90, "ACGTN") for _ in range(6)] + [None]
+    d = seqs(spark, texts)
+    d.createOrReplaceTempView("surface_sequences")
+    got = spark.sql("SELECT m.hash, s.seq_id, m.pos FROM surface_sequences s, LATERAL minimizers(s.sequence, 4, 3) m")
+    assert rows(got) == rows(minimizers.sequence_minimizers(d, 4, 3)) and got.count()
+    hashes = qgrams.qgram_values(seqs(spark, [random_dna(rng, 3000)]), 12, columns=("value",))
+    hashes.createOrReplaceTempView("surface_hashes")
+    want = sketch.f0(sketch.slots(hashes, 2, 22), 2, 22).first()["f0"]
+    assert spark.sql("SELECT sketch_f0(value) AS f FROM surface_hashes").first()["f"] == pytest.approx(want)
+
+
+def test_blosum62_is_whole():
+    table = named("blosum62")
+    at = {c: i for i, c in enumerate(table.characters)}
+    score = lambda a, b: table.table[at[a], at[b]]
+    assert len(at) == 24 and (table.table == table.table.T).all()
+    assert (score("B", "D"), score("Z", "E"), score("X", "X"), score("*", "*"), score("*", "A"), score("W", "W")) == (4, 4, -1, 1, -4, 11)
+    assert table.table[table.encode("J")[0]].max() == -4
+
+
 def test_pattern_ends_equal_full_tables(spark):
     rng = random.Random(14)
     texts = [random_dna(rng, rng.randint(0, 40), "abc") for _ in range(60)] + ["", "abcabc" * 20, "\U0001f600ab\U0001f600"]
