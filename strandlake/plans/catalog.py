@@ -214,7 +214,7 @@ def non_n_range_summary(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(8)} SELECT qgram, count(*) AS n FROM g GROUP BY 1")
 def qgram_counts_k8(spark, sf_dir):
-    n = qgrams.counts(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 8, "code", columns=("value",)), "value")
+    n = qgrams.counts(qgrams.qgram_values(V.documents(spark, sf_dir), 8, "code", columns=("value",)), "value")
     return n.select(C.decode_code(F.col("value"), 8).alias("qgram"), "n")
 
 
@@ -224,12 +224,12 @@ def _code_sums(rows: DataFrame, column: str) -> DataFrame:
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 12)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def qgram_codes_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code", columns=("value",)), "value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)), "value")
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_code('qgram', 12, True)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def qgram_codes_rc_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code", columns=("rc_value",)), "rc_value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("rc_value",)), "rc_value")
 
 
 @query(f"WITH {V.SQL_BENCHMARK}, s AS (SELECT * FROM b), {V.sql_ranges()}, {V.sql_qgrams(9)} SELECT seq_id, pos, qgram, ({V.sql_code('qgram', 9)})::BIGINT AS code, ({V.sql_code('qgram', 9, True)})::BIGINT AS rc_code, qgram AS decoded FROM g")
@@ -266,7 +266,7 @@ def windows_with_wildcards(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_hash('qgram', 12)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")
 def rolling_hash_sum(spark, sf_dir):
-    return _code_sums(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, columns=("value",)), "value")
+    return _code_sums(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",)), "value")
 
 
 @query(f"WITH {V.SQL_BENCHMARK}, s AS (SELECT * FROM b), {V.sql_ranges()}, {V.sql_qgrams(8)} SELECT seq_id, pos, ({V.sql_hash('qgram', 8)} & 9223372036854775807::UBIGINT)::BIGINT AS hash, ({V.sql_hash('qgram', 8, True)} & 9223372036854775807::UBIGINT)::BIGINT AS rc_hash FROM g")
@@ -277,29 +277,29 @@ def rolling_hash_columns(spark, sf_dir):
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT seq_id, min(least({V.sql_hash('qgram', 12)} & 9223372036854775807::UBIGINT, {V.sql_hash('qgram', 12, True)} & 9223372036854775807::UBIGINT))::BIGINT AS hash FROM g GROUP BY 1")
 def canonical_hash_min(spark, sf_dir):
-    g = qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, columns=("seq_id", "value", "rc_value"))
+    g = qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("seq_id", "value", "rc_value"))
     return g.groupBy("seq_id").agg(F.min(C.canonical(F.col("value"), F.col("rc_value"))).alias("hash"))
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT seq_id, range_start, pos, ({V.sql_code('qgram', 12)})::BIGINT AS value FROM g WHERE (pos - range_start) % 50 = 0")
 def constant_distance_qgrams(spark, sf_dir):
-    return qgrams.constant_distance(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code"), 50)
+    return qgrams.constant_distance(qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code"), 50)
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(DISTINCT qgram) AS distinct_qgrams, count(*) AS qgrams FROM g")
 def distinct_qgrams(spark, sf_dir):
-    return qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code", columns=("value",)).agg(F.count_distinct("value").alias("distinct_qgrams"), F.count("*").alias("qgrams"))
+    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)).agg(F.count_distinct("value").alias("distinct_qgrams"), F.count("*").alias("qgrams"))
 
 
 @query()
 def approx_distinct_qgrams(spark, sf_dir):
-    return qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, "code", columns=("value",)).agg(F.approx_count_distinct("value").alias("distinct_qgrams"))
+    return qgrams.qgram_values(V.documents(spark, sf_dir), 12, "code", columns=("value",)).agg(F.approx_count_distinct("value").alias("distinct_qgrams"))
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(14)}, {V.SQL_BENCHMARK}, {V.sql_ranges('x', 'b')}, {V.sql_qgrams(14, 'h', 'x')} SELECT qgram FROM g INTERSECT SELECT qgram FROM h")
 def shared_qgrams(spark, sf_dir):
     """q-grams of both documents and benchmark."""
-    d, b = (qgrams.qgram_values(V.spread(t(spark, sf_dir)), 14, "code", columns=("value",)) for t in (V.documents, V.benchmark))
+    d, b = (qgrams.qgram_values(t(spark, sf_dir), 14, "code", columns=("value",)) for t in (V.documents, V.benchmark))
     return d.intersect(b).select(C.decode_code(F.col("value"), 14).alias("qgram"))
 
 
@@ -324,7 +324,7 @@ _S, _R = 2, 16
 
 
 def _slots(spark, sf_dir):
-    return sketch.slots(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, columns=("value",), top_zero_bits=_S), _S, _R)
+    return sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=_S), _S, _R)
 
 
 _SLOTS = f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)} AS h FROM g), t AS (SELECT (h & {(1 << _R) - 1}::UBIGINT)::BIGINT AS slot, count(*) AS n FROM h WHERE h >> {64 - _S} = 0 GROUP BY 1)"
@@ -333,7 +333,7 @@ _SLOTS = f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)}
 @query(f"{_RANGES}, {V.sql_qgrams(12)}, h AS (SELECT {V.sql_hash('qgram', 12)} AS h FROM g), t AS (SELECT (h & {(1 << 22) - 1}::UBIGINT)::BIGINT AS slot, count(*) AS n FROM h WHERE h >> 62 = 0 GROUP BY 1) SELECT round(-ln(({1 << 22} - count(*)) / {1 << 22}::DOUBLE) * {1 << 24}::DOUBLE, 3) AS f0 FROM t")
 def sketch_f0(spark, sf_dir):
     """Flagship: estimated number of distinct q-grams of all documents."""
-    s = sketch.slots(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, columns=("value",), top_zero_bits=2), 2, 22)
+    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=2), 2, 22)
     return sketch.f0(s, 2, 22).select(F.round("f0", 3).alias("f0"))
 
 
@@ -344,13 +344,13 @@ def sketch_slot_histogram(spark, sf_dir):
 
 @query()
 def sketch_moments(spark, sf_dir):
-    s = sketch.slots(qgrams.qgram_values(V.spread(V.documents(spark, sf_dir)), 12, columns=("value",), top_zero_bits=2), 2, 22)
+    s = sketch.slots(qgrams.qgram_values(V.documents(spark, sf_dir), 12, columns=("value",), top_zero_bits=2), 2, 22)
     return sketch.moments_table(s, 2, 22)
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(32)} SELECT count(*) AS f1, (SELECT count(*) FROM s) AS sequences_number FROM g")
 def sketch_f1(spark, sf_dir):
-    d = V.spread(V.documents(spark, sf_dir))
+    d = V.documents(spark, sf_dir)
     return qgrams.qgram_values(d, 32, columns=("value",)).agg(F.count("*").alias("f1")).crossJoin(d.agg(F.count("*").alias("sequences_number")))
 
 
@@ -401,7 +401,7 @@ _MINIMIZERS = f"{_RANGES}, {V.sql_qgrams(12)}, {_minimizer_sql('(' + V.sql_code(
 
 
 def _minimizers(spark, sf_dir):
-    return minimizers.sequence_minimizers(V.spread(V.documents(spark, sf_dir)), 12, 10)
+    return minimizers.sequence_minimizers(V.documents(spark, sf_dir), 12, 10)
 
 
 @query(f"{_MINIMIZERS} SELECT hash, seq_id, pos FROM m")
@@ -439,12 +439,12 @@ _TWO = f"{_RANGES}, {V.sql_qgrams(20)}, {V.SQL_BENCHMARK}, {V.sql_ranges('x', 'b
 
 
 def _both(spark, sf_dir, q=20):
-    return (qgrams.qgram_values(V.spread(t(spark, sf_dir)), q, "code") for t in (V.benchmark, V.documents))
+    return (qgrams.qgram_values(t(spark, sf_dir), q, "code") for t in (V.benchmark, V.documents))
 
 
 @query(f"{_TWO}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10, 'h').replace('m_w', 'a_w').replace('m AS', 'a AS', 1).replace('m AS (SELECT DISTINCT', 'a AS (SELECT DISTINCT')}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10)} SELECT a.seq_id AS ref_id, m.seq_id AS query_id, a.pos AS ref_pos, m.pos AS query_pos, a.hash FROM a JOIN m ON a.hash = m.hash")
 def seed_matches(spark, sf_dir):
-    b, d = (minimizers.sequence_minimizers(V.spread(t(spark, sf_dir)), 20, 10) for t in (V.benchmark, V.documents))
+    b, d = (minimizers.sequence_minimizers(t(spark, sf_dir), 20, 10) for t in (V.benchmark, V.documents))
     return matches.seed_matches(b, d)
 
 
@@ -461,7 +461,7 @@ def maximal_matches(spark, sf_dir):
 
 @query(f"{_MEMS} SELECT * FROM n WHERE length >= 40")
 def extended_minimizer_matches(spark, sf_dir):
-    b, d = (minimizers.sequence_minimizers(V.spread(t(spark, sf_dir)), 20, 10) for t in (V.benchmark, V.documents))
+    b, d = (minimizers.sequence_minimizers(t(spark, sf_dir), 20, 10) for t in (V.benchmark, V.documents))
     return matches.extended_matches(matches.seed_matches(b, d), V.benchmark(spark, sf_dir), V.documents(spark, sf_dir), 20, 40)
 
 
@@ -886,17 +886,14 @@ def without_duplicates(spark, sf_dir):
 def _file_round_trip(spark, sf_dir, kind: str) -> DataFrame:
     from strandlake.sources import records, sinks, tables
 
-    path = tables.fresh_path(spark, kind).removeprefix("file://")
+    path = tables.fresh_path(spark, kind)
     d = V.documents(spark, sf_dir).where(F.length("sequence") > 0)
     if kind == "fasta":
-        sinks.write_fasta(d, f"file://{path}", width=70)
-        records.register(spark)
-        back = records.dense_ids(spark.read.format("fasta").load(path))
+        sinks.write_fasta(d, path, width=70)
     else:
-        q = F.repeat(F.lit("I"), F.length("sequence"))
-        sinks.write_fastq(d.withColumn("quality", q), f"file://{path}")
-        records.register(spark)
-        back = records.dense_ids(spark.read.format("fastq").load(path))
+        sinks.write_fastq(d.withColumn("quality", F.repeat(F.lit("I"), F.length("sequence"))), path)
+    records.register(spark)
+    back = records.dense_ids(spark.read.format(kind).load(path))
     return back.select(F.col("seq_id"), "header", F.md5(F.col("sequence").cast("binary")).alias("sequence"), F.length("quality").alias("quality_length") if kind == "fastq" else F.length("sequence").alias("length"))
 
 

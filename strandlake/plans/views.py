@@ -14,10 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the scan has fewer parts than there are cores (a
-    small table in one file); larger tables stay as they are scanned, unshuffled."""
+    """Deal rows out to all cores if the scan has no more parts than there are cores: a
+    part of so small a table is less than a row group of a file, and parts without the
+    start of a row group are empty. Larger tables stay as they are scanned, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 1 < cores and df.rdd.getNumPartitions() <= cores else df
 
 
 def as_dna(text: Column) -> Column:
@@ -28,11 +29,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, header, sequence): letters by their place in the alphabet modulo 4 as
     A, C, G, T; line ends as N; all else left out."""
     header = F.concat_ws("|", "source", F.col("doc_id").cast("string"), "lang")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), header.alias("header"), as_dna(F.col("text")).alias("sequence"))
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return raw.select(F.col("doc_id").alias("seq_id"), header.alias("header"), as_dna(F.col("text")).alias("sequence"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("header"), as_dna(F.col("text")).alias("sequence"))
+    return spread(table(spark, sf_dir, "benchmark").select("item_id", "text")).select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("header"), as_dna(F.col("text")).alias("sequence"))
 
 
 def benchmark_text(spark: SparkSession, sf_dir: str) -> DataFrame:
