@@ -1,10 +1,12 @@
 """Suffix and common-prefix tables of texts.
 
-The table is built by prefix doubling: the rank of a suffix by its first 2 d
-characters follows from ranks by d characters at two positions, so each round is one
-join on positions and one range-partitioned sort. Rounds end when all ranks differ,
-or when d passes the longest text. Suffixes end where their text ends; a suffix that
-is another's prefix comes first, and equal suffixes go by (seq_id, pos)."""
+The table is built by prefix doubling: suffixes are ranked by their first HEAD
+characters at once, as strings; then the rank of a suffix by its first 2 d characters
+follows from ranks by d characters at two positions, so each round is one join on
+positions and one range-partitioned sort. Rounds end when all ranks differ, or when a
+round parts no suffixes: then those of equal rank are equal to their ends. Suffixes end
+where their text ends; a suffix that is another's prefix comes first, and equal
+suffixes go by (seq_id, pos)."""
 
 from __future__ import annotations
 
@@ -17,56 +19,86 @@ from pyspark.sql import functions as F
 from strandlake.operators.stats import ranked
 from strandlake.sources.tables import written
 
+#: Characters by which suffixes are ranked first.
+HEAD = 32
 
-def _dense(pairs: DataFrame) -> DataFrame:
-    """(seq_id, pos, rank) from (seq_id, pos, r1, r2): ranks of distinct pairs."""
-    values = ranked(pairs.select("r1", "r2").distinct(), "r1", "r2").select(F.col("r1").alias("v1"), F.col("r2").alias("v2"), "rank")
-    return pairs.join(values, (F.col("r1") == F.col("v1")) & (F.col("r2") == F.col("v2"))).select("seq_id", "pos", "rank")
+
+def heads(texts: DataFrame, n: int = HEAD, size: int = 256) -> DataFrame:
+    """(seq_id, pos, head): the first n characters of each suffix, fewer at the end of a
+    text. They are cut out of chunks of `size` starts, not of the whole text each."""
+    chunks = texts.where(F.length("sequence") > 0).select("seq_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(size))).alias("at"))
+    chunks = chunks.select("seq_id", "at", F.substr("sequence", F.col("at") + 1, F.lit(size + n - 1)).alias("chunk"))
+    starts = chunks.select("seq_id", "at", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.length("chunk")) - 1)).alias("i"))
+    return starts.select("seq_id", (F.col("at") + F.col("i")).alias("pos"), F.substr("chunk", F.col("i") + 1, F.lit(n)).alias("head"))
+
+
+def _classes(level: DataFrame) -> tuple[int, int]:
+    """Rows of a level, and its different ranks: those are 0, 1, ... without gaps."""
+    r = level.agg(F.count("*").alias("n"), F.max("rank").alias("top")).first()
+    return r["n"], (-1 if r["top"] is None else r["top"]) + 1
 
 
 def rank_levels(texts: DataFrame) -> list[DataFrame]:
-    """Ranks by the first 1, 2, 4, ... characters; each level is a written table."""
-    chars = texts.where(F.length("sequence") > 0).select("seq_id", F.posexplode(F.filter(F.split("sequence", ""), lambda c: c != "")).alias("pos", "char"))
-    level = written(_dense(chars.select("seq_id", "pos", F.col("char").alias("r1"), F.lit(0).alias("r2"))), "ranks")
-    levels, d = [level], 1
-    while True:
-        n = level.agg(F.count("*").alias("n"), F.count_distinct("rank").alias("r")).first()
-        if n["n"] == n["r"]:
-            return levels
+    """(seq_id, pos, rank) by the first HEAD, 2 HEAD, 4 HEAD, ... characters; each level
+    is a written table, and the first one has the heads too. Suffixes that share a rank
+    of the last level are equal."""
+    first = heads(texts)
+    values = ranked(first.select("head").distinct(), "head").select(F.col("head").alias("value"), "rank")
+    level = written(first.join(values, F.col("head") == F.col("value")).select("seq_id", "pos", "rank", "head"), "ranks")
+    levels, d, (rows, ranks) = [level], HEAD, _classes(level)
+    while ranks < rows:
         after = level.select(F.col("seq_id").alias("s"), (F.col("pos") - d).alias("p"), F.col("rank").alias("r2"))
         pairs = level.join(after, (F.col("seq_id") == F.col("s")) & (F.col("pos") == F.col("p")), "left").select("seq_id", "pos", F.col("rank").alias("r1"), F.coalesce("r2", F.lit(-1)).alias("r2"))
-        fresh = written(_dense(pairs), "ranks")
-        if fresh.select("rank").distinct().count() == n["r"]:  # equal suffixes of different texts only
-            return levels
-        level, d = fresh, 2 * d
+        pairs = written(pairs, "pairs")
+        values = ranked(pairs.select("r1", "r2").distinct(), "r1", "r2").select(F.col("r1").alias("v1"), F.col("r2").alias("v2"), "rank")
+        level = written(pairs.join(values, (F.col("r1") == F.col("v1")) & (F.col("r2") == F.col("v2"))).select("seq_id", "pos", "rank"), "ranks")
+        before, (rows, ranks), d = ranks, _classes(level), 2 * d
+        if ranks == before:
+            break
         levels.append(level)
+    return levels
+
+
+def _in_order(level: DataFrame) -> DataFrame:
+    return ranked(level.select("seq_id", "pos", F.col("rank").alias("_r")), "_r", "seq_id", "pos").select("rank", "seq_id", "pos")
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
     """(rank, seq_id, pos)."""
-    last = rank_levels(texts)[-1].withColumnRenamed("rank", "_r")
-    return ranked(last, "_r", "seq_id", "pos").select("rank", "seq_id", "pos")
+    return _in_order(rank_levels(texts)[-1])
 
 
 def common_prefixes(texts: DataFrame) -> DataFrame:
     """(rank, seq_id, pos, lcp): lcp with the suffix of the rank before; 0 at rank 0.
-    Ranks at 2**k characters tell whether two suffixes share them: from the largest
-    level down, each shared level adds its length and moves both on."""
+    Ranks at d characters tell whether two suffixes share them: from the largest level
+    down, each shared level adds its length and moves both on. Those that share the last
+    level are equal to their ends, and what is left below HEAD is seen in the heads."""
     levels = rank_levels(texts)
-    order = ranked(levels[-1].withColumnRenamed("rank", "_r"), "_r", "seq_id", "pos").select("rank", "seq_id", "pos")
-    before = order.select((F.col("rank") + 1).alias("rank"), F.col("seq_id").alias("s2"), F.col("pos").alias("p2"))
-    pair = order.join(before, "rank", "left").select("rank", "seq_id", "pos", F.col("pos").alias("p1"), "s2", "p2", F.lit(0).alias("lcp"))
+    order = _in_order(levels[-1])
+    before = order.select((F.col("rank") + 1).alias("_rank"), F.col("seq_id").alias("s2"), F.col("pos").alias("p2"))
     lengths = texts.select(F.col("seq_id").alias("s"), F.length("sequence").alias("n"))
+    pair = order.join(before, F.col("rank") == F.col("_rank"), "left").join(lengths, F.col("seq_id") == F.col("s"))
+    pair = pair.select("rank", "seq_id", "pos", "n", F.col("pos").alias("p1"), "s2", "p2")
+    kept = ["rank", "seq_id", "pos", "n", "s2"]
     for k in range(len(levels) - 1, -1, -1):
-        r1 = levels[k].select(F.col("seq_id").alias("a"), F.col("pos").alias("x"), F.col("rank").alias("ra"))
-        r2 = levels[k].select(F.col("seq_id").alias("b"), F.col("pos").alias("y"), F.col("rank").alias("rb"))
-        j = pair.join(r1, (F.col("seq_id") == F.col("a")) & (F.col("p1") == F.col("x")), "left").join(r2, (F.col("s2") == F.col("b")) & (F.col("p2") == F.col("y")), "left")
-        j = j.join(lengths, F.col("seq_id") == F.col("s"))
-        # Equal ranks may also mean that both texts end before 2**k characters.
-        step = F.when(F.col("ra") == F.col("rb"), F.least(F.lit(1 << k), F.col("n") - F.col("p1"))).otherwise(0)
-        pair = j.withColumn("_step", step).select("rank", "seq_id", "pos", (F.col("p1") + F.col("_step")).alias("p1"), "s2", (F.col("p2") + F.col("_step")).alias("p2"), (F.col("lcp") + F.col("_step")).cast("int").alias("lcp"))
-        pair = written(pair, "prefixes")
-    return pair.select("rank", "seq_id", "pos", "lcp")
+        pair = _beside(pair, levels[k], "rank")
+        # Equal ranks may also mean that both texts end before that many characters.
+        rest = F.col("n") - F.col("p1")
+        shared = rest if k == len(levels) - 1 else F.least(F.lit(HEAD << k), rest)
+        step = F.when(F.col("x1") == F.col("x2"), shared).otherwise(0)
+        pair = written(pair.select(*kept, (F.col("p1") + step).alias("p1"), (F.col("p2") + step).alias("p2")), "prefixes")
+    pair = _beside(pair, levels[0], "head")
+    a, b = F.coalesce("x1", F.lit("")), F.coalesce("x2", F.lit(""))
+    places = F.filter(F.sequence(F.lit(1), F.lit(HEAD)), lambda i: (i <= F.length(a)) & (i <= F.length(b)))
+    same = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i).otherwise(n))
+    return pair.select("rank", "seq_id", "pos", (F.col("p1") - F.col("pos") + same).cast("int").alias("lcp"))
+
+
+def _beside(pair: DataFrame, level: DataFrame, column: str) -> DataFrame:
+    """pair with a level's column at both of its places, as x1 and x2; null past an end."""
+    one = level.select(F.col("seq_id").alias("a"), F.col("pos").alias("x"), F.col(column).alias("x1"))
+    two = level.select(F.col("seq_id").alias("b"), F.col("pos").alias("y"), F.col(column).alias("x2"))
+    return pair.join(one, (F.col("seq_id") == F.col("a")) & (F.col("p1") == F.col("x")), "left").join(two, (F.col("s2") == F.col("b")) & (F.col("p2") == F.col("y")), "left").drop("a", "x", "b", "y")
 
 
 def is_ordered(table: DataFrame, texts: DataFrame) -> bool:

@@ -552,6 +552,16 @@ def test_suffix_tables_equal_sorted_suffixes(spark):
 
     lcp = [0] + [shared(a[0], b[0]) for a, b in zip(want, want[1:])]
     assert [g[3] for g in got] == lcp
+    # Copies that differ from all else early, texts around the chunks' ends, and others.
+    long = random_dna(rng, 600)
+    many = [long, long, long[:287], long[:288], long[5:261], long[:40] + "é" + long[40:80], "x" * 90, "x" * 91, "y"]
+    e = seqs(spark, many)
+    ordered = sorted((t[p:], i, p) for i, t in enumerate(many) for p in range(len(t)))
+    assert rows(suffixes.common_prefixes(e)) == [(r, i, p, shared(ordered[r - 1][0], x) if r else 0) for r, (x, i, p) in enumerate(ordered)]
+    copies = [long, long]  # no round parts anything
+    ordered = sorted((t[p:], i, p) for i, t in enumerate(copies) for p in range(len(t)))
+    assert rows(suffixes.common_prefixes(seqs(spark, copies))) == [(r, i, p, shared(ordered[r - 1][0], x) if r else 0) for r, (x, i, p) in enumerate(ordered)]
+    assert rows(suffixes.common_prefixes(seqs(spark, ["", ""]))) == []
     assert suffixes.is_ordered(suffixes.suffix_array(d), d)
     intervals = set()
     for i in range(len(lcp)):
