@@ -145,35 +145,87 @@ def longest_prefixes(queries: DataFrame, texts: DataFrame) -> DataFrame:
         q = written(hit.select("query", low.cast("int").alias("low"), high.cast("int").alias("high")), "prefixes")
 
 
-def prefix_intervals(table: DataFrame) -> DataFrame:
+def prefix_intervals(table: DataFrame, block: int = 1 << 16) -> DataFrame:
     """(lcp, left, right): maximal rank intervals that share a prefix of lcp > 0
-    characters, bottom up with a stack over (rank, lcp) in order: a stream of two
-    numbers a suffix."""
+    characters, bottom up with a stack over (rank, lcp) in order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack, n, rows = [(0, 0)], 0, []
-        names = ["lcp", "left", "right"]
-        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [(), (), ()])], names=names)
+    Blocks of ranks have stacks of their own and give the intervals that they hold
+    whole. What is left of a block is each new least lcp since its start, which closes
+    intervals from before, and what is open at its end: a few rows a block. Only those
+    are read in order by one task, as a stream."""
+    names = ["block", "at", "rank", "lcp", "left", "right"]
 
-        def close(value: int, rank: int) -> None:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        now, last, at, stack = None, 0, 0, []
+
+        def left_open(rank: int, lcp: int, left: int | None) -> None:
+            nonlocal at
+            rows.append((now, at, rank, lcp, left, None))
+            at += 1
+
+        def finish() -> None:
+            for lcp, left in stack[1:]:
+                left_open(last, lcp, left)
+            left_open(last, -1, None)
+
+        for b in batches:
+            for of, rank, lcp in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if of != now:
+                    if now is not None:
+                        finish()
+                    now, at, stack = of, 0, []
+                last = rank
+                if not rank:
+                    continue
+                left = rank - 1
+                while len(stack) > 1 and stack[-1][0] > lcp:
+                    depth, left = stack.pop()
+                    rows.append((now, None, None, depth, left, rank - 1))
+                if not stack or stack[0][0] > lcp:
+                    stack[:] = [(lcp, None)]  # a new least one: its left end may be in a block before
+                    left_open(rank, lcp, None)
+                elif stack[-1][0] < lcp:
+                    stack.append((lcp, left))
+            yield _long_batch(rows, names)
+            rows.clear()
+        if now is not None:
+            finish()
+        yield _long_batch(rows, names)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        stack, n = [(0, 0)], 0
+
+        def close(lcp: int, rank: int) -> None:
             left = rank - 1
-            while stack[-1][0] > value:
+            while stack[-1][0] > lcp:
                 depth, left = stack.pop()
                 rows.append((depth, left, rank - 1))
-            if stack[-1][0] < value:
-                stack.append((value, left))
+            if stack[-1][0] < lcp:
+                stack.append((lcp, left))
 
         for b in batches:
-            for rank, lcp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if rank:
+            for rank, lcp, left in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if left is not None:
+                    stack.append((lcp, left))
+                elif lcp >= 0:
                     close(lcp, rank)
                 n = rank + 1
-            yield make()
+            yield _long_batch(rows, names[3:])
             rows.clear()
         close(0, n)
-        yield make()
+        yield _long_batch(rows, names[3:])
+
+    ranks = table.select(F.floor(F.col("rank") / block).alias("block"), F.col("rank").cast("long").alias("rank"), F.col("lcp").cast("long").alias("lcp"))
+    parts = written(ranks.repartition("block").sortWithinPartitions("block", "rank").mapInArrow(local, ", ".join(f"{n} long" for n in names)), "intervals")
+    rest = parts.where("right is null").repartition(1).sortWithinPartitions("block", "at").select("rank", "lcp", "left")
+    return parts.where("right is not null").select("lcp", "left", "right").unionByName(rest.mapInArrow(joined, "lcp long, left long, right long"))
+
 
-    return table.select(F.col("rank").cast("long").alias("rank"), F.col("lcp").cast("long").alias("lcp")).repartition(1).sortWithinPartitions("rank").mapInArrow(run, "lcp long, left long, right long")
+def _long_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def saturated(table: DataFrame, most: int = 255) -> tuple[DataFrame, DataFrame]:

@@ -569,7 +569,19 @@ def test_suffix_tables_equal_sorted_suffixes(spark):
             inner = min(lcp[i + 1 : j + 1])
             if inner > (lcp[i] if i else 0) and (j + 1 == len(lcp) or lcp[j + 1] < inner):
                 intervals.add((inner, i, j))
-    assert set(rows(suffixes.prefix_intervals(table))) == intervals
+    for block in (1 << 16, 1, 2, 3, 7):  # blocks that hold all, a single rank, and parts of intervals
+        assert rows(suffixes.prefix_intervals(table, block)) == sorted(intervals)
+    for case in range(6):
+        values = [0] + [rng.randrange(0, 2 + case) for _ in range(rng.randrange(1, 60))]
+        whole = spark.createDataFrame(list(enumerate(values)), "rank long, lcp int").repartition(3)
+        want_intervals = set()
+        for i, v in enumerate(values):
+            if v:
+                left = max((k for k in range(i) if values[k] < v), default=0)
+                right = next((k for k in range(i + 1, len(values)) if values[k] < v), len(values)) - 1
+                want_intervals.add((v, left, right))
+        assert rows(suffixes.prefix_intervals(whole, 1 + 2 * case)) == sorted(want_intervals)
+    assert rows(suffixes.prefix_intervals(table.limit(0))) == []
     q = spark.createDataFrame([("ababb",), ("bbbbbbbbb",), ("xa",), ("",)], "query string")
     joined = [max(k for k in range(len(x) + 1) if any(x[:k] in t for t in texts)) for x in ("", "ababb", "bbbbbbbbb", "xa")]
     assert [r[1] for r in rows(suffixes.longest_prefixes(q, d))] == joined
