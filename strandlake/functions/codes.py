@@ -6,6 +6,8 @@ table of literals and nothing rolls."""
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -161,19 +163,49 @@ def runs(r: np.ndarray, size: int, least: int) -> list[tuple[int, int]]:
 
 
 def window_hashes(r: np.ndarray, q: int, alphabet: str = DNA, reverse: bool = False) -> np.ndarray:
-    """Hashes (uint64) of all q-grams of a run of ranks; of reverse complements if asked."""
-    table = np.array(seed_table(q, alphabet), dtype=np.uint64)
-    n = len(r) - q + 1
+    """Hashes (uint64) of all q-grams of a run of ranks; of reverse complements if asked.
+    Characters are looked up some at a time, by the code of a short window."""
+    n = max(0, len(r) - q + 1)
     total = np.zeros(n, dtype=np.uint64)
-    for i in range(q):
-        part = r[i : i + n]
-        total ^= table[q - 1 - i][3 - part] if reverse else table[i][part]
+    codes: dict[int, np.ndarray] = {}
+    for at, width, table in _hash_tables(q, alphabet, reverse):
+        if width not in codes:
+            codes[width] = window_codes(r, width, len(alphabet))
+        total ^= table.take(codes[width][at : at + n])
     return total
 
 
+@functools.lru_cache(maxsize=32)
+def _hash_tables(q: int, alphabet: str, reverse: bool) -> list[tuple[int, int, np.ndarray]]:
+    """(place, width, table) for each piece of a q-gram: what the piece with a code adds
+    to the hash. Tables have at most 2**16 rows."""
+    seeds = np.array(seed_table(q, alphabet), dtype=np.uint64)
+    rows = [seeds[q - 1 - i][::-1] if reverse else seeds[i] for i in range(q)]
+    widest = 1
+    while len(alphabet) ** (widest + 1) <= 1 << 16:
+        widest += 1
+    out = []
+    for at in range(0, q, widest):
+        table = np.zeros(1, dtype=np.uint64)
+        for row in rows[at : at + widest]:
+            table = (table[:, None] ^ row[None, :]).ravel()
+        out.append((at, min(widest, q - at), table))
+    return out
+
+
 def window_codes(r: np.ndarray, q: int, size: int = 4, reverse: bool = False) -> np.ndarray:
-    n = len(r) - q + 1
-    total = np.zeros(n, dtype=np.int64)
-    for i in range(q):
-        total = total * size + (3 - r[q - 1 - i : q - 1 - i + n].astype(np.int64) if reverse else r[i : i + n])
-    return total
+    """Integer codes of all q-grams of a run of ranks; of reverse complements if asked.
+    Codes of w characters make those of 2 w, and the widths in q are joined."""
+    n = max(0, len(r) - q + 1)
+    step = (3 - r.astype(np.int64)) if reverse else r.astype(np.int64)
+    total, done, width = np.zeros(n, dtype=np.int64), 0, 1
+    while True:
+        if q & width:
+            part = step[done : done + n]
+            total = part * size**done + total if reverse else total * size**width + part
+            done += width
+        if done == q:
+            return total
+        first, second = step[:-width], step[width:]
+        step = second * size**width + first if reverse else first * size**width + second
+        width *= 2
