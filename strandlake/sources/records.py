@@ -11,6 +11,7 @@ seq_id that grows in file order; `dense_ids` turns these into 0, 1, 2, ..."""
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import gzip
 import io
@@ -18,6 +19,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,13 +31,25 @@ class CorruptSequence(ValueError):
     """A record that can't be read; the message has its file and line."""
 
 
+def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or address (file, hdfs, s3, gs, ...), and the path there."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def opened(path: str) -> io.BufferedReader:
+    where, name = located(path)
+    return io.BufferedReader(where.open_input_file(name), 1 << 20)
+
+
+def size_of(path: str) -> int:
+    where, name = located(path)
+    return where.get_file_info(name).size
+
+
 def open_any(path: str) -> io.BufferedReader:
     """A file for reading; gzip by its first bytes, whatever its name."""
-    f = open(path, "rb")
-    if f.peek(2)[:2] == b"\x1f\x8b":
-        f.close()
-        return gzip.open(path, "rb")
-    return f
+    f = opened(path)
+    return gzip.open(f, "rb") if f.peek(2)[:2] == b"\x1f\x8b" else f
 
 
 def is_fastq(path: str) -> bool:
@@ -112,8 +126,8 @@ def record_start(f, at: int, size: int, fastq: bool) -> int:
 
 def byte_ranges(path: str, parts: int, fastq: bool) -> list[tuple[int, int]]:
     """Byte ranges of whole records, of about equal size; compressed files are refused."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    size = size_of(path)
+    with opened(path) as f:
         if f.read(2) == b"\x1f\x8b":
             raise ValueError(f"{path}: a compressed file cannot be split")
         cuts = sorted({record_start(f, size * i // parts, size, fastq) for i in range(parts)} | {size})
@@ -121,12 +135,35 @@ def byte_ranges(path: str, parts: int, fastq: bool) -> list[tuple[int, int]]:
 
 
 def _paths(pattern: str) -> list[str]:
-    pattern = pattern.removeprefix("file://")
-    found = sorted(p for x in pattern.split(",") for p in (glob.glob(os.path.join(x, "*")) if os.path.isdir(x) else glob.glob(x) or [x]))
-    missing = [p for p in found if not os.path.exists(p)]
+    """Files of a path, a folder or a pattern, or of several with commas, in order.
+    Addresses keep their scheme and host, but for those of local files."""
+    found = sorted(p for x in pattern.split(",") for p in _found(x.removeprefix("file://")))
+    return [p for p in found if not os.path.basename(p).startswith(("_", "."))]
+
+
+def _found(pattern: str) -> list[str]:
+    if "://" not in pattern:
+        names = glob.glob(os.path.join(pattern, "*")) if os.path.isdir(pattern) else glob.glob(pattern) or [pattern]
+        missing = [p for p in names if not os.path.exists(p)]
+    else:
+        names, missing = _remote(*located(pattern), pattern)
     if missing:
         raise FileNotFoundError(f"{missing[0]}: cannot open file")
-    return [p for p in found if not os.path.basename(p).startswith(("_", "."))]
+    return names
+
+
+def _remote(where: pyarrow.fs.FileSystem, name: str, address: str) -> tuple[list[str], list[str]]:
+    """Addresses of the files that a path or pattern of a file system stands for, and
+    those of none. Patterns are in the last part only."""
+    front = address[: -len(name)] if address.endswith(name) else address.split("://")[0] + "://"
+    files = lambda folder: [i.path for i in where.get_file_info(pyarrow.fs.FileSelector(folder)) if i.type == pyarrow.fs.FileType.File]
+    folder, last = os.path.split(name)
+    if any(c in last for c in "*?["):
+        names = [p for p in files(folder) if fnmatch.fnmatch(os.path.basename(p), last)]
+    else:
+        kind = where.get_file_info(name).type
+        names = files(name) if kind == pyarrow.fs.FileType.Directory else [name] if kind == pyarrow.fs.FileType.File else []
+    return [front + p for p in names], [] if names else [address]
 
 
 class _Reader(DataSourceReader):
@@ -137,9 +174,9 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for path in _paths(self.paths):
-            with open(path, "rb") as f:
+            with opened(path) as f:
                 packed = f.read(2) == b"\x1f\x8b"
-            size = os.path.getsize(path)
+            size = size_of(path)
             if packed or size <= self.range_bytes:
                 out.append(_Range(path, 0, None))
             else:
@@ -247,31 +284,48 @@ def pair_list(spark: SparkSession, path: str) -> DataFrame:
     return pairs
 
 
+def _pieces(spark: SparkSession, pieces: list[tuple[str, int, int]]) -> DataFrame:
+    """A row and a partition for each piece (file, start, end) that a task reads."""
+    rows = spark.createDataFrame(pieces, "file string, start long, end long")
+    return rows.repartitionByRange(max(1, len(pieces)), "file", "start")
+
+
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, content) of tar files, plain or compressed (gz, bz2, xz)."""
+    """(archive, member, content) of tar files, plain or compressed (gz, bz2, xz). An
+    archive is one task's work; it is read as a stream, a member at a time."""
     import tarfile
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+            for archive in b.column(0).to_pylist():
+                with opened(archive) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
                     for m in tar:
                         if m.isfile():
                             yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([m.name]), pa.array([tar.extractfile(m).read()], pa.binary())], names=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
+    return _pieces(spark, [(p, 0, 0) for p in _paths(path)]).mapInArrow(run, "archive string, member string, content binary")
 
 
-def binary_column(spark: SparkSession, path: str, dtype: str = "<u4") -> DataFrame:
-    """(file, at, value) of files that hold one column of fixed-width numbers."""
+def binary_column(spark: SparkSession, path: str, dtype: str = "<u4", piece: int = 1 << 24) -> DataFrame:
+    """(file, at, value) of files that hold one column of fixed-width numbers. Pieces of
+    `piece` numbers are tasks of their own, so a file may have any size."""
     import numpy as np
 
+    width = np.dtype(dtype).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(content, dtype=dtype).astype(np.int64)
-                for i in range(0, len(v), 1 << 20):
-                    part = v[i : i + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(part)], names=["file", "at", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, at long, value long")
+            for name, start, end in zip(*(b.column(i).to_pylist() for i in range(3))):
+                with opened(name) as f:
+                    f.seek(start * width)
+                    for at in range(start, end, 1 << 20):
+                        v = np.frombuffer(f.read(width * min(1 << 20, end - at)), dtype=dtype).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(np.arange(at, at + len(v))), pa.array(v)], names=["file", "at", "value"])
+
+    pieces = []
+    for p in _paths(path):
+        size = size_of(p)
+        if size % width:
+            raise ValueError(f"{p}: its size, {size}, is no multiple of {width}")
+        pieces += [(p, at, min(at + piece, size // width)) for at in range(0, size // width, piece)]
+    return _pieces(spark, pieces).mapInArrow(run, "file string, at long, value long")

@@ -80,6 +80,10 @@ def test_tables_of_text(spark, tmp_path):
         records.pair_list(spark, str(tmp_path / "p.tsv"))
     np.arange(9, dtype="<u4").tofile(tmp_path / "v.bin")
     assert [r["value"] for r in records.binary_column(spark, str(tmp_path / "v.bin")).orderBy("at").collect()] == list(range(9))
+    assert [(r["at"], r["value"]) for r in records.binary_column(spark, f"file://{tmp_path}/v.bin", piece=2).orderBy("at").collect()] == [(i, i) for i in range(9)]
+    (tmp_path / "odd.bin").write_bytes(b"12345")
+    with pytest.raises(ValueError, match="no multiple of 4"):
+        records.binary_column(spark, str(tmp_path / "odd.bin"))
     with tarfile.open(tmp_path / "a.tar.bz2", "w:bz2") as tar:
         for name in ("x", "y"):
             info = tarfile.TarInfo(name)
@@ -89,6 +93,20 @@ def test_tables_of_text(spark, tmp_path):
     assert records.lines(spark, [str(tmp_path / "m.txt"), str(tmp_path / "bad.txt")], True).count() == 4
 
 
+def test_addresses_of_file_systems(tmp_path):
+    import pyarrow.fs
+
+    for name in ("a.fa", "b.fa", "c.txt"):
+        (tmp_path / name).write_text(name)
+    at = lambda name: records._remote(pyarrow.fs.LocalFileSystem(), f"{tmp_path}{name}", f"store://host{tmp_path}{name}")
+    full = lambda *names: [f"store://host{tmp_path}/{n}" for n in names]
+    assert sorted(at("")[0]) == full("a.fa", "b.fa", "c.txt")
+    assert sorted(at("/*.fa")[0]) == full("a.fa", "b.fa")
+    assert at("/c.txt") == (full("c.txt"), [])
+    assert at("/none") == ([], full("none"))
+    assert records.opened(f"file://{tmp_path}/a.fa").read() == b"a.fa" and records.size_of(f"file://{tmp_path}/c.txt") == 5
+
+
 def test_parts_and_indexes(spark, sequences, tmp_path):
     parts = partition.in_parts(sequences, 4)
     sinks.write_parts(sequences, parts, str(tmp_path / "parts"), 30)
