@@ -88,6 +88,32 @@ def test_trie_join_equals_brute_force(seed):
         assert all(jaccard.may_link(described[i], described[j], percent) for i, j in want)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unlike_sets_of_any_size_stay_apart(percent):
+    rng = np.random.default_rng(percent)
+    for size in (40, 63, 100, 127, 250, 340, 500, 511, 1000, 1023):
+        sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(120)]
+        held = [(len(x), bits, value.to_bytes(bits // 8, "little")) for x in sets for bits, value in [jaccard.sketch(x, percent)]]
+        assert jaccard.parts(held, percent) == list(range(120))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_parts_of_large_buckets_equal_those_set_by_set(percent, monkeypatch):
+    rng = np.random.default_rng(percent)
+    held = []
+    for _ in range(90):
+        whole = rng.integers(0, 1 << 63, int(np.exp(rng.uniform(1, 8)))).astype(np.uint64)
+        for share in rng.uniform(0, 0.4, rng.integers(1, 4)):
+            copy = np.where(rng.random(len(whole)) < share, rng.integers(0, 1 << 63, len(whole)).astype(np.uint64), whole)
+            bits, value = jaccard.sketch(np.unique(copy), percent)
+            held.append((len(np.unique(copy)), bits, value.to_bytes(bits // 8, "little")))
+    held.sort(key=lambda x: x[0])
+    got = jaccard.parts(held, percent)
+    assert got == jaccard._array_parts(held, percent, cells=50)
+    monkeypatch.setattr(jaccard, "_FEW", len(held))
+    assert got == jaccard.parts(held, percent) != list(range(len(held)))
+
+
 def test_shingles_follow_the_rule():
     assert len(jaccard.shingles(None)) == len(jaccard.shingles(" \t\n")) == 0
     assert len(jaccard.shingles("one two")) == 1
