@@ -167,8 +167,8 @@ def _key(text):
 
 
 def bucket_counts(texts: DataFrame, buckets: int = 10_000) -> DataFrame:
-    """(bucket, n): over distinct_texts(), counts times copies. Each task sends one
-    vector's entries."""
+    """(bucket, n): over distinct_texts(), counts times copies; written. Each task sends
+    one vector's entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
@@ -180,7 +180,7 @@ def bucket_counts(texts: DataFrame, buckets: int = 10_000) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    return texts.select("copies", "bucket", "n").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return common.written(texts.select("copies", "bucket", "n").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = 10_000, scale: int = 1000) -> DataFrame:
