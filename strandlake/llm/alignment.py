@@ -9,12 +9,12 @@ windows, so memory doesn't depend on the longest text.
 How many documents hold an id pair linked is summed in each task before it is shuffled by
 pair. The most frequent pairs (at most `heavy`) go to all tasks as one sorted table; links
 of other pairs, which few documents hold, are joined by pair in a shuffle, so that neither
-side needs to fit anywhere and no key of the join is hot. Texts are encoded twice, once for
-each pass, instead of keeping ids that are several times as large as the compressed texts.
+side needs to fit anywhere and no key of the join is hot. Texts are encoded once, and their
+ids are a written table, which both passes read.
 
-Both tokenizers go word by word: no token of either reaches from a visible character into a
-space that follows it, so what stands between two such places has the same ids anywhere,
-and a bounded table of words seen before gives most of them.
+Texts are encoded part by part: no token of either tokenizer reaches from a visible
+character into a space that follows it, so what stands between two such places has the same
+ids anywhere. Of all texts of a chunk each different part is encoded once.
 """
 
 from __future__ import annotations
@@ -31,20 +31,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_WORDS = 100_000  # words whose ids a task keeps
-_LONGEST = 64  # characters of such a word
+_JOINED = 1 << 12  # characters of parts that are encoded together
 _WINDOW = 1 << 20  # bytes that have owners at once
-_CHUNK = 1 << 22  # bytes of texts that are one stream
+_CHUNK = 1 << 23  # bytes of texts that are encoded together
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK_RUN = 10_000
 _BLANKS = re.compile(rf"\s{{{_BLANK_RUN}}}")
 
 
 class Tokens:
-    """A tokenizer as two things: ids of a text with a space put before it, and the bytes
-    of each id. whole_only: it can't be taken word by word."""
+    """A tokenizer as two things: ids of texts with a space put before each, and the bytes
+    of each id. whole_only: it can't be taken part by part."""
 
-    def __init__(self, encode: Callable[[str], list[int]], pieces: list[bytes], whole_only: bool = False) -> None:
-        self.encode, self.pieces, self.whole_only = encode, pieces, whole_only
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], pieces: list[bytes], whole_only: bool = False) -> None:
+        self.encode_all, self.pieces, self.whole_only = encode_all, pieces, whole_only
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
 
 
@@ -68,7 +68,7 @@ def byte_bpe(path: str, ranks: str | None = None) -> Tokens:
     pieces = [bytes(of[c] for c in n) if all(c in of for c in n) else n.encode() for n in names]
     plain = lambda text: slow.encode(" " + text, add_special_tokens=False).ids
     if ranks is None:
-        return Tokens(plain, pieces)
+        return Tokens(lambda texts: list(map(plain, texts)), pieces)
     import base64
 
     import public_tokenizers
@@ -78,7 +78,7 @@ def byte_bpe(path: str, ranks: str | None = None) -> Tokens:
         known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
     # The faster library's pattern recurses on each blank of a run.
-    return Tokens(lambda text: plain(text) if len(text) >= _BLANK_RUN and _BLANKS.search(text) else fast.encode_ordinary(" " + text), pieces)
+    return Tokens(lambda texts: [plain(x) if len(x) >= _BLANK_RUN and _BLANKS.search(x) else fast.encode_ordinary(" " + x) for x in texts], pieces)
 
 
 def piece_bpe(path: str) -> Tokens:
@@ -89,81 +89,99 @@ def piece_bpe(path: str) -> Tokens:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     pieces = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
     within = any("▁" in n.lstrip("▁") for n in names)
-    return Tokens(lambda text: model.encode(text, num_threads=1), pieces, within)
+    return Tokens(lambda texts: model.encode(texts, num_threads=1), pieces, within)
 
 
 class Both:
-    """Ids of texts by two tokenizers, as arrays of unsigned 32-bit numbers."""
+    """Two tokenizers that encode many texts at once, each different word once."""
 
     def __init__(self, a: Tokens, b: Tokens) -> None:
-        self.a, self.b, self.seen = a, b, {}
+        self.a, self.b = a, b
         self.whole_only = a.whole_only or b.whole_only
 
-    def _pair(self, text: str) -> tuple[bytes, bytes, bool]:
-        own = [(t, t.encode(text)) for t in (self.a, self.b)]
-        want = b" " + text.encode("utf-8", "replace")
-        same = all(b"".join([t.pieces[k] for k in ids]) == want for t, ids in own)
-        return *(np.array(ids, dtype="<u4").tobytes() for _, ids in own), same
-
-    def ids(self, text: str) -> tuple[bytes, bytes, bool]:
-        """Both tokenizers' ids of a text with a space before it, and whether the tokens of
-        both give it back, part by part."""
-        if self.whole_only or "▁" in text:  # which is a space to sentencepiece
-            return self._pair(text)
-        seen, found = self.seen, []
-        words = text.split(" ")
-        loose: list[str] = []  # words since the last place where the text can be cut
-        for i, w in enumerate(words):
-            pair = None if loose else seen.get(w)
-            if pair is None:
-                # A cut needs a visible character before the space and one after it.
-                after = words[i + 1] if i + 1 < len(words) else "x"
-                if w and after and not w[-1].isspace() and not after[0].isspace():
-                    whole = " ".join([*loose, w]) if loose else w
-                    pair = self._pair(whole)
-                    if not loose and len(w) <= _LONGEST and not w[0].isspace():
-                        if len(seen) >= _WORDS:
-                            seen.clear()
-                        seen[w] = pair
-                    loose = []
-                else:
-                    loose.append(w)
-                    continue
-            elif i + 1 < len(words) and (not (after := words[i + 1]) or after[0].isspace()):
-                loose.append(w)
-                continue
-            found.append(pair)
-        if loose:
-            found.append(self._pair(" ".join(loose)))
-        a, b, same = zip(*found)
-        return b"".join(a), b"".join(b), all(same)
+    def parts(self, text: str) -> list[str]:
+        """A text, cut at spaces between visible characters. A literal "▁" is a space to
+        sentencepiece, so a text with one is a part."""
+        return [text] if self.whole_only or "▁" in text else _CUT.split(text)
+
+    def encoded(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer the ids of all texts, one after another, and where each text
+        begins, and one more. A text has a space put before it; null and empty ones, and
+        those that either tokenizer doesn't give back, have no ids."""
+        plain = [(raw or b"").decode("utf-8", "replace") for raw in texts]
+        cut = [self.parts(x) if x else [] for x in plain]
+        starts = np.r_[0, np.cumsum([len(parts) for parts in cut], dtype=np.int64)]
+        flat = pa.array([x for parts in cut for x in parts], pa.large_string()).dictionary_encode()
+        different = flat.dictionary.to_pylist()
+        alone = np.array([self.whole_only or not x or x[0].isspace() or x[-1].isspace() or "▁" in x for x in different], dtype=bool)
+        order = np.argsort(alone, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        of, tied = place[flat.indices.to_numpy()], len(alone) - int(alone.sum())
+        parts = [different[i] for i in order.tolist()]
+        own = [_Encoded(t, parts[:tied], parts[tied:]) for t in (self.a, self.b)]
+        # Parts that don't come back, and marks of bytes that are no text, ask for a look at the whole.
+        doubtful = np.r_[0, np.cumsum(~(own[0].good & own[1].good)[of])][starts]
+        lost = np.zeros(len(texts), dtype=bool)
+        for i in range(len(texts)):
+            if doubtful[i + 1] > doubtful[i] or "\ufffd" in plain[i]:
+                here = of[starts[i] : starts[i + 1]].tolist()
+                lost[i] = any(b"".join([b"".join(map(e.pieces.__getitem__, e.ids_of(j).tolist())) for j in here]) != b" " + texts[i] for e in own)
+        kept = ~np.repeat(lost, np.diff(starts))
+        out = []
+        for e in own:
+            n = e.n[of] * kept
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append((e.ids[np.repeat(e.first[of] - ends + n, n) + np.arange(total)], np.r_[0, ends][starts]))
+        return out
+
+
+class _Encoded:
+    """Ids of parts by one tokenizer: those of part i are ids[first[i] : first[i] + n[i]],
+    and good[i] says that they give it back with a space before it. Tied parts begin and
+    end with a visible character, so many of them are encoded as one text."""
+
+    def __init__(self, t: Tokens, tied: list[str], loose: list[str]) -> None:
+        self.pieces, self.good = t.pieces, np.ones(len(tied) + len(loose), dtype=bool)
+        found, sizes, at = [], [], 0
+        raw = [b" " + x.encode("utf-8", "replace") for x in (*tied, *loose)]
+        length = np.array([len(x) for x in raw], dtype=np.int64)
+        steps = np.flatnonzero(np.diff(np.cumsum(length[: len(tied)]) // _JOINED, prepend=-1)).tolist() + [len(tied)]
+        blocks = [" ".join(tied[x:y]) for x, y in zip(steps, steps[1:])]
+        for x, y, ids in zip(steps, steps[1:], t.encode_all(blocks)):
+            ids, bounds = np.array(ids, dtype=np.int64), np.cumsum(length[x:y])
+            ends = np.cumsum(t.sizes[ids])
+            after = np.searchsorted(ends, bounds) + 1
+            if after[-1] == len(ids) and (ends[after - 1] == bounds).all() and b"".join(map(t.pieces.__getitem__, ids.tolist())) == b"".join(raw[x:y]):
+                found.append(ids)
+                sizes.append(np.diff(after, prepend=0))
+            else:
+                self._singly(t, tied[x:y], raw[x:y], x, found, sizes)
+        self._singly(t, loose, raw[len(tied) :], len(tied), found, sizes)
+        self.ids, self.n = (np.concatenate([np.zeros(0, dtype=np.int64), *v]) for v in (found, sizes))
+        self.first = np.cumsum(self.n) - self.n
+
+    def _singly(self, t: Tokens, parts: list[str], raw: list[bytes], at: int, found: list, sizes: list) -> None:
+        for i, ids in enumerate(t.encode_all(parts)):
+            found.append(np.array(ids, dtype=np.int64))
+            sizes.append(np.array([len(ids)]))
+            self.good[at + i] = b"".join(map(t.pieces.__getitem__, ids)) == raw[i]
+
+    def ids_of(self, i: int) -> np.ndarray:
+        return self.ids[self.first[i] : self.first[i] + self.n[i]]
 
 
 class Stream:
-    """Texts of a chunk: their ids one after another, and the links of both."""
-
-    def __init__(self, texts: list[bytes | None], both: Both) -> None:
-        a, b = both.a, both.b
-        self.texts, a_ids, b_ids = len(texts), [], []
-        self.na, self.nb = np.zeros((2, len(texts)), dtype=np.int64)
-        for i, raw in enumerate(texts):
-            if not raw:
-                continue
-            text = raw.decode("utf-8", "replace")
-            *ids, same = both.ids(text)
-            x, y = (np.frombuffer(own, dtype="<u4").astype(np.int64) for own in ids)
-            if not same or "\ufffd" in text:
-                same = all(b"".join([t.pieces[k] for k in own.tolist()]) == b" " + raw for t, own in ((a, x), (b, y)))
-            if same:
-                a_ids.append(x)
-                b_ids.append(y)
-                self.na[i], self.nb[i] = len(x), len(y)
-        none = np.zeros(0, dtype=np.int64)
-        self.a_ids, self.b_ids = np.concatenate([none, *a_ids]), np.concatenate([none, *b_ids])
-        self.a_ends, self.b_ends = np.cumsum(a.sizes[self.a_ids]), np.cumsum(b.sizes[self.b_ids])
+    """Texts of a chunk, given by their ids: the links of both tokenizers."""
+
+    def __init__(self, a: Tokens, b: Tokens, a_ids: np.ndarray, a_start: np.ndarray, b_ids: np.ndarray, b_start: np.ndarray) -> None:
+        self.texts, self.a_ids, self.b_ids = len(a_start) - 1, a_ids, b_ids
+        self.na, self.nb = np.diff(a_start), np.diff(b_start)
+        self.a_ends, self.b_ends = np.cumsum(a.sizes[a_ids]), np.cumsum(b.sizes[b_ids])
         self.a_of, self.b_of, self.cuts = self._links()
         #: First token, link and group of each text, and one more.
-        self.a_start, self.b_start = np.r_[0, np.cumsum(self.na)], np.r_[0, np.cumsum(self.nb)]
+        self.a_start, self.b_start = a_start, b_start
         self.link_start = np.searchsorted(self.a_of, self.a_start)
         self.cut_start = np.searchsorted(self.cuts, self.link_start)
 
@@ -219,25 +237,48 @@ class Stream:
         return out
 
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None]]]:
-    """Texts of a batch in chunks of about _CHUNK bytes, with the place of the first."""
-    held, size, start = [], 0, 0
-    for i, x in enumerate(batch.column(column)):
-        held.append(x.as_py())
-        size += len(held[-1] or b"")
-        if size >= _CHUNK:
-            yield start, held
-            held, size, start = [], 0, i + 1
-    if held:
-        yield start, held
+def _chunks(sizes: Iterator[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, as (first, end), each of about `most` in size."""
+    start, size, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start <= i:
+        yield start, i + 1
 
 
-def pair_documents(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], most: int = 1 << 20) -> DataFrame:
-    """(a, b, docs): in how many rows of docs each id pair is linked; written. A task adds
-    up its chunks, and sends what it has when that is more than `most` pairs."""
+def encoded(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]]) -> DataFrame:
+    """(doc_id, a, b): ids of documents by both tokenizers; written. Texts are encoded
+    once, as all that follows needs ids alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Both(*tokens())
+        for batch in batches:
+            for first, end in _chunks(((len(x.as_buffer()) if x.is_valid else 0) for x in batch.column(1)), _CHUNK):
+                lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())) for ids, starts in both.encoded(batch.column(1).slice(first, end - first).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *lists], names=["doc_id", "a", "b"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.col("text").cast("string").cast("binary").alias("text")
+    return common.written(docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>"), "ids")
+
+
+def _streams(batch: pa.RecordBatch, a: Tokens, b: Tokens) -> Iterator[tuple[int, Stream]]:
+    """Rows of ids, in chunks that own about _CHUNK bytes, with the place of the first."""
+    flat = [(c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()) for c in batch.columns[-2:]]
+    for first, end in _chunks(np.diff(flat[0][1]).tolist(), _CHUNK // 2):
+        own = [(ids[starts[first] : starts[end]], starts[first : end + 1] - starts[first]) for ids, starts in flat]
+        yield first, Stream(a, b, *own[0], *own[1])
+
+
+def pair_documents(ids: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], most: int = 1 << 20) -> DataFrame:
+    """(a, b, docs): in how many rows of encoded() each id pair is linked; written. A task
+    adds up its chunks, and sends what it has when that is more than `most` pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = tokens()
         keys, counts, size = [], [], 0
 
         def sent() -> pa.RecordBatch:
@@ -247,8 +288,7 @@ def pair_documents(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]],
             return pa.RecordBatch.from_arrays([pa.array(key // sizes[1]), pa.array(key % sizes[1]), pa.array(n)], names=["a", "b", "docs"])
 
         for batch in batches:
-            for _, texts in _chunks(batch, 0):
-                s = Stream(texts, both)
+            for _, s in _streams(batch, a, b):
                 own = np.unique(s.links_of() * (sizes[0] * sizes[1]) + s.pairs(sizes[1])) % (sizes[0] * sizes[1])
                 key, n = np.unique(own, return_counts=True)
                 keys.append(key)
@@ -264,8 +304,7 @@ def pair_documents(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]],
                         size = 0
         yield sent()
 
-    text = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-    found = text.mapInArrow(run, "a long, b long, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs"))
+    found = ids.select("a", "b").mapInArrow(run, "a long, b long, docs long").groupBy("a", "b").agg(F.sum("docs").alias("docs"))
     return common.written(found, "pairs")
 
 
@@ -294,7 +333,8 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
     stays null; an empty table gives no rows; very long texts are gone through in windows;
     columns other than these two are ignored."""
     spark = docs.sparkSession
-    pairs = pair_documents(docs, tokens, sizes)
+    ids = encoded(docs, tokens)
+    pairs = pair_documents(ids, tokens, sizes)
     top = pairs.groupBy("a").agg(F.max("docs").alias("top"))
     counted = common.written(pairs.join(top.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", "b", "docs", (F.col("docs") == F.col("top")).alias("best")), "pairs")
     least = _heavy(counted, heavy)
@@ -307,18 +347,16 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokens()
-        both = Both(a, b)
         known, docs_of, best_of = shared.value
         known, docs_of, best_of = pd.Index(known), np.r_[docs_of, 0], np.r_[best_of, 0]
         numbers = [[b"%d" % i for i in range(len(t.pieces))] for t in (a, b)]
         written = [x + end for own, ends in zip(numbers, (b",|", b",;")) for end in (ends[:1], ends[1:]) for x in own]
         for batch in batches:
-            for start, texts in _chunks(batch, 1):
-                s = Stream(texts, both)
+            for start, s in _streams(batch, a, b):
                 own = s.pairs(sizes[1])
                 at = known.get_indexer(own)
                 add = lambda v: np.diff(np.r_[0, np.cumsum(v)][s.link_start])
-                rest: list[list] = [[] for _ in texts]
+                rest: list[list] = [[] for _ in range(s.texts)]
                 others = np.flatnonzero(at < 0)
                 if len(others):
                     of = s.links_of()[others]
@@ -327,11 +365,11 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
                         rest[i].append({"a": k // sizes[1], "b": k % sizes[1], "n": times})
                 columns = [s.na, s.nb, np.diff(s.cut_start), np.diff(s.link_start), add(best_of[at]), add(docs_of[at])]
                 digests = s.groups(written, len(a.pieces), len(b.pieces))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(rest, light)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, s.texts), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(rest, light)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{n} long" for n in names[1:7])
-    found = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, {longs}, groups_sha256 string, light array<struct<a: int, b: int, n: bigint>>")
+    found = ids.mapInArrow(run, f"doc_id {kind}, {longs}, groups_sha256 string, light array<struct<a: int, b: int, n: bigint>>")
     found = common.written(found.withColumn("_row", F.monotonically_increasing_id()), "alignments")
     if counted.where(F.col("docs") < least).limit(1).count():
         links = found.select("_row", F.explode("light").alias("x")).select("_row", "x.*")

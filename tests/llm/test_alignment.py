@@ -110,9 +110,11 @@ def test_words_have_the_ids_of_whole_texts(plain):
     both = alignment.Both(*tokens())
     for _ in range(5000):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(1, 14)))
-        a, b, _ = both.ids(text)
-        assert np.frombuffer(a, "<u4").tolist() == plain[0].encode(" " + text, add_special_tokens=False).ids
-        assert np.frombuffer(b, "<u4").tolist() == plain[1].encode(text)
+        parts = both.parts(text)
+        want = [plain[0].encode(" " + text, add_special_tokens=False).ids, plain[1].encode(text)]
+        assert [[k for ids in t.encode_all(parts) for k in ids] for t in (both.a, both.b)] == want
+        if encoded(plain, text):
+            assert [ids.tolist() for ids, _ in both.encoded([text.encode()])] == want
 
 
 @pytest.mark.parametrize("heavy,window", [(1_000_000, 1 << 20), (20, 13), (0, 1)])
@@ -134,9 +136,10 @@ def test_windows_change_nothing(monkeypatch, window):
     texts = [("".join(rng.choice(PARTS) for _ in range(rng.randint(0, 20)))).encode() for _ in range(30)] + [None]
     both = alignment.Both(*tokens())
     names = [b"%d" % i + end for n, ends in ((50257, b",|"), (32000, b",;")) for end in (ends[:1], ends[1:]) for i in range(n)]
-    whole = alignment.Stream(texts, both)
+    ids = [x for pair in both.encoded(texts) for x in pair]
+    whole = alignment.Stream(both.a, both.b, *ids)
     digests = whole.groups(names, 50257, 32000)
     monkeypatch.setattr(alignment, "_WINDOW", window)
-    cut = alignment.Stream(texts, both)
+    cut = alignment.Stream(both.a, both.b, *ids)
     assert all(np.array_equal(getattr(whole, n), getattr(cut, n)) for n in ("a_of", "b_of", "cuts", "link_start", "cut_start"))
     assert cut.groups(names, 50257, 32000) == digests
