@@ -33,7 +33,8 @@ from . import common
 
 _JOINED = 1 << 12  # characters of parts that are encoded together
 _WINDOW = 1 << 20  # bytes that have owners at once
-_CHUNK = 1 << 23  # bytes of texts that are encoded together
+_CHUNK = 1 << 22  # bytes of texts that are encoded together
+_TOKENS = 1 << 20  # tokens of A that are one stream
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK_RUN = 10_000
 _BLANKS = re.compile(rf"\s{{{_BLANK_RUN}}}")
@@ -266,14 +267,14 @@ def encoded(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]]) -> Dat
 
 
 def _streams(batch: pa.RecordBatch, a: Tokens, b: Tokens) -> Iterator[tuple[int, Stream]]:
-    """Rows of ids, in chunks that own about _CHUNK bytes, with the place of the first."""
+    """Rows of ids, in chunks of about _TOKENS tokens, with the place of the first."""
     flat = [(c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()) for c in batch.columns[-2:]]
-    for first, end in _chunks(np.diff(flat[0][1]).tolist(), _CHUNK // 2):
+    for first, end in _chunks(np.diff(flat[0][1]).tolist(), _TOKENS):
         own = [(ids[starts[first] : starts[end]], starts[first : end + 1] - starts[first]) for ids, starts in flat]
         yield first, Stream(a, b, *own[0], *own[1])
 
 
-def pair_documents(ids: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], most: int = 1 << 20) -> DataFrame:
+def pair_documents(ids: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], most: int = 1 << 18) -> DataFrame:
     """(a, b, docs): in how many rows of encoded() each id pair is linked; written. A task
     adds up its chunks, and sends what it has when that is more than `most` pairs."""
 
