@@ -6,36 +6,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.stats import counted_in_order
+from strandlake.sources.tables import written
+
+
+#: Rows in order that one step of greedy splitting looks at together.
+BLOCK = 1 << 16
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """(seq_id, length, idx, before) of rows (seq_id, length): their place in order of
+    seq_id and the lengths before it; written. A range-partitioned sort, sums along each
+    partition, and the partitions' totals, which are few."""
+    names = ["seq_id", "length", "_part", "_idx", "_before"]
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, rows_, total = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            n = b.column(1).to_numpy()
+            sums = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part)), pa.array(np.arange(len(n)) + rows_), pa.array(sums - n + total)], names=names)
+            rows_, total = rows_ + len(n), total + int(n.sum())
+
+    s = written(rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id").mapInArrow(along, ", ".join(f"{n} long" for n in names)), "lengths")
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ends = s.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"), F.sum("length").alias("_s"))
+    starts = ends.select("_of", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_s")])
+    at = s.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+    return written(at.select("seq_id", "length", (F.col("_idx") + F.col("_n")).alias("idx"), (F.col("_before") + F.col("_s")).alias("before")), "sums")
+
+
+def _hops(before: np.ndarray, limit: int) -> np.ndarray:
+    """For each row of a block, where the next part begins if one begins here; the number
+    of rows if that is behind the block."""
+    return np.searchsorted(before, before + limit, side="left")
 
-def greedy_parts(sequences: DataFrame, limit: int) -> DataFrame:
-    """(seq_id, length, part): in order of seq_id, a part takes sequences while its
-    length so far is below limit. A part's end depends on where it began, so this is a
-    fold; it goes over (seq_id, length) pairs alone, as one sorted stream of numbers
-    in constant memory, and never over sequences."""
-
-    def fold(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, filled = 0, 0
-        for b in stream:
-            lengths = b.column(1).to_numpy().astype(np.int64)
-            parts, at = np.empty(len(lengths), dtype=np.int64), 0
-            sums = np.cumsum(lengths)
-            while at < len(lengths):
-                base = int(sums[at - 1]) if at else 0
-                if filled >= limit:
-                    part, filled = part + 1, 0
-                # The first place where the open part is full before its sequence.
-                end = int(np.searchsorted(sums[at:], base + limit - filled, side="left")) + at + 1
-                end = min(end, len(lengths))
-                parts[at:end] = part
-                filled += int(sums[end - 1]) - base
-                at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts)], names=["seq_id", "length", "part"])
 
+def _entries(rows: DataFrame, limit: int) -> DataFrame:
+    """(idx, goal, parts): for each row of a block of rows at which a part may begin that
+    is the block's first: the sum at or behind which the first part of a later block
+    begins, and the parts that begin in this block. Those rows stand within the first
+    `limit` of a block, as a part before began before the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for idx, before in _blocks(batches):
+            n = len(idx)
+            hop = _hops(before, limit)
+            last, parts = np.arange(n), np.ones(n, dtype=np.int64)
+            for i in range(n - 1, -1, -1):
+                if hop[i] < n:
+                    last[i], parts[i] = last[hop[i]], parts[hop[i]] + 1
+            may = np.r_[True, before[:-1] < before[0] + limit]
+            yield pa.RecordBatch.from_arrays([pa.array(idx[may]), pa.array(before[last[may]] + limit), pa.array(parts[may])], names=["idx", "goal", "parts"])
+
+    return _by_block(rows).mapInArrow(run, "idx long, goal long, parts long")
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    block = F.floor(F.col("idx") / BLOCK)
+    return rows.select(block.alias("block"), "idx", "before").repartition(block).sortWithinPartitions("block", "idx", "before")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(idx, before) of one block after another."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        while rest.num_rows:
+            blocks = rest["block"].to_numpy()
+            cut = int(np.searchsorted(blocks, blocks[0], side="right"))
+            if cut == len(blocks):
+                break  # it may go on
+            yield rest["idx"].slice(0, cut).to_numpy(), rest["before"].slice(0, cut).to_numpy()
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest["idx"].to_numpy(), rest["before"].to_numpy()
+
+
+def greedy_parts(sequences: DataFrame, limit: int) -> DataFrame:
+    """(seq_id, length, part): in order of seq_id, a part takes sequences while its length
+    so far is below limit.
+
+    A part's end depends on where it began, but where the next part begins follows from
+    running sums, for any row at which a part might begin. So each block of rows tells, for
+    the few rows at which its first part may begin, where the chain of parts leaves it;
+    these pointers from block to block are doubled, and the chain from row 0 is read off
+    them in as many joins. Blocks that it enters then list the parts that begin in them."""
+    if limit < 1:
+        raise ValueError("a part has at least one character")
     narrow = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), F.length("sequence").cast("long").alias("length"))
-    return narrow.repartition(1).sortWithinPartitions("seq_id").mapInArrow(fold, "seq_id long, length long, part long")
+    rows = _running(narrow)
+    entries = written(_entries(rows, limit), "entries")
+    # The row at or behind a sum: the number of rows whose sum is less.
+    both = rows.select(F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("parts"), F.col("before").alias("key"), F.lit(True).alias("row"))
+    both = both.unionByName(entries.select("idx", "parts", F.col("goal").alias("key"), F.lit(False).alias("row")))
+    goals = counted_in_order(both, ["idx", "parts"], "row", "key", "row", "idx").where(~F.col("row")).select("idx", F.col("_n1").alias("to"), "parts")
+    jump = written(goals.join(entries.select(F.col("idx").alias("_to")), F.col("to") == F.col("_to")).select("idx", "to", "parts"), "jumps")
+    jumps = []
+    while jump.where("idx = 0").limit(1).count():
+        jumps.append(jump)
+        further = jump.select(F.col("idx").alias("_at"), F.col("to").alias("_to"), F.col("parts").alias("_parts"))
+        jump = written(jump.join(further, F.col("to") == F.col("_at")).select("idx", F.col("_to").alias("to"), (F.col("parts") + F.col("_parts")).alias("parts")), "jumps")
+    reached = entries.where("idx = 0").select("idx")
+    for jump in reversed(jumps):
+        reached = written(reached.unionByName(reached.join(jump, "idx").select(F.col("to").alias("idx"))), "reached")
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for idx, before in _blocks(batches):
+            mark, found = np.flatnonzero(before < 0), []
+            if len(mark):
+                at, own = idx[mark[0]], np.delete(idx, mark)
+                hop = _hops(np.delete(before, mark), limit)
+                i = int(at - own[0])
+                while i < len(own):
+                    found.append(int(own[i]))
+                    i = int(hop[i])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["idx"])
+
+    marked = rows.select("idx", "before").unionByName(reached.select("idx", F.lit(-1).cast("long").alias("before")))
+    begun = _by_block(marked).mapInArrow(starts, "idx long")
+    both = rows.select("seq_id", "length", "idx", F.lit(False).alias("start")).unionByName(begun.select(F.lit(None).cast("long").alias("seq_id"), F.lit(None).cast("long").alias("length"), "idx", F.lit(True).alias("start")))
+    # A part's number is the number of parts that have begun, less one.
+    parts = counted_in_order(both, ["seq_id", "length"], "start", "idx", F.desc("start")).where(~F.col("start"))
+    return parts.select("seq_id", "length", (F.col("_n1") - 1).alias("part"))
 
 
 def in_parts(sequences: DataFrame, parts: int, round_up: bool = True) -> DataFrame:

@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +82,31 @@ def ranked(sequences: DataFrame, *order) -> DataFrame:
     return s.join(F.broadcast(starts), part == F.col("_part")).withColumn("rank", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_before")
 
 
+def counted_in_order(rows: DataFrame, keep: list[str], flag: str, *keys) -> DataFrame:
+    """`keep` columns of rows (numbers) and the flag, with the numbers of rows before it in
+    the order of the keys, without and with the flag: _n0 and _n1. A range-partitioned
+    sort, counts along each sorted partition, and the partitions' totals, which are few."""
+    names = [*keep, flag, "_part", "_n0", "_n1"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(2, dtype=np.int64)
+        for b in batches:
+            one = b.column(len(keep)).to_numpy(zero_copy_only=False).astype(bool)
+            with_, without = np.cumsum(one), np.cumsum(~one)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(one), part)), pa.array(without - ~one + seen[0]), pa.array(with_ - one + seen[1])], names=names)
+            seen += [int((~one).sum()), int(one.sum())]
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keep, flag])
+    s = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keep, flag)
+    s = written(s.mapInArrow(count, f"{types}, _part long, _n0 long, _n1 long"), "counted")
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ends = s.groupBy(F.col("_part").alias("_of")).agg(F.count_if(~F.col(flag)).alias("_a"), F.count_if(flag).alias("_b"))
+    starts = ends.select("_of", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"))
+    return s.join(F.broadcast(starts), F.col("_part") == F.col("_of")).select(*keep, flag, (F.col("_n0") + F.col("_a")).alias("_n0"), (F.col("_n1") + F.col("_b")).alias("_n1"))
+
+
 def by_header(sequences: DataFrame, short: bool = False) -> DataFrame:
     """Ranked by header, then seq_id. See duplicate_headers for the error case."""
     header = A.short_header(F.col("header")) if short else F.col("header")
