@@ -12,14 +12,34 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import alphabet as A
 from strandlake.functions import codes as C
+from strandlake.sources.tables import written
 
 
-def seed_matches(reference: DataFrame, query: DataFrame) -> DataFrame:
+def seed_matches(reference: DataFrame, query: DataFrame, block: int = 4096) -> DataFrame:
     """(ref_id, query_id, ref_pos, query_pos, hash) of equal hashes, from two tables
-    (hash, seq_id, pos)."""
+    (hash, seq_id, pos).
+
+    Hashes with very many pairs are joined in blocks: both sides are cut into blocks of
+    about `block` rows, each row goes to all blocks of the other side, and each pair of
+    blocks is a key of its own. Such a hash has more than `most` rows on one side, so there
+    are fewer than 20,000 of them at any size, and the table of them is broadcast."""
     r = reference.select("hash", F.col("seq_id").alias("ref_id"), F.col("pos").alias("ref_pos"))
     q = query.select("hash", F.col("seq_id").alias("query_id"), F.col("pos").alias("query_pos"))
-    return r.join(q, "hash")
+    count = r.select("hash", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(q.select("hash", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    count = written(count.groupBy("hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 and b > 0"), "seeds")
+    total = count.agg(F.sum(F.col("a") + F.col("b")).alias("n")).first()["n"] or 0
+    most = max(block, total // 10_000)
+    hot = count.where(F.col("a") * F.col("b") > most * most).select(F.col("hash").alias("_hash"), F.ceil(F.col("a") / block).cast("int").alias("_a"), F.ceil(F.col("b") / block).cast("int").alias("_b"))
+    if not hot.limit(1).count():
+        return r.join(q, "hash")
+    few = F.broadcast(hot)
+    here = F.col("hash") == F.col("_hash")
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = r.join(few, here).select("hash", "ref_id", "ref_pos", dealt("_a", "ref_id", "ref_pos").alias("_i"), every("_b").alias("_j"))
+    right = q.join(few, here).select("hash", "query_id", "query_pos", every("_a").alias("_i"), dealt("_b", "query_id", "query_pos").alias("_j"))
+    cold = r.join(few, here, "left_anti").join(q.join(few, here, "left_anti"), "hash")
+    return cold.unionByName(left.join(right, ["hash", "_i", "_j"]).drop("_i", "_j"))
 
 
 def maximal_matches(qgrams: DataFrame, other: DataFrame, q: int, least: int, column: str = "value") -> DataFrame:

@@ -1,12 +1,7 @@
-"""Suffix and common-prefix tables of texts.
+"""Suffix and common-prefix tables of texts, and an index of them.
 
-The table is built by prefix doubling: suffixes are ranked by their first HEAD
-characters at once, as strings; then the rank of a suffix by its first 2 d characters
-follows from ranks by d characters at two positions, so each round is one join on
-positions and one range-partitioned sort. Rounds end when all ranks differ, or when a
-round parts no suffixes: then those of equal rank are equal to their ends. Suffixes end
-where their text ends; a suffix that is another's prefix comes first, and equal
-suffixes go by (seq_id, pos)."""
+Suffixes are put in order by suffix_sort. They end where their text ends; a suffix that is
+another's prefix comes first, and equal suffixes go by (seq_id, pos)."""
 
 from __future__ import annotations
 
@@ -16,89 +11,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.stats import ranked
-from strandlake.sources.tables import written
-
-#: Characters by which suffixes are ranked first.
-HEAD = 32
-
-
-def heads(texts: DataFrame, n: int = HEAD, size: int = 256) -> DataFrame:
-    """(seq_id, pos, head): the first n characters of each suffix, fewer at the end of a
-    text. They are cut out of chunks of `size` starts, not of the whole text each."""
-    chunks = texts.where(F.length("sequence") > 0).select("seq_id", "sequence", F.explode(F.sequence(F.lit(0), F.length("sequence") - 1, F.lit(size))).alias("at"))
-    chunks = chunks.select("seq_id", "at", F.substr("sequence", F.col("at") + 1, F.lit(size + n - 1)).alias("chunk"))
-    starts = chunks.select("seq_id", "at", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.length("chunk")) - 1)).alias("i"))
-    return starts.select("seq_id", (F.col("at") + F.col("i")).alias("pos"), F.substr("chunk", F.col("i") + 1, F.lit(n)).alias("head"))
-
-
-def _classes(level: DataFrame) -> tuple[int, int]:
-    """Rows of a level, and its different ranks: those are 0, 1, ... without gaps."""
-    r = level.agg(F.count("*").alias("n"), F.max("rank").alias("top")).first()
-    return r["n"], (-1 if r["top"] is None else r["top"]) + 1
-
-
-def rank_levels(texts: DataFrame) -> list[DataFrame]:
-    """(seq_id, pos, rank) by the first HEAD, 2 HEAD, 4 HEAD, ... characters; each level
-    is a written table, and the first one has the heads too. Suffixes that share a rank
-    of the last level are equal."""
-    first = heads(texts)
-    values = ranked(first.select("head").distinct(), "head").select(F.col("head").alias("value"), "rank")
-    level = written(first.join(values, F.col("head") == F.col("value")).select("seq_id", "pos", "rank", "head"), "ranks")
-    levels, d, (rows, ranks) = [level], HEAD, _classes(level)
-    while ranks < rows:
-        after = level.select(F.col("seq_id").alias("s"), (F.col("pos") - d).alias("p"), F.col("rank").alias("r2"))
-        pairs = level.join(after, (F.col("seq_id") == F.col("s")) & (F.col("pos") == F.col("p")), "left").select("seq_id", "pos", F.col("rank").alias("r1"), F.coalesce("r2", F.lit(-1)).alias("r2"))
-        pairs = written(pairs, "pairs")
-        values = ranked(pairs.select("r1", "r2").distinct(), "r1", "r2").select(F.col("r1").alias("v1"), F.col("r2").alias("v2"), "rank")
-        level = written(pairs.join(values, (F.col("r1") == F.col("v1")) & (F.col("r2") == F.col("v2"))).select("seq_id", "pos", "rank"), "ranks")
-        before, (rows, ranks), d = ranks, _classes(level), 2 * d
-        if ranks == before:
-            break
-        levels.append(level)
-    return levels
+from strandlake.operators import suffix_sort
+from strandlake.operators.stats import counted_in_order
+from strandlake.sources.tables import fresh_path, written
 
+def suffix_array(texts: DataFrame) -> DataFrame:
+    """(rank, seq_id, pos)."""
+    return suffix_sort.in_order(texts).select("rank", "seq_id", "pos")
 
-def _in_order(level: DataFrame) -> DataFrame:
-    return ranked(level.select("seq_id", "pos", F.col("rank").alias("_r")), "_r", "seq_id", "pos").select("rank", "seq_id", "pos")
 
+def shared_length(a: str, b: str) -> int:
+    """Characters that two strings have in common at their start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _shared(rows: DataFrame, keep: list[str], name: str, a: str, b: str) -> DataFrame:
+    """keep, and the shared length of two columns of strings; a null one is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(len(keep) + i).to_pylist() for i in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([shared_length(p or "", q or "") for p, q in zip(x, y)], pa.int64())], names=[*keep, name])
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*keep, a, b).mapInArrow(run, f"{types}, {name} long")
 
-def suffix_array(texts: DataFrame) -> DataFrame:
-    """(rank, seq_id, pos)."""
-    return _in_order(rank_levels(texts)[-1])
 
+def windows_at(rows: DataFrame, texts: DataFrame, seq_id: str, at: str, width: int, name: str) -> DataFrame:
+    """rows with the next `width` characters of a text from a position, fewer at its end
+    and none behind it: texts are cut into chunks of twice the width, one of which holds
+    the window whole, and only chunks that are asked for meet in the join."""
+    cut = texts.select(F.col("seq_id").alias("_id"), "sequence", F.explode(F.sequence(F.lit(0), F.floor(F.length("sequence") / width))).alias("_chunk"))
+    cut = cut.select("_id", "_chunk", F.substr("sequence", (F.col("_chunk") * width + 1).cast("int"), F.lit(2 * width)).alias("_piece"))
+    on = (F.col(seq_id) == F.col("_id")) & (F.floor(F.col(at) / width) == F.col("_chunk"))
+    piece = F.substr("_piece", (F.col(at) % width + 1).cast("int"), F.lit(width))
+    return rows.join(cut, on, "left").withColumn(name, F.coalesce(piece, F.lit(""))).drop("_id", "_chunk", "_piece")
 
-def common_prefixes(texts: DataFrame) -> DataFrame:
+
+def common_prefixes(texts: DataFrame, width: int = 256) -> DataFrame:
     """(rank, seq_id, pos, lcp): lcp with the suffix of the rank before; 0 at rank 0.
-    Ranks at d characters tell whether two suffixes share them: from the largest level
-    down, each shared level adds its length and moves both on. Those that share the last
-    level are equal to their ends, and what is left below HEAD is seen in the heads."""
-    levels = rank_levels(texts)
-    order = _in_order(levels[-1])
-    before = order.select((F.col("rank") + 1).alias("_rank"), F.col("seq_id").alias("s2"), F.col("pos").alias("p2"))
-    lengths = texts.select(F.col("seq_id").alias("s"), F.length("sequence").alias("n"))
-    pair = order.join(before, F.col("rank") == F.col("_rank"), "left").join(lengths, F.col("seq_id") == F.col("s"))
-    pair = pair.select("rank", "seq_id", "pos", "n", F.col("pos").alias("p1"), "s2", "p2")
-    kept = ["rank", "seq_id", "pos", "n", "s2"]
-    for k in range(len(levels) - 1, -1, -1):
-        pair = _beside(pair, levels[k], "rank")
-        # Equal ranks may also mean that both texts end before that many characters.
-        rest = F.col("n") - F.col("p1")
-        shared = rest if k == len(levels) - 1 else F.least(F.lit(HEAD << k), rest)
-        step = F.when(F.col("x1") == F.col("x2"), shared).otherwise(0)
-        pair = written(pair.select(*kept, (F.col("p1") + step).alias("p1"), (F.col("p2") + step).alias("p2")), "prefixes")
-    pair = _beside(pair, levels[0], "head")
-    a, b = F.coalesce("x1", F.lit("")), F.coalesce("x2", F.lit(""))
-    places = F.filter(F.sequence(F.lit(1), F.lit(HEAD)), lambda i: (i <= F.length(a)) & (i <= F.length(b)))
-    same = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i).otherwise(n))
-    return pair.select("rank", "seq_id", "pos", (F.col("p1") - F.col("pos") + same).cast("int").alias("lcp"))
-
-
-def _beside(pair: DataFrame, level: DataFrame, column: str) -> DataFrame:
-    """pair with a level's column at both of its places, as x1 and x2; null past an end."""
-    one = level.select(F.col("seq_id").alias("a"), F.col("pos").alias("x"), F.col(column).alias("x1"))
-    two = level.select(F.col("seq_id").alias("b"), F.col("pos").alias("y"), F.col(column).alias("x2"))
-    return pair.join(one, (F.col("seq_id") == F.col("a")) & (F.col("p1") == F.col("x")), "left").join(two, (F.col("s2") == F.col("b")) & (F.col("p2") == F.col("y")), "left").drop("a", "x", "b", "y")
+
+    Most are seen in the heads of both suffixes. Where heads are equal and whole, positions
+    are taken in the order of the texts: if the suffix before that of pos is one further
+    than the one before that of pos - 1, its lcp is one less. So only the first position of
+    such a run is compared with the text, window by window, each four times as wide: lcps
+    of first positions add up to little, however long repeats are."""
+    order = suffix_sort.in_order(texts)
+    before = order.select((F.col("rank") + 1).alias("_rank"), F.col("seq_id").alias("s2"), F.col("pos").alias("p2"), F.col("head").alias("head2"))
+    pairs = order.join(before, F.col("rank") == F.col("_rank"), "left")
+    pairs = written(_shared(pairs, ["rank", "seq_id", "pos", "s2", "p2"], "lcp", "head", "head2"), "prefixes")
+    done = pairs.where(F.col("lcp") < suffix_sort.HEAD)
+    # Runs along a diagonal, cut at blocks of positions so that no window is unbounded.
+    diagonal = ["seq_id", "s2", F.col("pos") - F.col("p2"), F.floor(F.col("pos") / (1 << 16))]
+    runs = pairs.where(F.col("lcp") >= suffix_sort.HEAD).withColumn("_run", F.col("pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos")))
+    run = ["seq_id", "s2", (F.col("pos") - F.col("p2")).alias("d"), F.floor(F.col("pos") / (1 << 16)).alias("block"), "_run"]
+    runs = written(runs.select("rank", "pos", "p2", *run), "runs")
+    keys = ["seq_id", "s2", "d", "block", "_run"]
+    open_ = runs.groupBy(*keys).agg(F.min("pos").alias("first")).withColumn("l", F.lit(suffix_sort.HEAD).cast("long"))
+    kept, found = [*keys, "first", "l"], None
+    while True:
+        open_ = written(open_, "open")
+        if not open_.limit(1).count():
+            break
+        both = open_.withColumn("_x", F.col("first") + F.col("l")).withColumn("_y", F.col("first") - F.col("d") + F.col("l"))
+        both = windows_at(windows_at(both, texts, "seq_id", "_x", width, "_a"), texts, "s2", "_y", width, "_b")
+        seen = written(_shared(both, kept, "n", "_a", "_b"), "shared")
+        ends = seen.where(F.col("n") < width).select(*keys, "first", (F.col("l") + F.col("n")).alias("l"))
+        found = ends if found is None else found.unionByName(ends)
+        open_, width = seen.where(F.col("n") == width).select(*keys, "first", (F.col("l") + F.col("n")).alias("l")), 4 * width
+    long_ = runs.select("rank", "seq_id", "pos", F.lit(None).cast("long").alias("lcp"))
+    if found is not None:
+        of = found.select(*[F.col(c).alias(f"_{c}") for c in keys], "first", "l")
+        same = [F.col(c) == F.col(f"_{c}") for c in keys]
+        long_ = runs.join(of, same).select("rank", "seq_id", "pos", (F.col("l") - (F.col("pos") - F.col("first"))).alias("lcp"))
+    return done.select("rank", "seq_id", "pos", "lcp").unionByName(long_).withColumn("lcp", F.col("lcp").cast("int"))
 
 
 def is_ordered(table: DataFrame, texts: DataFrame) -> bool:
@@ -126,23 +119,120 @@ def positions_to_sequences(positions: DataFrame, offsets: DataFrame) -> DataFram
     return found.where(inside).select("pos", F.col("_x.seq_id").alias("seq_id"), (F.col("pos") - F.col("_x.offset")).alias("relpos"))
 
 
+def write_leaves(texts: DataFrame, path: str, size: int = 1024) -> None:
+    """Store an index of texts: their suffixes in order, `size` of them a row, as (leaf,
+    heads, seq_ids, positions), range-partitioned by leaf; and beside it the first head of
+    each leaf. Searches route queries by first heads and read the leaves they need."""
+    order = suffix_sort.in_order(texts).withColumn("leaf", F.floor(F.col("rank") / size))
+    rows = F.array_sort(F.collect_list(F.struct("rank", "head", "seq_id", "pos")))
+    leaves = order.groupBy("leaf").agg(rows.alias("_r")).select("leaf", F.col("_r.head").alias("heads"), F.col("_r.seq_id").alias("seq_ids"), F.col("_r.pos").alias("positions"))
+    leaves.repartitionByRange("leaf").sortWithinPartitions("leaf").write.parquet(f"{path}/leaves")
+    spark = texts.sparkSession
+    spark.read.parquet(f"{path}/leaves").select("leaf", F.col("heads")[0].alias("head"), F.size("heads").alias("n")).write.parquet(f"{path}/fences")
+
+
+def _placed(queries: DataFrame, leaves: DataFrame, fences: DataFrame, after: bool, size: int) -> DataFrame:
+    """queries (q, head) with `place`, the number of suffixes whose head is less (or, with
+    `after`, less or begins with it), and `near`, the longest prefix that head shares with
+    the suffixes on either side. Fences and queries are sorted together, which gives each
+    query its leaf; a leaf is then searched by bisection."""
+    high = F.concat("head", F.lit("\U0010ffff" * 2)) if after else F.col("head")
+    # A leaf whose first head is as large begins behind the place.
+    rows = queries.select("q", high.alias("k"), F.lit(0).alias("kind"), F.lit(False).alias("fence"))
+    rows = rows.unionByName(fences.select(F.lit(None).cast("long").alias("q"), F.col("head").alias("k"), F.lit(1).alias("kind"), F.lit(True).alias("fence")))
+    leaf_of = counted_in_order(rows, ["q"], "fence", "k", "kind", "q").where(~F.col("fence")).select(F.col("q").alias("_q"), F.greatest(F.col("_n1") - 1, F.lit(0)).alias("_leaf"))
+    routed = queries.join(leaf_of, F.col("q") == F.col("_q")).join(leaves.select("leaf", "heads"), F.col("_leaf") == F.col("leaf"), "left")
+    following = fences.select((F.col("leaf") - 1).alias("_before"), F.col("head").alias("_next"))
+    routed = routed.join(following, F.col("_leaf") == F.col("_before"), "left")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, near = [], []
+            for i, (head, leaf, behind) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist())):
+                heads = b.column(3)[i]
+                low, high_ = 0, len(heads) if heads.is_valid else 0
+                while low < high_:
+                    middle = (low + high_) // 2
+                    own = heads[middle].as_py()
+                    if own < head or (after and own.startswith(head)):
+                        low = middle + 1
+                    else:
+                        high_ = middle
+                sides = [heads[low - 1].as_py()] if low else []
+                sides.append(heads[low].as_py() if heads.is_valid and low < len(heads) else behind or "")
+                place.append(leaf * size + low)
+                near.append(max(shared_length(head, s) for s in sides))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place, pa.int64()), pa.array(near, pa.int64())], names=["q", "head", "place", "near"])
+
+    return routed.select("q", "head", "_leaf", "heads", "_next").mapInArrow(search, "q long, head string, place long, near long")
+
+
+def search_leaves(queries: DataFrame, texts: DataFrame, path: str, width: int = 256) -> DataFrame:
+    """(query, length): the longest prefix of each query that occurs in a text of the index
+    at `path`. Heads are placed among the suffixes; only queries that are longer than their
+    head, and whose head occurs, are searched further: by bisection of the suffixes that
+    begin with it, for all such queries at once, each step comparing one window of one
+    suffix a query. No substring of a text is made but those windows."""
+    spark = texts.sparkSession
+    leaves, fences = spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/fences")
+    size = fences.agg(F.max("n").alias("n")).first()["n"]
+    q = written(queries.select("query").where("query is not null").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    if size is None:
+        return q.select("query", F.lit(0).alias("length"))
+    own = q.select("q", F.substr("query", F.lit(1), F.lit(suffix_sort.HEAD)).alias("head"))
+    low = written(_placed(own, leaves, fences, False, size), "placed")
+    found = low.select("q", F.col("near").alias("best"))
+    further = low.where(F.col("near") == suffix_sort.HEAD).select("q", "head", F.col("place").alias("low"))
+    further = further.join(q.where(F.length("query") > suffix_sort.HEAD).select(F.col("q").alias("_q"), "query"), F.col("q") == F.col("_q")).drop("_q")
+    if further.limit(1).count():
+        high = _placed(further.select("q", "head"), leaves, fences, True, size).select(F.col("q").alias("_q"), F.col("place").alias("high"))
+        state = further.join(high, F.col("q") == F.col("_q")).select("q", "query", "low", "high", *[F.lit(suffix_sort.HEAD).cast("long").alias(c) for c in ("at", "left", "right", "best")])
+        # left and right: what the query shares with the suffixes beyond low and high, so
+        # all between share the lesser of both, and comparing goes on from there.
+        names, results = ["q", "query", "low", "high", "at", "left", "right", "best"], []
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for number, query, lo, hi, at, left, right, best, text in zip(*(c.to_pylist() for c in b.columns)):
+                    part = query[at : at + width]
+                    n = shared_length(part, text)
+                    best, middle = max(best, at + n), (lo + hi) // 2
+                    if best == len(query):
+                        lo = hi
+                    elif n == width:  # as far as the window goes: the same suffix again
+                        rows.append((number, query, lo, hi, at + n, left, right, best))
+                        continue
+                    elif text[n : n + 1] < part[n : n + 1]:
+                        lo, left = middle + 1, at + n
+                    else:
+                        hi, right = middle, at + n
+                    rows.append((number, query, lo, hi, min(left, right), left, right, best))
+                columns = list(zip(*rows)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 1 else pa.int64()) for i, c in enumerate(columns)], names=names)
+
+        while True:
+            state = written(state, "search")
+            results.append(state.where("low >= high").select("q", "best"))
+            open_ = state.where("low < high").withColumn("_m", F.floor((F.col("low") + F.col("high")) / 2))
+            if not open_.limit(1).count():
+                break
+            at = (F.col("_m") % size + 1).cast("int")
+            asked = open_.join(leaves.select("leaf", "seq_ids", "positions"), F.floor(F.col("_m") / size) == F.col("leaf"))
+            asked = asked.select(*names, F.element_at("seq_ids", at).alias("_s"), (F.element_at("positions", at) + F.col("at")).alias("_p"))
+            state = windows_at(asked, texts, "_s", "_p", width, "_text").select(*names, "_text").mapInArrow(step, "q long, query string, low long, high long, at long, left long, right long, best long")
+        for r in results:
+            found = found.unionByName(r)
+    best = found.groupBy(F.col("q").alias("_q")).agg(F.max("best").alias("best"))
+    return q.join(best, F.col("q") == F.col("_q"), "left").select("query", F.coalesce("best", F.lit(0)).cast("int").alias("length"))
+
+
 def longest_prefixes(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query, length): the longest prefix of each query that occurs in a text. If a
-    prefix occurs so do shorter ones, so lengths are halved for all queries at once; a
-    step is an equi-join of prefixes with the distinct substrings of these lengths."""
-    q = queries.select("query", F.lit(0).alias("low"), F.length("query").alias("high")).distinct()
-    while True:
-        open_ = q.where("low < high")
-        lengths = [r["m"] for r in open_.select(F.expr("cast((low + high + 1) div 2 as int)").alias("m")).distinct().collect()]  # at most the longest query's length
-        if not lengths:
-            return q.select("query", F.col("low").cast("int").alias("length"))
-        parts = texts.select("sequence", F.explode(F.array(*map(F.lit, lengths))).alias("m")).where(F.length("sequence") >= F.col("m"))
-        parts = parts.select("m", F.explode(F.expr("transform(sequence(1, length(sequence) - m + 1), i -> substring(sequence, i, m))")).alias("part")).distinct()
-        asked = q.withColumn("m", F.expr("cast((low + high + 1) div 2 as int)")).withColumn("p", F.substr("query", F.lit(1), F.col("m")))
-        hit = asked.join(parts.withColumnRenamed("m", "n"), (F.col("m") == F.col("n")) & (F.col("p") == F.col("part")), "left")
-        low = F.when((F.col("low") < F.col("high")) & F.col("part").isNotNull(), F.col("m")).otherwise(F.col("low"))
-        high = F.when((F.col("low") < F.col("high")) & F.col("part").isNull(), F.col("m") - 1).otherwise(F.col("high"))
-        q = written(hit.select("query", low.cast("int").alias("low"), high.cast("int").alias("high")), "prefixes")
+    """(query, length): the longest prefix of each query that occurs in a text, by an index
+    that is made for these queries; see write_leaves() and search_leaves()."""
+    path = fresh_path(texts.sparkSession, "index")
+    write_leaves(texts, path)
+    return search_leaves(queries, texts, path)
 
 
 def prefix_intervals(table: DataFrame, block: int = 1 << 16) -> DataFrame:
