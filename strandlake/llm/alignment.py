@@ -19,6 +19,7 @@ ids anywhere. Of all texts of a chunk each different part is encoded once.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -33,8 +34,8 @@ from . import common
 
 _JOINED = 1 << 12  # characters of parts that are encoded together
 _WINDOW = 1 << 20  # bytes that have owners at once
-_CHUNK = 1 << 22  # bytes of texts that are encoded together
-_TOKENS = 1 << 20  # tokens of A that are one stream
+_CHUNK = 1 << 21  # bytes of texts that are encoded together
+_TOKENS = 1 << 18  # tokens of A that are one stream
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK_RUN = 10_000
 _BLANKS = re.compile(rf"\s{{{_BLANK_RUN}}}")
@@ -57,6 +58,7 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
 def byte_bpe(path: str, ranks: str | None = None) -> Tokens:
     """A byte-level BPE of a .json file. Strings of its special tokens are plain text.
     `ranks`: a .tiktoken file of the same vocabulary, which gives the same ids faster."""
@@ -82,6 +84,7 @@ def byte_bpe(path: str, ranks: str | None = None) -> Tokens:
     return Tokens(lambda texts: [plain(x) if len(x) >= _BLANK_RUN and _BLANKS.search(x) else fast.encode_ordinary(" " + x) for x in texts], pieces)
 
 
+@functools.cache
 def piece_bpe(path: str) -> Tokens:
     """A sentencepiece model that puts a space before texts."""
     import sentencepiece
@@ -174,12 +177,13 @@ class _Encoded:
 
 
 class Stream:
-    """Texts of a chunk, given by their ids: the links of both tokenizers."""
+    """Texts of a chunk, given by their ids and the bytes of each id: the links of both
+    tokenizers."""
 
-    def __init__(self, a: Tokens, b: Tokens, a_ids: np.ndarray, a_start: np.ndarray, b_ids: np.ndarray, b_start: np.ndarray) -> None:
+    def __init__(self, a_sizes: np.ndarray, b_sizes: np.ndarray, a_ids: np.ndarray, a_start: np.ndarray, b_ids: np.ndarray, b_start: np.ndarray) -> None:
         self.texts, self.a_ids, self.b_ids = len(a_start) - 1, a_ids, b_ids
         self.na, self.nb = np.diff(a_start), np.diff(b_start)
-        self.a_ends, self.b_ends = np.cumsum(a.sizes[a_ids]), np.cumsum(b.sizes[b_ids])
+        self.a_ends, self.b_ends = np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids])
         self.a_of, self.b_of, self.cuts = self._links()
         #: First token, link and group of each text, and one more.
         self.a_start, self.b_start = a_start, b_start
@@ -263,23 +267,23 @@ def encoded(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]]) -> Dat
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string").cast("binary").alias("text")
-    return common.written(docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>"), "ids")
+    return common.written(docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>"), "ids", 16 << 20)
 
 
-def _streams(batch: pa.RecordBatch, a: Tokens, b: Tokens) -> Iterator[tuple[int, Stream]]:
+def _streams(batch: pa.RecordBatch, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Iterator[tuple[int, Stream]]:
     """Rows of ids, in chunks of about _TOKENS tokens, with the place of the first."""
     flat = [(c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy().astype(np.int64) - c.offsets[0].as_py()) for c in batch.columns[-2:]]
     for first, end in _chunks(np.diff(flat[0][1]).tolist(), _TOKENS):
         own = [(ids[starts[first] : starts[end]], starts[first : end + 1] - starts[first]) for ids, starts in flat]
-        yield first, Stream(a, b, *own[0], *own[1])
+        yield first, Stream(a_sizes, b_sizes, *own[0], *own[1])
 
 
-def pair_documents(ids: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], most: int = 1 << 18) -> DataFrame:
+def pair_documents(ids: DataFrame, a_sizes: np.ndarray, b_sizes: np.ndarray, most: int = 1 << 18) -> DataFrame:
     """(a, b, docs): in how many rows of encoded() each id pair is linked; written. A task
     adds up its chunks, and sends what it has when that is more than `most` pairs."""
+    sizes = len(a_sizes), len(b_sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokens()
         keys, counts, size = [], [], 0
 
         def sent() -> pa.RecordBatch:
@@ -289,7 +293,7 @@ def pair_documents(ids: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]],
             return pa.RecordBatch.from_arrays([pa.array(key // sizes[1]), pa.array(key % sizes[1]), pa.array(n)], names=["a", "b", "docs"])
 
         for batch in batches:
-            for _, s in _streams(batch, a, b):
+            for _, s in _streams(batch, a_sizes, b_sizes):
                 own = np.unique(s.links_of() * (sizes[0] * sizes[1]) + s.pairs(sizes[1])) % (sizes[0] * sizes[1])
                 key, n = np.unique(own, return_counts=True)
                 keys.append(key)
@@ -323,10 +327,9 @@ def _heavy(pairs: DataFrame, heavy: int) -> int:
     return least
 
 
-def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], sizes: tuple[int, int], heavy: int = 1_000_000) -> DataFrame:
+def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], heavy: int = 1_000_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of documents
-    (doc_id, text). tokens() gives both tokenizers, in each task; sizes are their numbers of
-    ids. An id pair's count is the number of rows that hold it linked; n_best counts links
+    (doc_id, text). tokens() gives both tokenizers, in each task. An id pair's count is the number of rows that hold it linked; n_best counts links
     whose count is the highest of their A id, count_sum adds up the counts of all links.
 
     Null and empty texts, and texts that tokens don't give back byte by byte, have no
@@ -335,7 +338,9 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
     columns other than these two are ignored."""
     spark = docs.sparkSession
     ids = encoded(docs, tokens)
-    pairs = pair_documents(ids, tokens, sizes)
+    a_sizes, b_sizes = (t.sizes for t in tokens())
+    sizes = len(a_sizes), len(b_sizes)
+    pairs = pair_documents(ids, a_sizes, b_sizes)
     top = pairs.groupBy("a").agg(F.max("docs").alias("top"))
     counted = common.written(pairs.join(top.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", "b", "docs", (F.col("docs") == F.col("top")).alias("best")), "pairs")
     least = _heavy(counted, heavy)
@@ -347,13 +352,12 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "light"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokens()
         known, docs_of, best_of = shared.value
         known, docs_of, best_of = pd.Index(known), np.r_[docs_of, 0], np.r_[best_of, 0]
-        numbers = [[b"%d" % i for i in range(len(t.pieces))] for t in (a, b)]
+        numbers = [[b"%d" % i for i in range(n)] for n in sizes]
         written = [x + end for own, ends in zip(numbers, (b",|", b",;")) for end in (ends[:1], ends[1:]) for x in own]
         for batch in batches:
-            for start, s in _streams(batch, a, b):
+            for start, s in _streams(batch, a_sizes, b_sizes):
                 own = s.pairs(sizes[1])
                 at = known.get_indexer(own)
                 add = lambda v: np.diff(np.r_[0, np.cumsum(v)][s.link_start])
@@ -365,7 +369,7 @@ def alignments(docs: DataFrame, tokens: Callable[[], tuple[Tokens, Tokens]], siz
                     for (i, k), times in zip(row.tolist(), n.tolist()):
                         rest[i].append({"a": k // sizes[1], "b": k % sizes[1], "n": times})
                 columns = [s.na, s.nb, np.diff(s.cut_start), np.diff(s.link_start), add(best_of[at]), add(docs_of[at])]
-                digests = s.groups(written, len(a.pieces), len(b.pieces))
+                digests = s.groups(written, *sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, s.texts), *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()), pa.array(rest, light)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -386,6 +390,4 @@ def op13_byte_owner_alignment(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
-    first, second = byte_bpe(*paths[:2]), piece_bpe(paths[2])
-    sizes = len(first.pieces), len(second.pieces)
-    return alignments(common.table(spark, sf_dir, "documents"), lambda: (byte_bpe(*paths[:2]), piece_bpe(paths[2])), sizes)
+    return alignments(common.table(spark, sf_dir, "documents"), lambda: (byte_bpe(*paths[:2]), piece_bpe(paths[2])))

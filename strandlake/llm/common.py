@@ -37,17 +37,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 BATCH_ROWS = 2000
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, block_bytes: int = 0) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends
     here, and a lost executor costs no more than the tasks that read the table. While
-    it is written, Arrow batches have at most BATCH_ROWS rows, as texts may be long."""
+    it is written, Arrow batches have at most BATCH_ROWS rows, as texts may be long.
+    block_bytes: what a task holds of a file before it writes it, if not Parquet's 128 MB."""
     spark = df.sparkSession
     path, key = new_path(spark, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     try:
         if not 0 < int(before) <= BATCH_ROWS:
             spark.conf.set(key, str(BATCH_ROWS))
-        df.write.parquet(path)
+        writer = df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write
+        writer.parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

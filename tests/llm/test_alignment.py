@@ -125,9 +125,9 @@ def test_odd_rows_and_pairs_that_are_joined(spark, plain, monkeypatch, heavy, wi
     rows += [(200, None), (201, ""), (202, " "), (None, "no id"), (3, rows[3][1]), (203, " " * 12000 + "x"), (204, "▁"), (205, "word " * 400)]
     docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, a int, docs int, light int")
     monkeypatch.setattr(alignment, "_WINDOW", window)  # in the driver's own streams; tasks keep theirs
-    got = alignment.alignments(docs, tokens, (50257, 32000), heavy=heavy)
+    got = alignment.alignments(docs, tokens, heavy=heavy)
     assert agree([tuple(r[c] for c in ["doc_id", *COLUMNS]) for r in got.collect()], brute(plain, rows))
-    assert alignment.alignments(docs.limit(0), tokens, (50257, 32000)).count() == 0
+    assert alignment.alignments(docs.limit(0), tokens).count() == 0
 
 
 @pytest.mark.parametrize("window", [1, 2, 7, 1000])
@@ -137,9 +137,9 @@ def test_windows_change_nothing(monkeypatch, window):
     both = alignment.Both(*tokens())
     names = [b"%d" % i + end for n, ends in ((50257, b",|"), (32000, b",;")) for end in (ends[:1], ends[1:]) for i in range(n)]
     ids = [x for pair in both.encoded(texts) for x in pair]
-    whole = alignment.Stream(both.a, both.b, *ids)
+    whole = alignment.Stream(both.a.sizes, both.b.sizes, *ids)
     digests = whole.groups(names, 50257, 32000)
     monkeypatch.setattr(alignment, "_WINDOW", window)
-    cut = alignment.Stream(both.a, both.b, *ids)
+    cut = alignment.Stream(both.a.sizes, both.b.sizes, *ids)
     assert all(np.array_equal(getattr(whole, n), getattr(cut, n)) for n in ("a_of", "b_of", "cuts", "link_start", "cut_start"))
     assert cut.groups(names, 50257, 32000) == digests
