@@ -136,10 +136,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
                 return
             out, seen, sha, first, last, n = open_file
             out.close()
-            final = f"{base}/{name}"
-            if store.get_file_info(final).type.name != "NotFound":
-                store.delete_file(final)
-            store.move(f"{base}/.{name}.{attempt}", final)
+            commit_file(store, f"{base}/.{name}.{attempt}", f"{base}/{name}")
             done.append((name, n, seen, sha.hexdigest(), first, last))
             open_file = None
 
@@ -180,9 +177,36 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, re
     spread = rows.repartitionByRange(4 * (len(bounds) + none_ranges), "part")
     manifest = spread.sortWithinPartitions("part", "page_id", F.col("kind") > 0, "digest", "kind", "url").mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
+    remove_leftovers(folder)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
+def commit_file(store, temporary: str, final: str) -> None:
+    """Give a whole file its final name. All attempts of a file have the same bytes, so one
+    that is there stays, at every moment, and the temporary one goes: a manifest may name
+    it already."""
+    there = lambda: store.get_file_info(final).type.name != "NotFound"
+    if not there():
+        try:
+            store.move(temporary, final)
+            return
+        except OSError:
+            if not there():  # else another attempt came first
+                raise
+    store.delete_file(temporary)
+
+
+def remove_leftovers(folder: str) -> int:
+    """Remove temporary files of attempts that were killed, once the manifest is there."""
+    from pyarrow import fs
+
+    store, base = _store(folder)
+    left = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.base_name.startswith(".") and ".warc.gz." in f.base_name]
+    for path in left:
+        store.delete_file(path)
+    return len(left)
+
+
 def members(data: bytes, step: int = 8192) -> Iterator[bytes]:
     """The decompressed gzip members of a file, a few kilobytes fed at a time."""
     view, at = memoryview(data), 0
