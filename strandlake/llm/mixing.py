@@ -149,14 +149,17 @@ def mix(docs: DataFrame, shards: int = 8, most: float = 3.0, seed: str = "mix",
 
 
 def drawn(mixed: DataFrame, row_columns: list[str]) -> DataFrame:
-    """The mix itself: a row for each copy, in its shard's shuffled order, with its
-    text cut to the copy's words; columns as in the input, then pass and shard."""
+    """The mix itself: a row for each copy, with its text cut to the copy's words; columns
+    as in the input, then pass, shard and shard_order. Rows of a shard stand together, in
+    its shuffled order, over as many partitions as the session has: a range-partitioned
+    sort, so that few shards don't mean few tasks. Equal copies of repeated rows may take
+    each other's place."""
     rows = mixed.select("_row", F.col("size").alias("_size"), F.explode("copies").alias("_copy"))
     words = F.regexp_extract_all(F.col("_row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
     cut = F.array_join(F.slice(words, F.lit(1), F.col("_copy.words").cast("int")), "")
     text = F.when(F.col("_copy.words") == F.col("_size"), F.col("_row.text")).otherwise(cut)
     out = rows.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in row_columns], F.col("_copy.pass").alias("pass"), F.col("_copy.shard").alias("shard"), F.col("_copy.shard_order").alias("shard_order"))
-    return out
+    return out.repartitionByRange("shard", "shard_order").sortWithinPartitions("shard", "shard_order")
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
