@@ -73,24 +73,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes, length: int, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, place, context fingerprint) of each anchor of a text. Texts over
-    `piece` bytes are gone through in overlapping pieces."""
+    """(anchor hash, place, context fingerprint) of each anchor of a text. A text is gone
+    through in overlapping pieces of about `piece` bytes, each with sums of its own, so
+    that arrays are as long as a piece: hashes don't depend on where sums begin."""
     n, w = len(data), length - GRAM + 1
     if n < length:
         return (np.zeros(0, np.int64),) * 3
-    raw = np.frombuffer(data, dtype=np.uint8)
-    values = _TABLE[raw]
-    sums = []
-    for base in (_BASE, _BASE2):
-        up, down = _power_tables(base, n + 1)
-        s = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * up[:n], out=s[1:])
-        sums.append((s, down))
-    (s, down), (s2, down2) = sums
-    grams = _mix((s[GRAM:] - s[:-GRAM]) * down[: n - GRAM + 1])
-    found = []
+    places, hashes, prints = [], [], []
     for a in range(0, n - length + 1, piece):
-        h = grams[a : min(len(grams), a + piece + w - 1)]
+        # Anchors of this piece begin in [a, end); their contexts reach `length` further.
+        end = min(n - GRAM + 1, a + piece + w - 1)
+        first, last = max(0, a - length), min(n, end + length)
+        values = _TABLE[np.frombuffer(data, np.uint8, last - first, first)]
+        sums = []
+        for base in (_BASE, _BASE2):
+            up, down = _power_tables(base, len(values) + 1)
+            s = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(values * up[: len(values)], out=s[1:])
+            sums.append((s, down))
+        (s, down), (s2, down2) = sums
+        here = slice(a - first, end - first)
+        h = _mix((s[GRAM:][here] - s[here]) * down[here])
         key = (h & ~np.uint64(0x1FFFFF)) | np.arange(len(h), dtype=np.uint64)  # leftmost among the least
         m = len(key)
         full = -(-m // w) * w
@@ -100,11 +103,13 @@ def anchors(data: bytes, length: int, piece: int = 1 << 20) -> tuple[np.ndarray,
         left = np.minimum.accumulate(rows, axis=1).ravel()
         right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(right[: m - w + 1], left[w - 1 : m])
-        found.append(np.unique(least & np.uint64(0x1FFFFF)).astype(np.int64) + a)
-    at = np.unique(np.concatenate(found))
-    low, high = np.maximum(0, at - (length - GRAM)), np.minimum(n, at + length)
-    print_ = _mix((s2[high] - s2[low]) * down2[low] + np.uint64(31) * (at - low).astype(np.uint64) + np.uint64(1 << 20) * (high - at).astype(np.uint64))
-    return grams[at].view(np.int64), at, print_.view(np.int64)
+        own = np.unique(least & np.uint64(0x1FFFFF)).astype(np.int64)
+        at = own + a
+        low, high = np.maximum(0, at - (length - GRAM)), np.minimum(n, at + length)
+        print_ = _mix((s2[high - first] - s2[low - first]) * down2[low - first] + np.uint64(31) * (at - low).astype(np.uint64) + np.uint64(1 << 20) * (high - at).astype(np.uint64))
+        places.append(at), hashes.append(h[own].view(np.int64)), prints.append(print_.view(np.int64))
+    at, pick = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(hashes)[pick], at, np.concatenate(prints)[pick]
 
 
 def _keyed(docs: DataFrame, *carried) -> DataFrame:
