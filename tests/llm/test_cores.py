@@ -58,6 +58,8 @@ def test_every_window_has_an_anchor_of_its_content():
     assert inner <= {(h, p) for h, p in zip(hb.tolist(), pb.tolist())}
     small = repeats.anchors(a, 200, piece=64)
     assert small[0].tolist() == ha.tolist() and small[1].tolist() == pa.tolist()
+    for piece in (64, 200, 777):
+        assert all((x == y).all() for x, y in zip(repeats.anchors(a, 200, piece=piece), repeats.anchors(a, 200)))
     assert len(repeats.anchors(b"x" * 199, 200)[0]) == 0 and len(repeats.anchors(b"x" * 200, 200)[0]) == 1
 
 
@@ -214,3 +216,16 @@ def test_viterbi_equals_brute_force():
         if words_:
             assert value(path) == pytest.approx(max(value(p) for p in itertools.product(range(3), repeat=len(words_))))
     assert language.script("д") == "cyrillic" and language.script("é") == "latin" and language.script("漢") == "han"
+
+
+def test_anchors_of_a_very_long_text_take_little_memory():
+    import tracemalloc
+
+    data = np.random.default_rng(5).integers(97, 123, 24 << 20).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        found = repeats.anchors(data, 200)
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(data)
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) > len(data) // 200

@@ -181,6 +181,8 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         taken[s] = taken.get(s, 0) + r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in names)
     drawn = mixing.drawn(mixing.mix(d), d.columns).collect()
+    order = [(r["shard"], r["shard_order"]) for r in drawn]
+    assert order == sorted(order) and len({s for s, _ in order}) > 1  # partitions in order, rows in order
     assert sum(size(r["text"]) for r in drawn) == sum(taken.values())
     assert mixing.mix(docs(spark, [])).count() == 0
     slow = mixing.mix(d, shards=3, broadcast_rows=-1).collect()
@@ -444,3 +446,44 @@ def test_pipeline_stages_feed_each_other(spark):
     for name, stage in pipeline.STAGES:
         empty = common.written(stage(spark, empty, ""), name)
         assert empty.count() == 0
+
+
+def test_a_second_attempt_never_takes_a_named_file_away(tmp_path):
+    from pyarrow import fs
+
+    store, final = fs.LocalFileSystem(), tmp_path / "part-1.warc.gz"
+    for attempt in "12":
+        (tmp_path / f".part-1.warc.gz.{attempt}").write_bytes(b"records")
+    warc.commit_file(store, str(tmp_path / ".part-1.warc.gz.1"), str(final))
+    before = final.stat().st_ino
+
+    class Killed:
+        """A store whose attempt ends at its next change of a file."""
+
+        get_file_info = store.get_file_info
+
+        def move(self, *_):
+            raise KeyboardInterrupt
+
+        delete_file = move
+
+    with pytest.raises(KeyboardInterrupt):
+        warc.commit_file(Killed(), str(tmp_path / ".part-1.warc.gz.2"), str(final))
+    assert final.read_bytes() == b"records" and final.stat().st_ino == before
+    assert warc.remove_leftovers("file://" + str(tmp_path)) == 1 and [x.name for x in tmp_path.iterdir()] == [final.name]
+
+    class Late:
+        """Another attempt comes first between the look and the move."""
+
+        seen, delete_file = 0, store.delete_file
+
+        def get_file_info(self, path):
+            self.seen += 1
+            return store.get_file_info(path + "x" * (self.seen == 1))
+
+        def move(self, *_):
+            raise OSError("there is a file")
+
+    (tmp_path / ".part-1.warc.gz.3").write_bytes(b"records")
+    warc.commit_file(Late(), str(tmp_path / ".part-1.warc.gz.3"), str(final))
+    assert [x.name for x in tmp_path.iterdir()] == [final.name]
