@@ -14,7 +14,7 @@ from strandlake.functions import alphabet as A
 from strandlake.functions import cigar as K
 from strandlake.functions import codes as C
 from strandlake.functions.scores import named, read_matrix
-from strandlake.operators import align, bloom, chaining, edit, matches, minimizers, missing, partition, qgrams, ranges, sampling, sketch, stats, suffixes
+from strandlake.operators import align, bloom, chaining, edit, matches, minimizers, missing, partition, qgrams, ranges, sampling, sketch, stats, suffix_sort, suffixes
 
 
 def seqs(spark, texts):
@@ -587,6 +587,85 @@ def test_suffix_tables_equal_sorted_suffixes(spark):
     assert [r[1] for r in rows(suffixes.longest_prefixes(q, d))] == joined
 
 
+def test_long_repeats_take_no_more_levels(spark, monkeypatch):
+    rng = random.Random(14)
+    base, other = random_dna(rng, 100_000), random_dna(rng, 100_000)
+    levels, whole = [], suffix_sort._solved
+    monkeypatch.setattr(suffix_sort, "_solved", lambda *a: levels.append(1) or whole(*a))
+    for text in (base + "x" + base, base + "x" + other):
+        levels.append(0)
+        assert suffix_sort.in_order(seqs(spark, [text])).count() == len(text)
+    assert levels == [0, 1, 0, 1]
+
+
+def test_levels_that_no_task_may_sort_whole(spark, monkeypatch):
+    monkeypatch.setattr(suffix_sort, "LOCAL", 60)
+    monkeypatch.setattr(suffix_sort, "_CHUNK", 8)
+    texts = ["ab" * 100, "ab" * 100, "a" * 90, "é", "", "abcab" * 30]
+    want = sorted((t[p:], i, p) for i, t in enumerate(texts) for p in range(len(t)))
+    got = suffix_sort.in_order(seqs(spark, texts)).orderBy("rank").collect()
+    assert [(r["seq_id"], r["pos"]) for r in got] == [w[1:] for w in want] and [r["rank"] for r in got] == list(range(len(want)))
+
+
+def test_suffixes_in_memory():
+    rng = random.Random(15)
+    for _ in range(50):
+        texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 6))]
+        of, symbols = np.array([i for i, t in enumerate(texts) for _ in t]), np.array([x for t in texts for x in t])
+        want = sorted((t[p:], i, p) for i, t in enumerate(texts) for p in range(len(t)))
+        places = {(i, p): k for k, (i, p) in enumerate((i, p) for i, t in enumerate(texts) for p in range(len(t)))}
+        ranks = suffix_sort.local_ranks(of, symbols)
+        assert [int(ranks[places[i, p]]) for _, i, p in want] == list(range(len(want)))
+
+
+def test_index_finds_prefixes_longer_than_heads(spark, tmp_path):
+    rng = random.Random(16)
+    texts = ["ab" * 150, "ab" * 150, "a" * 120, "", "é" * 40, random_dna(rng, 200, "abc")]
+    d = seqs(spark, texts)
+    suffixes.write_leaves(d, str(tmp_path / "index"), size=16)
+    queries = ["", "zz", "ab" * 200, "ab" * 120 + "x", "é" * 33, "é" * 60, "a" * 120 + "b", "q", texts[5][20:140], texts[5][7:90] + "z", None]
+    got = suffixes.search_leaves(spark.createDataFrame([(q,) for q in queries], "query string"), d, str(tmp_path / "index"), width=64).collect()
+    want = {q: max(k for k in range(len(q) + 1) if any(q[:k] in t for t in texts)) for q in queries if q is not None}
+    assert {r["query"]: r["length"] for r in got} == want
+    suffixes.write_leaves(d.limit(0), str(tmp_path / "none"))
+    assert [r["length"] for r in suffixes.search_leaves(spark.createDataFrame([("ab",)], "query string"), d, str(tmp_path / "none")).collect()] == [0]
+
+
+@pytest.mark.parametrize("n,limit,block", [(200, 50, 16), (200, 5, 16), (150, 2000, 7), (60, 1, 8), (1, 5, 8), (0, 5, 8)])
+def test_greedy_parts_over_blocks(spark, monkeypatch, n, limit, block):
+    rng = random.Random(n + limit)
+    lengths = [rng.choice([0, 0, 1, 3, 9, 40]) for _ in range(n)]
+    want, part, filled = [], 0, 0
+    for i, x in enumerate(lengths):
+        if filled >= limit:
+            part, filled = part + 1, 0
+        filled += x
+        want.append((3 * i - 50, x, part))
+    monkeypatch.setattr(partition, "BLOCK", block)
+    d = spark.createDataFrame([(3 * i - 50, "x" * x) for i, x in enumerate(lengths)], "seq_id long, sequence string")
+    assert rows(partition.greedy_parts(d, limit)) == want
+    with pytest.raises(ValueError):
+        partition.greedy_parts(d, 0)
+
+
+def test_seeds_of_one_hot_qgram_are_dealt_out(spark):
+    rng = random.Random(17)
+    table = lambda n: [(7 if i % 3 == 0 else rng.randrange(8, 900), i // 50, i % 50) for i in range(n)]
+    left, right = table(3000), table(2400)
+    make = lambda t: spark.createDataFrame(t, "hash long, seq_id long, pos long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "16", "-1")):
+            spark.conf.set(k, v)
+        got = matches.seed_matches(make(left), make(right), block=32)
+        tasks = [r["n"] for r in got.where("hash = 7").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) > 8 and max(tasks) < 10 * sorted(tasks)[len(tasks) // 2]
+        assert got.count() == got.distinct().count() == sum(a[0] == b[0] for a in left for b in right)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # Bloom filters, samples.
 
 
