@@ -532,6 +532,24 @@ def test_extension_and_gaps(spark):
     assert rows(edit.closed_gaps(m, one, two)) == [(1, 2)]
 
 
+@pytest.mark.parametrize("local", [False, True])
+def test_chains_of_huge_groups_go_slab_by_slab(spark, local):
+    rng = random.Random(18)
+    data = [(g, i, rng.randint(0, 300), rng.randint(1, 20), rng.randint(0, 300), rng.randint(1, 20), rng.randint(1, 30)) for g, n in ((1, 200), (2, 90), (3, 12), (4, 31)) for i in range(n)]
+    data += [(5, i, 7, 3, i, 2, 4) for i in range(70)] + [(6, i, 5 * i, 5, 5 * i, 5, 9) for i in range(80)]  # one start for all; one chain of all
+    d = spark.createDataFrame(data, "group long, match_id long, p_start long, p_len long, s_start long, s_len long, weight long")
+    got = {r["group"]: r for r in chaining.chains(d, local, slab=30).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for g, r in got.items():
+        own = {x[1]: x[2:] for x in data if x[0] == g}
+        columns = [np.array(c) for c in zip(*own.values())]
+        assert r["score"] == chaining.best_chain(*columns, local)[0] and r["length"] == len(r["matches"])
+        chain = [own[i] for i in r["matches"]]
+        assert all(a[0] + a[1] <= b[0] and a[2] + a[3] <= b[2] for a, b in zip(chain, chain[1:]))
+        gaps = sum((b[0] - a[0] - a[1] + 1) + (b[2] - a[2] - a[3] + 1) for a, b in zip(chain, chain[1:])) if local else 0
+        assert sum(c[4] for c in chain) - gaps == r["score"]
+
+
 # Suffix tables.
 
 
