@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import alphabet as A
 from strandlake.functions import codes as C
+from strandlake.operators.stats import ranked
 from strandlake.sources.tables import written
 
 
@@ -94,44 +96,106 @@ def colinear_gaps(first_end, first_query_end, second_start, second_query_start):
     return F.when(ok, second_start - first_end - 1), F.when(ok, second_query_start - first_query_end - 1)
 
 
-def maximum_intervals(intervals: DataFrame) -> DataFrame:
+def _sweep(start: np.ndarray, end: np.ndarray, weight: np.ndarray, least: float, low: float, high: float) -> tuple[np.ndarray, bool]:
+    """Which intervals have the largest weight at some point of [low, high) that they
+    cover, if one of weight `least` covers all of it; and whether that one does."""
+    keep = np.zeros(len(start), dtype=bool)
+    order = np.argsort(start, kind="stable")
+    points = np.unique(np.concatenate([start, end, [low]]))
+    points = points[(points >= low) & (points < high)]
+    heap: list[tuple] = []
+    at, covers = 0, False
+    for p in points.tolist():
+        while at < len(order) and start[order[at]] <= p:
+            i = int(order[at])
+            if end[i] > start[i]:
+                heapq.heappush(heap, (-weight[i], -end[i], i))
+            at += 1
+        while heap and end[heap[0][2]] <= p:
+            heapq.heappop(heap)
+        top = -heap[0][0] if heap else -np.inf
+        covers |= least >= top and least > -np.inf
+        if heap and top >= least:
+            back = []
+            while heap and -heap[0][0] == top:
+                item = heapq.heappop(heap)
+                if end[item[2]] > p:
+                    keep[item[2]] = True
+                    back.append(item)
+            # Of those that tie only the one that ends last is needed from here on,
+            # but others may win later points alone never: they end before it.
+            for item in back[:1]:
+                heapq.heappush(heap, item)
+    return keep, covers
+
+
+def maximum_intervals(intervals: DataFrame, slab: int = 1 << 18) -> DataFrame:
     """Intervals (group, id, start, len, weight) that have the largest weight of their
-    group at some point that they cover; at equal weights all that tie stay.
-
-    A sweep over a group's ends, sorted once, with a heap of open intervals: linear
-    memory, no row for each point of each interval."""
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        start, end = pdf["start"].to_numpy(), (pdf["start"] + pdf["len"]).to_numpy()
-        weight, keep = pdf["weight"].to_numpy(), np.zeros(len(pdf), dtype=bool)
-        order = np.argsort(start, kind="stable")
-        points = np.unique(np.concatenate([start, end]))
-        heap: list[tuple] = []
-        at = 0
-        for p in points.tolist():
-            while at < len(order) and start[order[at]] <= p:
-                i = int(order[at])
-                if end[i] > start[i]:
-                    heapq.heappush(heap, (-weight[i], -end[i], i))
-                at += 1
-            while heap and end[heap[0][2]] <= p:
-                heapq.heappop(heap)
-            if heap:
-                top, back = heap[0][0], []
-                while heap and heap[0][0] == top:
-                    item = heapq.heappop(heap)
-                    if end[item[2]] > p:
-                        keep[item[2]] = True
-                        back.append(item)
-                # Of those that tie only the one that ends last is needed from here on,
-                # but others may win later points alone never: they end before it.
-                for item in back[:1]:
-                    heapq.heappush(heap, item)
-        return pdf[keep]
-
-    return intervals.groupBy("group").applyInPandas(sweep, intervals.schema)
+    group at some point that they cover; at equal weights all that tie stay. Other columns
+    go along.
+
+    A sweep over a group's ends, with a heap of open intervals: linear memory, no row for
+    each point of each interval. A group of more than `slab` intervals is cut at starts
+    into slabs of so many, which are swept apart. An interval is in the slabs where it
+    begins and ends; of those that cover a slab from end to end, the sweep needs to know the
+    largest weight alone, which is found for all slabs by ranges of a binary tree."""
+    rows = written(intervals.where("len > 0").withColumn("_id", F.monotonically_increasing_id()), "intervals")
+    huge = rows.groupBy(F.col("group").alias("_of")).agg(F.count("*").alias("n")).where(F.col("n") > slab)  # fewer than intervals / slab
+    narrow = rows.select("group", "_id", F.col("start").cast("double").alias("low"), (F.col("start") + F.col("len")).cast("double").alias("high"), F.col("weight").cast("double").alias("weight"))
+    of = F.col("group") == F.col("_of")
+    if not huge.limit(1).count():
+        pieces = narrow.select("group", F.lit(0).cast("long").alias("slab"), "_id", "low", "high", "weight", F.lit(-np.inf).alias("least"), F.lit(-np.inf).alias("from"), F.lit(np.inf).alias("to"))
+        kept = _swept(pieces).where("_id >= 0").select(F.col("_id").alias("_kept"))
+        return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select(intervals.columns)
+    few = F.broadcast(huge.select("_of"))
+    # Slabs of huge groups: their first starts, which are few.
+    big = narrow.join(few, of, "left_semi")
+    ranks = ranked(big.select("group", "low", "_id"), "group", "low", "_id")
+    first = ranks.groupBy(F.col("group").alias("_of")).agg(F.min("rank").alias("_first"))
+    cuts = ranks.join(F.broadcast(first), of).where((F.col("rank") - F.col("_first")) % slab == 0).select("group", "low").distinct()
+    ordered = Window.partitionBy("group").orderBy("low")
+    cuts = cuts.select("group", "low", F.row_number().over(ordered).alias("slab"), F.lead("low").over(ordered).alias("next"))
+    bounds = written(cuts.select(F.col("group").alias("_of"), "slab", F.when(F.col("slab") == 1, -np.inf).otherwise(F.col("low")).alias("from"), F.coalesce("next", F.lit(np.inf)).alias("to")), "slabs")
+    lists = F.broadcast(bounds.groupBy("_of").agg(F.array_sort(F.collect_list("from")).alias("_cuts")))  # a number for each slab
+
+    @F.pandas_udf("array<long>")
+    def places(cuts_: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([[int(np.searchsorted(c, x, side="right")), int(np.searchsorted(c, y, side="left"))] for c, x, y in zip(cuts_, low, high)])
+
+    placed = written(big.join(lists, of).withColumn("_at", places("_cuts", "low", "high")).select("group", "_id", "low", "high", "weight", F.col("_at")[0].alias("a"), F.col("_at")[1].alias("b")), "placed")
+    depth = int(bounds.agg(F.max("slab").alias("n")).first()["n"]).bit_length()
+    # Slabs a + 1 to b - 1 are covered whole: ranges [k 2^d, (k + 1) 2^d) of slabs that fill them.
+    nodes = F.expr(f"""filter(flatten(transform(sequence(0, {depth}), d -> array(
+        struct(d as d, shiftrightunsigned(a + shiftleft(1L, d), d) as k), struct(d as d, shiftrightunsigned(b, d) - 1 as k)))),
+        x -> shiftleft(x.k, x.d) > a AND shiftleft(x.k + 1, x.d) <= b
+             AND NOT (shiftleft(shiftrightunsigned(x.k, 1), x.d + 1) > a AND shiftleft(shiftrightunsigned(x.k, 1) + 1, x.d + 1) <= b))""")
+    cover = placed.where("b - a > 1").select("group", "weight", F.explode(nodes).alias("x")).groupBy("group", "x").agg(F.max("weight").alias("w"))
+    up = bounds.select("_of", "slab", F.explode(F.expr(f"transform(sequence(0, {depth}), d -> struct(d as d, shiftrightunsigned(slab, d) as k))")).alias("y"))
+    least = up.join(cover, of & (F.col("x.d") == F.col("y.d")) & (F.col("x.k") == F.col("y.k"))).groupBy(F.col("_of").alias("_g"), F.col("slab").alias("_s")).agg(F.max("w").alias("w"))
+    facts = F.broadcast(written(bounds.join(least, (F.col("_of") == F.col("_g")) & (F.col("slab") == F.col("_s")), "left").select("_of", F.col("slab").cast("long").alias("_slab"), "from", "to", F.coalesce("w", F.lit(-np.inf)).alias("least")), "slabs"))
+    ends = placed.select("group", "_id", "low", "high", "weight", F.explode(F.array_distinct(F.array("a", "b"))).alias("slab"))
+    pieces = ends.join(facts, of & (F.col("slab") == F.col("_slab"))).select("group", "slab", "_id", "low", "high", "weight", "least", "from", "to")
+    swept = written(_swept(pieces), "swept")
+    won = swept.where("_id < 0").select(F.col("group").alias("_of"), F.col("slab").alias("_slab"), F.col("weight").alias("_w"))
+    small = narrow.join(few, of, "left_anti").select("group", F.lit(0).cast("long").alias("slab"), "_id", "low", "high", "weight", F.lit(-np.inf).alias("least"), F.lit(-np.inf).alias("from"), F.lit(np.inf).alias("to"))
+    covering = placed.where("b - a > 1").join(won, of & (F.col("weight") == F.col("_w")) & (F.col("_slab") > F.col("a")) & (F.col("_slab") < F.col("b"))).select("_id")
+    kept = swept.where("_id >= 0").select("_id").unionByName(covering).unionByName(_swept(small).where("_id >= 0").select("_id")).distinct().select(F.col("_id").alias("_kept"))
+    return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").select(intervals.columns)
+
+
+def _swept(pieces: DataFrame) -> DataFrame:
+    """(group, slab, _id, weight) of intervals that win in their slab, and with _id -1 of
+    slabs where the one that covers it whole does. A task holds one slab at a time."""
+    from strandlake.operators.chaining import by_group
+
+    def work(key: tuple, c: list[np.ndarray]) -> list[tuple]:
+        ids, low, high, weight, least, start, stop = c
+        keep, covers = _sweep(low, high, weight, float(least[0]), float(start[0]) if np.isfinite(start[0]) else float(low.min()), float(stop[0]))
+        out = [(*key, int(i), float(w)) for i, w in zip(ids[keep], weight[keep])]
+        return [*out, (*key, -1, float(least[0]))] if covers else out
+
+    columns = ["_id", "low", "high", "weight", "least", "from", "to"]
+    return by_group(pieces, ["group", "slab"], ["low", "_id"], columns, "group long, slab long, _id long, weight double", ["group", "slab", "_id", "weight"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()], work)
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: str, block: int = 4096) -> DataFrame:

@@ -532,6 +532,21 @@ def test_extension_and_gaps(spark):
     assert rows(edit.closed_gaps(m, one, two)) == [(1, 2)]
 
 
+@pytest.mark.parametrize("seed,slab", [(0, 10), (1, 3), (2, 25)])
+def test_maximum_intervals_of_a_hot_group_slab_by_slab(spark, seed, slab):
+    rng = random.Random(seed)
+    data = [(g, i, rng.randint(0, 400), rng.choice([0, 1, 5, 9, 60, 300]), float(rng.randint(1, 9))) for g, n in ((1, 150), (2, 9), (3, 40)) for i in range(n)]
+    data += [(4, i, 5, 7 + i % 3, 2.0) for i in range(60)] + [(1, 900, -10, 2000, 6.0), (1, 901, 0, 1500, 6.0)]
+    got = {(r["group"], r["id"]) for r in matches.maximum_intervals(spark.createDataFrame(data, "group long, id long, start long, len long, weight double"), slab).collect()}
+    want = set()
+    for g in range(1, 5):
+        own = [x for x in data if x[0] == g]
+        for p in range(-10, 2000):
+            over = [x for x in own if x[2] <= p < x[2] + x[3]]
+            want |= {(g, x[1]) for x in over if x[4] == max(y[4] for y in over)}
+    assert got == want
+
+
 @pytest.mark.parametrize("local", [False, True])
 def test_chains_of_huge_groups_go_slab_by_slab(spark, local):
     rng = random.Random(18)
