@@ -112,28 +112,63 @@ def int_text(n: int) -> str:
     return str(n) + "".join(reversed(parts))
 
 
-def batch_hits(texts: list[str], pattern: str, most: int) -> int:
-    """Ends in the texts at which the pattern matches with at most `most` edits. A row of
-    the table of distances is made for all texts at once, a row a pattern character;
-    between two texts stand as many characters that match nothing as the pattern has, so
-    that no match passes them."""
-    m = len(pattern)
-    if not 0 < m <= 64:
+#: Characters of a lane, and words of pattern bits that one array operation takes.
+_LANE, _WORDS = 256, 1 << 14
+_PAUSE = 0x110000  # matches nothing, and stands between texts
+
+
+def batch_counts(texts: list[str], patterns: list[str], most: int) -> list[int]:
+    """For each pattern the ends in the texts at which it matches with at most `most`
+    edits. A pattern's column of the table of distances is a machine word of vertical
+    differences, advanced by a character with a few word operations; texts are cut into
+    lanes that start as many characters early as a match can have, and all lanes of many
+    patterns advance together. Between two texts stand so many characters that match
+    nothing that no match passes them."""
+    if any(not 0 < len(p) <= 64 for p in patterns):
         raise ValueError("a pattern has 1 to 64 characters")
-    if most > m // 2:
+    if any(most > len(p) // 2 for p in patterns):
         raise ValueError("at most half of a pattern's characters may differ")
-    pause = np.full(m, 0x110000, dtype=np.uint32)
+    longest = max(map(len, patterns), default=0)
+    early, pause = longest + most, np.full(longest, _PAUSE, dtype=np.uint32)
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
     joined = np.concatenate([x for c in codes for x in (c, pause)] or [pause])
-    place = np.arange(len(joined), dtype=np.int64)
-    row = np.zeros(len(joined), dtype=np.int64)  # of the empty prefix, which matches anywhere
-    for i, c in enumerate(pattern):
-        now = row + 1
-        before = np.concatenate([[i], row[:-1]])
-        np.minimum(now, before + (joined != ord(c)), out=now)
-        now[0] = min(now[0], i + 2)
-        row = np.minimum.accumulate(now - place) + place
-    return int(((row <= most) & (joined != 0x110000)).sum())
+    letters, number = np.unique(joined, return_inverse=True)
+    lanes = -(-len(joined) // _LANE)
+    padded = np.full(early + lanes * _LANE, np.searchsorted(letters, _PAUSE))
+    padded[early : early + len(joined)] = number
+    columns = np.ascontiguousarray(np.stack([padded[t : t + lanes * _LANE : _LANE][:lanes] for t in range(early + _LANE)])) if lanes else np.zeros((0, 0), dtype=np.int64)
+    at_text = letters[columns] != _PAUSE
+    one, out, step = np.uint64(1), [], max(1, _WORDS // max(1, lanes))
+    for first in range(0, len(patterns), step):
+        some = patterns[first : first + step]
+        equal = np.zeros((len(some), len(letters)), dtype=np.uint64)
+        for i, p in enumerate(some):
+            for j, c in enumerate(p):
+                k = int(np.searchsorted(letters, ord(c)))
+                if k < len(letters) and letters[k] == ord(c):
+                    equal[i, k] |= one << np.uint64(j)
+        size = np.array([len(p) for p in some], dtype=np.int16)[:, None]
+        top = (size - 1).astype(np.uint64)
+        up, down = np.full((len(some), lanes), ~np.uint64(0)), np.zeros((len(some), lanes), dtype=np.uint64)
+        distance = np.repeat(size, lanes, axis=1)
+        hits = np.zeros(len(some), dtype=np.int64)
+        for t, column in enumerate(columns):
+            eq = equal[:, column]
+            level = (((eq & up) + up) ^ up) | eq
+            rise, fall = down | ~(level | up), up & level
+            distance += (rise >> top & one).astype(np.int16)
+            distance -= (fall >> top & one).astype(np.int16)
+            rise, fall, steep = rise << one, fall << one, eq | down
+            up, down = fall | ~(steep | rise), rise & steep
+            if t >= early:
+                hits += ((distance <= most) & at_text[t]).sum(axis=1)
+        out += hits.tolist()
+    return out
+
+
+def batch_hits(texts: list[str], pattern: str, most: int) -> int:
+    """batch_counts() of one pattern."""
+    return batch_counts(texts, [pattern], most)[0]
 
 
 def pattern_hits(text: str, pattern: str, most: int) -> int:
@@ -155,8 +190,8 @@ def pattern_counts(texts: DataFrame, patterns: DataFrame, most: int, at_once: in
                     if text:
                         held.append(text)
                     if held and (text is None or sum(map(len, held[-1:])) > 1 << 20 or len(held) >= 256):
-                        for p in some:
-                            sums[p] += batch_hits(held, p, most)
+                        for p, n in zip(some, batch_counts(held, some, most)):
+                            sums[p] += n
                         held = []
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["pattern", "hits"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.stats import counted_in_order
+from strandlake.operators.stats import counted_in_order, ranked
 from strandlake.sources.tables import written
 
 
@@ -193,13 +193,12 @@ def tiles(spark, m: int, n: int | None = None, cutlen: int | None = None) -> Dat
 
 
 def triangle_pairs(rows: DataFrame, id_column: str, block: int = 64) -> DataFrame:
-    """(a, b) for all pairs a < b of a table, as a join of blocks of ids and then of
-    rows within: an equi-join on tiles, where each row goes to as many tiles as there
+    """(a, b) for all pairs a < b of a table, as a join of blocks of ids in order and
+    then of rows within: an equi-join on tiles, where each row goes to as many tiles as there
     are blocks, instead of a nested loop over two whole tables."""
-    ids = rows.select(F.col(id_column).alias("id")).distinct()
-    top = ids.agg(F.max("id").alias("m")).first()["m"]
-    blocks = (int(top) // block + 1) if top is not None else 0
-    own = ids.withColumn("own", F.floor(F.col("id") / block).cast("int"))
+    ids = ranked(rows.select(F.col(id_column).alias("id")).where("id is not null").distinct(), "id")
+    blocks = -(-ids.count() // block)
+    own = ids.select("id", F.floor(F.col("rank") / block).cast("int").alias("own"))
     left = own.select(F.col("id").alias("a"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(max(0, blocks - 1)))).alias("j"))
     right = own.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
     return left.join(right, ["i", "j"]).where("a < b").select("a", "b")
