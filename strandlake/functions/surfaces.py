@@ -5,8 +5,14 @@
     spark.sql("SELECT s.id, m.* FROM s, LATERAL minimizers(s.sequence, 12, 10) m")
 
 The aggregate takes a group's hashes at once and so suits groups of bounded size; over
-a whole table use operators.sketch, whose slots are partial sums. Sketches merge by
-operators.sketch.merged."""
+groups of any size use operators.sketch.bitmaps and f0_by_group, whose state is partial
+and merges. The same in SQL, for s = 2 and r = 22:
+
+    SELECT src, -ln(1 - sum(bitmap_count(bits)) / 4194304D) * 16777216D AS f0
+    FROM (SELECT src, bitmap_bucket_number(hash & 4194303) AS bucket,
+                 bitmap_construct_agg(bitmap_bit_position(hash & 4194303)) AS bits
+          FROM hashes WHERE shiftrightunsigned(hash, 62) = 0 GROUP BY src, bucket)
+    GROUP BY src"""
 
 from collections.abc import Iterator
 

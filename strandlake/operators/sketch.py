@@ -44,6 +44,32 @@ def f0(slot_rows: DataFrame, s: int = 7, r: int = 27) -> DataFrame:
     return slot_rows.agg(checked.alias("f0"))
 
 
+def bitmaps(hashes: DataFrame, *keys: str, s: int = 2, r: int = 22, column: str = "value") -> DataFrame:
+    """(keys, bucket, bits): the state of a distinct count of each group, as bitmaps of
+    32,768 slots. Bitmaps are built before the shuffle and joined behind it, so a group of
+    any size is a few rows a task; states of several inputs merge by merged_bitmaps()."""
+    h = F.col(column)
+    kept = hashes.where(h.isNotNull() & (F.shiftrightunsigned(h, 64 - s) == 0 if s else F.lit(True)))
+    slot = h.bitwiseAND(F.lit((1 << r) - 1))
+    return kept.groupBy(*keys, F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def merged_bitmaps(*parts: DataFrame) -> DataFrame:
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    keys = [c for c in both.columns if c != "bits"]
+    return both.groupBy(*keys).agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def f0_by_group(states: DataFrame, *keys: str, s: int = 2, r: int = 22) -> DataFrame:
+    """(keys, f0) of bitmaps(): distinct hashes of each group, from the share of empty
+    slots; null if none is empty. Groups without a sampled hash have no row."""
+    used = F.sum(F.bitmap_count("bits"))
+    empty = (F.lit(float(1 << r)) - used) / float(1 << r)
+    return states.groupBy(*keys).agg(F.when(used < (1 << r), -F.ln(empty) * float(1 << (s + r))).alias("f0"))
+
+
 def moments(histogram: dict[int, int], s: int = 7, r: int = 27) -> dict:
     """f0, f1 and f[i], the estimated numbers of distinct hashes that occur i times,
     from a slot histogram (at most 65,535 entries). Each f[i] needs all before it."""

@@ -532,6 +532,24 @@ def test_extension_and_gaps(spark):
     assert rows(edit.closed_gaps(m, one, two)) == [(1, 2)]
 
 
+def test_distinct_counts_of_groups_are_partial_and_merge(spark):
+    from strandlake.functions import surfaces
+
+    rng = random.Random(19)
+    data = [(rng.choice("aaaab"), rng.getrandbits(64) - (1 << 63)) for _ in range(4000)] + [("c", 5), ("c", 5), ("c", None)]
+    d = spark.createDataFrame(data + data[:500], "src string, value long")
+    state = sketch.bitmaps(d, "src", s=0, r=14)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bitmap_construct_agg" in plan
+    halves = sketch.merged_bitmaps(*[sketch.bitmaps(d.where(F.pmod("value", F.lit(2)) == k), "src", s=0, r=14) for k in (0, 1)])
+    got, again = ({r["src"]: r["f0"] for r in sketch.f0_by_group(x, "src", s=0, r=14).collect()} for x in (state, halves))
+    want = {k: surfaces.f0_of_hashes(np.array([v for s, v in data if s == k and v is not None], dtype=np.int64), 0, 14) for k in "abc"}
+    assert got == pytest.approx(want) and again == pytest.approx(want)
+    d.createOrReplaceTempView("hashes")
+    sql = spark.sql("SELECT src, -ln(1 - sum(bitmap_count(bits)) / 4194304D) * 16777216D AS f0 FROM (SELECT src, bitmap_bucket_number(value & 4194303) AS bucket, bitmap_construct_agg(bitmap_bit_position(value & 4194303)) AS bits FROM hashes WHERE shiftrightunsigned(value, 62) = 0 GROUP BY src, bucket) GROUP BY src")
+    assert {r["src"]: r["f0"] for r in sql.collect()} == pytest.approx({r["src"]: r["f0"] for r in sketch.f0_by_group(sketch.bitmaps(d, "src"), "src").collect()})
+
+
 @pytest.mark.parametrize("seed,slab", [(0, 10), (1, 3), (2, 25)])
 def test_maximum_intervals_of_a_hot_group_slab_by_slab(spark, seed, slab):
     rng = random.Random(seed)
