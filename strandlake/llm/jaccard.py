@@ -2,7 +2,8 @@
 
 1. Each text becomes the set of its word n-grams (64-bit hashes). Texts with equal
    sets are one class, and only a class's smallest id goes on.
-2. n-grams have one global order: those not seen twice in a bounded sample first,
+2. n-grams have one global order: those not seen twice in a sample first (a share
+   of all texts, so that common n-grams of a larger table aren't taken for rare ones),
    then by count there, then by hash. Any order gives exact results; this one puts
    common n-grams last. Sets that reach the threshold share an n-gram among the
    first n - ceil(t n) + 1 of either, so sets meet in buckets by these. A common
@@ -333,8 +334,9 @@ def _described(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
 
 
 def _global_order(docs: DataFrame, n: int, total: int, sample_docs: int, most: int) -> Order:
-    """n-grams that occur twice or more in a bounded sample of texts (of smallest
-    hash), with their counts: only the order of n-grams depends on them."""
+    """n-grams that occur twice or more in a sample of about sample_docs texts (of smallest
+    hash), with their counts, the `most` most frequent ones: only the order of n-grams
+    depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -521,7 +523,7 @@ def _tiles(groups: DataFrame, reps: DataFrame, percent: int, tile: int, tile_tok
     return placed.join(ends, (F.col("component") == F.col("c")) & (F.col("block") == F.col("k"))).select("tile", "side", "node", "weight", "rep", "rep_text")
 
 
-def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, sample_docs: int = 8192, most_common: int = 400_000, tile: int = 2048, tile_tokens: int = 4_000_000, salt_rows: int = 65_536) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, sample_docs: int = 8192, sample_every: int = 32, most_common: int = 1_000_000, tile: int = 2048, tile_tokens: int = 4_000_000, salt_rows: int = 65_536) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, text_hash, is_first) for each row of
     docs (doc_id, text).
 
@@ -537,6 +539,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, sample_docs: in
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     total = docs.count()
+    # A share of the table, not a number of texts: an n-gram then escapes the sample up to
+    # a number of texts, not a share, and no bucket grows with the table.
+    sample_docs = max(sample_docs, total // sample_every)
     order = _global_order(docs, n, total, sample_docs, most_common)
     shared = spark.sparkContext.broadcast(order)
     facts = common.written(_described(docs, n, percent, shared).withColumn("class", F.xxhash64("sign1", "sign2")), "sets")
