@@ -73,51 +73,87 @@ def local_alignments(u: np.ndarray, vs: list[np.ndarray], scores: Scores, gap_op
 
 
 def global_alignment(u: np.ndarray, v: np.ndarray, scores: Scores, gap_open: int, gap_ext: int, expected: int | None = None) -> tuple[int, str]:
-    """(score, CIGAR) of a best global alignment. If a score is expected, a band around
-    the diagonal is doubled until it is reached. D takes from u, I from v; preferred
-    are matches, then deletions, then insertions, read from the end."""
+    """(score, CIGAR) of a best global alignment. D takes from u, I from v; preferred are
+    matches, then deletions, then insertions, read from the end.
+
+    Only a band around the diagonal is computed, and doubled until it is wide enough: until
+    the expected score is reached or, without one, until no alignment that leaves the band
+    can reach the score found, as it would need too many gaps. Of a band's rows only one
+    is kept as numbers; of each cell the steps that lead to it, in a byte."""
     m, n = len(u), len(v)
-    band = max(m, n) if expected is None else abs(m - n) + 8
+    band, most = abs(m - n) + 8, int(scores.table.max())
     while True:
         score, text = _banded(u, v, scores, gap_open, gap_ext, band)
-        if expected is None or score >= expected or band >= max(m, n):
+        if band >= max(m, n) or (expected is not None and score >= expected):
+            return score, text
+        if expected is None and score > _beyond(m, n, most, gap_open, gap_ext, band):
             return score, text
         band *= 2
 
 
+def _beyond(m: int, n: int, most: int, gap_open: int, gap_ext: int, band: int) -> float:
+    """No alignment that leaves the band scores more: it goes `out` characters off the
+    diagonal and back to the end, and what it skips isn't matched."""
+    differ = abs(m - n)
+    out = band + 1 - differ
+    gaps = max(differ, 2 * out - differ)
+    return most * max(0, m + n - gaps) / 2 - gap_open * (2 if out > differ else 1) - gap_ext * gaps if most > 0 else -gap_ext * gaps
+
+
+_DIAGONAL, _DELETED, _OPENS_D, _OPENS_I = 1, 2, 4, 8
+
+
 def _banded(u, v, scores, gap_open, gap_ext, band) -> tuple[int, str]:
     m, n = len(u), len(v)
-    h, d, ins = (np.full((m + 1, n + 1), _LOW, dtype=np.int64) for _ in range(3))
-    h[0, 0] = 0
-    columns = np.arange(n + 1)
-    ins[0, 1:] = -gap_open - gap_ext * columns[1:]
-    h[0, 1:] = ins[0, 1:]
-    h[0, columns > band] = _LOW
-    slope = columns * gap_ext
+    band = min(band, max(m, n))
+    width = min(n, 2 * band) + 2
+    offsets = np.maximum(0, -((band * m - np.arange(m + 1) * n) // max(1, m)))  # each row's first column
+    steps = np.zeros((m + 1, width), dtype=np.uint8)
+    k = np.arange(width)
+    slope, opening = k * gap_ext, gap_open + gap_ext
+
+    def outside(i: int) -> np.ndarray:
+        j = offsets[i] + k
+        return (j > n) | (np.abs(j * max(1, m) - i * n) > band * max(1, m))
+
+    h = np.where(k == 0, 0, -gap_open - gap_ext * k)
+    h[outside(0)] = _LOW
+    d = np.full(width, _LOW, dtype=np.int64)
+    steps[0, 1:] = np.where(h[:-1] - opening == h[1:], _OPENS_I, 0)
+    table, low = np.vstack([scores.table, scores.table[-1:]]), np.full(width + 2, _LOW, dtype=np.int64)
+    letters = np.concatenate([v, np.zeros(width + 1, dtype=np.int64)])
     for i in range(1, m + 1):
-        inside = np.abs(columns * max(1, m) - i * max(1, n)) <= band * max(1, m)
-        d[i] = np.maximum(d[i - 1] - gap_ext, h[i - 1] - gap_open - gap_ext)
-        now = d[i].copy()
-        now[1:] = np.maximum(now[1:], h[i - 1, :-1] + scores.table[u[i - 1]][v])
-        now[~inside] = _LOW
-        left = np.maximum.accumulate(now + slope)[:-1] - slope[1:] - gap_open
-        ins[i, 1:] = np.where(inside[1:], left, _LOW)
-        h[i] = np.maximum(now, ins[i])
+        at, moved = int(offsets[i]), int(offsets[i] - offsets[i - 1])
+        above, before = (np.concatenate([low[:1], x, low[: moved + 1]])[moved : moved + width + 1] for x in (h, d))
+        opened = above[1:] - opening
+        d = np.maximum(before[1:] - gap_ext, opened)
+        diagonal = above[:-1] + (table[u[i - 1]][letters[at - 1 : at - 1 + width]] if at else np.concatenate([low[:1], table[u[i - 1]][letters[: width - 1]]]))
+        now = np.maximum(d, diagonal)
+        shut = outside(i)
+        now[shut] = _LOW
+        left = np.concatenate([low[:1], np.maximum.accumulate(now + slope)[:-1] - slope[1:] - gap_open])
+        left[shut] = _LOW
+        h = np.maximum(now, left)
+        bits = np.where(h == diagonal, _DIAGONAL, 0) | np.where(h == d, _DELETED, 0) | np.where(d == opened, _OPENS_D, 0)
+        bits[1:] |= np.where(h[:-1] - opening == left[1:], _OPENS_I, 0)
+        steps[i] = bits
+    score = int(h[n - offsets[m]])
     i, j, state, ops = m, n, "h", []
     while i or j:
+        bits = int(steps[i, j - offsets[i]])
         if state == "h":
-            if i and j and h[i, j] == h[i - 1, j - 1] + scores.table[u[i - 1], v[j - 1]]:
+            if i and j and bits & _DIAGONAL:
                 ops.append("=" if u[i - 1] == v[j - 1] and u[i - 1] < len(scores.characters) else "X")
                 i, j = i - 1, j - 1
             else:
-                state = "d" if i and h[i, j] == d[i, j] else "i"
+                state = "d" if i and bits & _DELETED else "i"
         elif state == "d":
             ops.append("D")
-            state = "h" if d[i, j] == h[i - 1, j] - gap_open - gap_ext else "d"
+            state = "h" if bits & _OPENS_D else "d"
             i -= 1
         else:
             ops.append("I")
-            state = "h" if h[i, j - 1] - gap_open - gap_ext == ins[i, j] else "i"
+            state = "h" if bits & _OPENS_I else "i"
             j -= 1
     text, at = [], len(ops)
     while at:
@@ -126,7 +162,7 @@ def _banded(u, v, scores, gap_open, gap_ext, band) -> tuple[int, str]:
             k -= 1
         text.append(f"{at - k}{ops[at - 1]}")
         at = k
-    return int(h[m, n]), "".join(text)
+    return score, "".join(text)
 
 
 _ALIGNED = "s_id long, q_id long, s_start int, s_len int, q_start int, q_len int, score int, strand string, cigar string"

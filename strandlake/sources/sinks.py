@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,16 +46,32 @@ def write_parts(sequences: DataFrame, parts: DataFrame, path: str, width: int =
     rows.repartition("part").sortWithinPartitions("part", "seq_id").select("part", fasta_text(width).alias("value")).write.partitionBy("part").text(path)
 
 
-def write_index(table: DataFrame, path: str, parameters: dict) -> None:
-    """A Parquet table with the parameters that it was made with."""
+def write_index(table: DataFrame, path: str, parameters: dict, by: str | None = None, buckets: int = 200) -> None:
+    """A Parquet table with the parameters that it was made with. With `by`, rows are in
+    buckets by the hash of that column, one sorted file each: two such indexes of as many
+    buckets are joined, and one is grouped, without another shuffle."""
     spark = table.sparkSession
-    table.write.parquet(f"{path}/table")
-    spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "parameters string").coalesce(1).write.parquet(f"{path}/parameters")
+    if by is None:
+        table.write.parquet(f"{path}/table")
+    else:
+        name = f"index_{uuid.uuid4().hex}"
+        table.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", f"{path}/table").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the name alone: its files are the index
+    facts = [(json.dumps(parameters, sort_keys=True), by, buckets if by else None)]
+    spark.createDataFrame(facts, "parameters string, by string, buckets int").coalesce(1).write.parquet(f"{path}/parameters")
 
 
 def read_index(spark: SparkSession, path: str, parameters: dict) -> DataFrame:
-    """The table, if it was made with these parameters; else an error."""
-    made = json.loads(spark.read.parquet(f"{path}/parameters").first()["parameters"])
+    """The table, if it was made with these parameters; else an error. Buckets are known
+    to Spark by a name in the session's catalog."""
+    facts = spark.read.parquet(f"{path}/parameters").first()
+    made = json.loads(facts["parameters"])
     if made != parameters:
         raise ValueError(f"{path}: the index was made with {made}, not {parameters}")
-    return spark.read.parquet(f"{path}/table")
+    plain = spark.read.parquet(f"{path}/table")
+    if facts["by"] is None:
+        return plain
+    name, where = f"index_{hashlib.sha256(path.encode()).hexdigest()[:32]}", path.replace("'", "\\'")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{facts['by']}`) SORTED BY (`{facts['by']}`) INTO {facts['buckets']} BUCKETS LOCATION '{where}/table'")
+    return spark.table(name)

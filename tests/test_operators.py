@@ -532,6 +532,49 @@ def test_extension_and_gaps(spark):
     assert rows(edit.closed_gaps(m, one, two)) == [(1, 2)]
 
 
+def test_bands_equal_whole_tables():
+    rng = random.Random(20)
+    for case in range(150):
+        name = ("unit_score_nuc", "blosum62")[case % 2]
+        t, letters = named(name), "ACGT" if case % 2 == 0 else "ARNDX"
+        x = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+        y = "".join(c for c in x if rng.random() > 0.2) + "".join(rng.choice(letters) for _ in range(rng.choice([0, 0, 9]))) if case % 3 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+        u, v = (t.index[np.frombuffer(z.encode(), np.uint8)] for z in (x, y))
+        o, e = rng.choice([(3, 2), (11, 1), (0, 1)])
+        low = -(1 << 40)
+        h, d, a = (np.full((len(u) + 1, len(v) + 1), low) for _ in range(3))
+        h[0, 0] = 0
+        for i in range(len(u) + 1):
+            for j in range(len(v) + 1):
+                if i:
+                    d[i, j] = max(d[i - 1, j] - e, h[i - 1, j] - o - e)
+                if j:
+                    a[i, j] = max(a[i, j - 1] - e, h[i, j - 1] - o - e)
+                if i and j:
+                    h[i, j] = h[i - 1, j - 1] + t.table[u[i - 1], v[j - 1]]
+                if i or j:
+                    h[i, j] = max(h[i, j], d[i, j], a[i, j])
+        score, text = align.global_alignment(u, v, t, o, e)
+        assert score == h[-1, -1] and align._banded(u, v, t, o, e, max(len(u), len(v))) == (score, text)
+        assert align.global_alignment(u, v, t, o, e, score)[0] == score
+
+
+def test_long_texts_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(21)
+    u = rng.integers(0, 4, 20_000)
+    v = np.delete(u.copy(), rng.integers(0, 20_000, 10))
+    v[rng.integers(0, len(v), 10)] ^= 1
+    tracemalloc.start()
+    try:
+        score, text = align.global_alignment(u, v, named("unit_score_nuc"), 3, 2)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert score > 2 * 20_000 - 200 and text.count("D") >= 1
+
+
 def test_distinct_counts_of_groups_are_partial_and_merge(spark):
     from strandlake.functions import surfaces
 

@@ -128,3 +128,22 @@ def test_stream_of_files_equals_the_table(spark, sequences, tmp_path):
     table = sketches.into_table(sketches.fasta_stream(spark, str(folder)), str(tmp_path / "table"), str(tmp_path / "state"))
     table.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "table")).count() == 60
+
+
+def test_stored_buckets_are_joined_without_a_shuffle(spark, tmp_path):
+    rows = [(i * 7919 % 211, i % 9, i) for i in range(2000)]
+    table = spark.createDataFrame(rows, "hash long, seq_id long, pos long")
+    for name, part in (("one", table), ("two", table.where("pos % 3 = 0"))):
+        sinks.write_index(part, str(tmp_path / name), {"q": 12}, by="hash", buckets=5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, two = (sinks.read_index(spark, str(tmp_path / name), {"q": 12}) for name in ("one", "two"))
+        joined = one.join(two.select("hash", two["pos"].alias("other")), "hash")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == sum(a[0] == b[0] for a in rows for b in rows if b[2] % 3 == 0)
+        assert sinks.read_index(spark, str(tmp_path / "one"), {"q": 12}).count() == 2000
+        with pytest.raises(ValueError):
+            sinks.read_index(spark, str(tmp_path / "one"), {"q": 13})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
