@@ -227,9 +227,25 @@ def greedy_extension(u: str, v: str, most_error_percent: float = 20.0, history:
     match_gain, error_cost = most_error_percent, 200.0 - most_error_percent
 
     def slide(i: int, j: int, h: int) -> tuple[int, int]:
-        while i < m and j < n and u[i] == v[j]:
-            i, j, h = i + 1, j + 1, (h << 1 | 1) & bits
-        return i, h
+        """Over equal characters, by slices: each as wide again as the one before while
+        they are equal, and the last one halved."""
+        first, width = i, 16
+        while i < m and j < n:
+            most = min(width, m - i, n - j)
+            if u[i : i + most] == v[j : j + most]:
+                i, j, width = i + most, j + most, 2 * width
+                continue
+            low, high = 0, most - 1
+            while low < high:
+                middle = (low + high + 1) // 2
+                if u[i + low : i + middle] == v[j + low : j + middle]:
+                    low = middle
+                else:
+                    high = middle - 1
+            i += low
+            break
+        over = min(i - first, history)
+        return i, (h << over | (1 << over) - 1) & bits
 
     def polished(h: int, length: int) -> bool:
         total = 0.0
@@ -277,3 +293,27 @@ def greedy_extensions(pairs: DataFrame, most_error_percent: float = 20.0, histor
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "left_length", "right_length", "edits"])
 
     return pairs.select(F.col("id").cast("long").alias("id"), "left", "right").mapInArrow(run, "id long, left_length long, right_length long, edits long")
+
+
+def combined_extensions(seeds: DataFrame, most_error_percent: float = 20.0, history: int = 64, least_matches_percent: int = 55) -> DataFrame:
+    """(id, left_start, left_length, right_start, right_length, edits) from seeds (id, left,
+    right, left_pos, right_pos, length): exact matches of two texts, each extended to its
+    front and to its end by greedy_extension(), as one match. Nulls are empty; a seed that
+    isn't an exact match within both texts is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = most_error_percent, history, least_matches_percent
+        for b in batches:
+            rows = []
+            for key, u, v, i, j, k in zip(*(b.column(c).to_pylist() for c in range(6))):
+                u, v = u or "", v or ""
+                if not (0 <= i <= len(u) - k and 0 <= j <= len(v) - k) or u[i : i + k] != v[j : j + k]:
+                    raise ValueError(f"no exact match: {key}")
+                before = greedy_extension(u[:i][::-1], v[:j][::-1], *options)
+                after = greedy_extension(u[i + k :], v[j + k :], *options)
+                rows.append((key, i - before[0], before[0] + k + after[0], j - before[1], before[1] + k + after[1], before[2] + after[2]))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "left_start", "left_length", "right_start", "right_length", "edits"])
+
+    given = seeds.select(F.col("id").cast("long").alias("id"), "left", "right", *[F.col(c).cast("long").alias(c) for c in ("left_pos", "right_pos", "length")])
+    return given.mapInArrow(run, "id long, left_start long, left_length long, right_start long, right_length long, edits long")

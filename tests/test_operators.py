@@ -250,6 +250,67 @@ def test_extensions_of_pairs(spark):
     assert rows(edit.greedy_extensions(d)) == [(1, *edit.greedy_extension(u, v)), (2, 200, 200, 0), (3, 0, 0, 0)]
 
 
+def test_extensions_to_both_sides_are_one_match(spark):
+    rng = random.Random(22)
+    u, pre, post = random_dna(rng, 240), random_dna(rng, 50), random_dna(rng, 60)
+    v = pre + u[20:90] + "A" + u[90:240] + post
+    i, k = 130, 20
+    j = v.index(u[i : i + k])
+    seeds = spark.createDataFrame([(1, u, v, i, j, k), (2, u, u, 7, 7, 12), (3, None, None, 0, 0, 0)], "id long, left string, right string, left_pos int, right_pos int, length int")
+    got = {r[0]: tuple(r)[1:] for r in edit.combined_extensions(seeds).collect()}
+    before, after = edit.greedy_extension(u[:i][::-1], v[:j][::-1]), edit.greedy_extension(u[i + k :], v[j + k :])
+    assert got[1] == (i - before[0], before[0] + k + after[0], j - before[1], before[1] + k + after[1], before[2] + after[2])
+    assert got[1][0] <= 25 and got[1][1] >= 215 and got[2] == (0, 240, 0, 240, 0) and got[3] == (0, 0, 0, 0, 0)
+    with pytest.raises(Exception, match="no exact match"):
+        edit.combined_extensions(spark.createDataFrame([(1, "AC", "AG", 0, 0, 2)], "id long, left string, right string, left_pos int, right_pos int, length int")).collect()
+
+
+def plain_extension(u, v, percent, history, least_percent):
+    """greedy_extension() a character at a time."""
+    bits, least = (1 << history) - 1, history * least_percent // 100
+
+    def slide(i, j, h):
+        while i < len(u) and j < len(v) and u[i] == v[j]:
+            i, j, h = i + 1, j + 1, (h << 1 | 1) & bits
+        return i, h
+
+    def polished(h, length):
+        total = 0.0
+        for k in range(min(history, length)):
+            total += 2 * percent if h >> k & 1 else percent - 200.0
+            if total < 0:
+                return False
+        return True
+
+    i, h = slide(0, 0, 0)
+    front, best, d = {0: (i, h)}, (i, i, 0), 0
+    while front:
+        d, fresh = d + 1, {}
+        for k in range(min(front) - 1, max(front) + 2):
+            found = [(front[x][0] + y, front[x][1] << 1 & bits) for x, y in ((k, 1), (k - 1, 1), (k + 1, 0)) if x in front]
+            found = [(i, h) for i, h in found if i <= len(u) and 0 <= i - k <= len(v)]
+            if found:
+                i, h = max(found)
+                i, h = slide(i, i - k, h)
+                if 2 * i - k < 2 * history or h.bit_count() >= least:
+                    fresh[k] = (i, h)
+                    if 2 * i - k > best[0] + best[1] and polished(h, max(i, i - k)):
+                        best = (i, i - k, d)
+        front = fresh
+        if d * 200.0 > percent * (len(u) + len(v)) + 200.0:
+            break
+    return best
+
+
+def test_extension_by_slices_equals_one_by_characters():
+    rng = random.Random(23)
+    for _ in range(60):
+        u = random_dna(rng, rng.randint(0, 150), "AC")
+        v = "".join(c if rng.random() > 0.1 else rng.choice(["", "A", c + "C"]) for c in u) + random_dna(rng, rng.randint(0, 20))
+        for options in ((20.0, 64, 55), (10.0, 16, 30)):
+            assert edit.greedy_extension(u, v, *options) == plain_extension(u, v, *options)
+
+
 def test_functions_for_sql(spark):
     from strandlake.functions import surfaces
 
