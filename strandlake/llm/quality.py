@@ -55,7 +55,8 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of docs (doc_id, text): what joins with labels are these
-    few numbers, never texts."""
+    few numbers, never texts. Null and empty texts have the statistics of no words; a very
+    long text is counted whole, one at a time; columns beside these two are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,8 +105,10 @@ class Model:
 
 def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridges: tuple = (1e-4, 1e-3, 1e-2, 1e-1, 1.0), bandwidth: float = 6.0, tasks: int = 8, n_bins: int = 512, folds: int = 5, seed: int = 11) -> Model:
     """Fit on with_statistics() of documents joined with labels (doc_id, label 0/1).
-    Folds go by a hash of the id. Null ids and labels don't count. Without labelled rows
-    every score is 0.5."""
+    Folds go by a hash of the id. Null ids and labels don't count; of repeated ids and labels
+    each pair counts. With one class alone scores are near its label; without labelled rows
+    every score is 0.5. Other columns of either table are ignored, but `of`, `part` and
+    `label` are names that docs may not have beside x."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     rows = stats.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * F.pmod(F.xxhash64("doc_id"), F.lit(folds))).cast("int"))
     data = common.written(rows.select("part", "x"), "training")

@@ -166,7 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = 2000, least_d
     """Fit on docs (doc_id, text) joined with labels (doc_id, label 0/1). Rows of null
     ids or labels don't count; of repeated labels each counts. At most `fit_rows`
     labels are used (those of smallest hash, each class up to half): their ids are
-    broadcast to where the texts are, so that no text is shuffled."""
+    broadcast to where the texts are, so that no text is shuffled. A very long text is
+    read whole, one at a time, and its words count by their share. With one class alone
+    every text scores that class's rate; without labels, near 0. Columns of docs beside
+    doc_id and text, and of labels beside doc_id and label, are ignored."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("of"), "of").limit(fit_rows // 2) for y in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_rows ids and labels
