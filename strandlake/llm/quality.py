@@ -107,8 +107,7 @@ def train(stats: DataFrame, labels: DataFrame, features: int = 256, ridges: tupl
     """Fit on with_statistics() of documents joined with labels (doc_id, label 0/1).
     Folds go by a hash of the id. Null ids and labels don't count; of repeated ids and labels
     each pair counts. With one class alone scores are near its label; without labelled rows
-    every score is 0.5. Other columns of either table are ignored, but `of`, `part` and
-    `label` are names that docs may not have beside x."""
+    every score is 0.5. Other columns of labels are ignored; stats has these two."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     rows = stats.join(known, F.col("doc_id") == F.col("of")).withColumn("part", (F.col("label") + 2 * F.pmod(F.xxhash64("doc_id"), F.lit(folds))).cast("int"))
     data = common.written(rows.select("part", "x"), "training")
