@@ -21,14 +21,19 @@ def seed_matches(reference: DataFrame, query: DataFrame, block: int = 4096) -> D
     """(ref_id, query_id, ref_pos, query_pos, hash) of equal hashes, from two tables
     (hash, seq_id, pos).
 
+    Rows of the query whose hash the reference lacks are left out where they are made, by a
+    filter of its hashes, and what is left is written once: a small reference sends only so
+    much of a large query through the shuffles as matches it.
+
     Hashes with very many pairs are joined in blocks: both sides are cut into blocks of
     about `block` rows, each row goes to all blocks of the other side, and each pair of
     blocks is a key of its own. Such a hash has more than `most` rows on one side, so there
     are fewer than 20,000 of them at any size, and the table of them is broadcast."""
     r = reference.select("hash", F.col("seq_id").alias("ref_id"), F.col("pos").alias("ref_pos"))
     q = query.select("hash", F.col("seq_id").alias("query_id"), F.col("pos").alias("query_pos"))
-    count = r.select("hash", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(q.select("hash", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    count = written(count.groupBy("hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0 and b > 0"), "seeds")
+    known = written(r.groupBy("hash").agg(F.count("*").alias("a")), "known")
+    q = within(q, known)
+    count = written(known.join(q.groupBy("hash").agg(F.count("*").alias("b")), "hash"), "seeds")
     total = count.agg(F.sum(F.col("a") + F.col("b")).alias("n")).first()["n"] or 0
     most = max(block, total // 10_000)
     hot = count.where(F.col("a") * F.col("b") > most * most).select(F.col("hash").alias("_hash"), F.ceil(F.col("a") / block).cast("int").alias("_a"), F.ceil(F.col("b") / block).cast("int").alias("_b"))
@@ -44,6 +49,20 @@ def seed_matches(reference: DataFrame, query: DataFrame, block: int = 4096) -> D
     return cold.unionByName(left.join(right, ["hash", "_i", "_j"]).drop("_i", "_j"))
 
 
+def within(rows: DataFrame, known: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows whose `hash` is in known, and a few others: a filter of 2**bits bits by one
+    hash function, broadcast in words of 64, so at most 2**20 of them for any table. If
+    over a quarter of all values would pass it, rows stay as they are; else what passes is
+    written."""
+    at = lambda: F.xxhash64("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    bit = lambda a: F.call_function("shiftleft", F.lit(1).cast("long"), a.bitwiseAND(F.lit(63)).cast("int"))
+    if known.count() > 1 << bits - 2:
+        return rows
+    words = known.select(at().alias("_at")).groupBy(F.shiftrightunsigned("_at", 6).alias("_word")).agg(F.bit_or(bit(F.col("_at"))).alias("_bits"))
+    found = rows.join(F.broadcast(words), F.shiftrightunsigned(at(), 6) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(at())) != 0)
+    return written(found.select(rows.columns), "within")
+
+
 def maximal_matches(qgrams: DataFrame, other: DataFrame, q: int, least: int, column: str = "value") -> DataFrame:
     """(ref_id, query_id, ref_end, query_end, length): maximal exact matches of `least`
     or more characters, from all q-grams (seq_id, pos, value) of either side by exact

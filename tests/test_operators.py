@@ -457,6 +457,51 @@ def test_matches_are_maximal(spark):
     assert set(rows(matches.extended_matches(seeds, x, y, 12, 20))) == want
 
 
+def shuffled(spark, work) -> int:
+    """Bytes that work() writes to shuffles."""
+    context = spark.sparkContext
+    store, bus, make = context._jsc.sc().statusStore(), context._jsc.sc().listenerBus(), context._jvm.java.util.ArrayList
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        every = store.stageList(make(), False, False, context._gateway.new_array(context._jvm.double, 0), make())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (every.apply(i) for i in range(every.size()))}
+
+    before = stages()
+    work()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_seeds_shuffle_only_what_the_reference_holds(spark):
+    """All rows of a large query went through two shuffles, for a reference of a few."""
+    few = spark.range(50).select((F.col("id") * 4000).alias("hash"), F.col("id").alias("seq_id"), F.lit(7).cast("long").alias("pos"))
+    many = spark.range(200_000).select(F.col("id").alias("hash"), (F.col("id") % 100).alias("seq_id"), F.col("id").alias("pos"))
+    found = []
+    size = shuffled(spark, lambda: found.extend(rows(matches.seed_matches(few, many).select("ref_id", "query_id", "ref_pos", "query_pos", "hash"))))
+    assert sorted(found) == [(i, 4000 * i % 100, 7, 4000 * i, 4000 * i) for i in range(50)]
+    assert size < 200_000  # was 1,024,582
+
+
+def test_chains_of_a_small_reference_shuffle_little(spark):
+    rng = random.Random(12)
+    core = random_dna(rng, 80)
+    texts = [random_dna(rng, 2000) for _ in range(60)]
+    texts[7] = texts[7][:500] + core[:40] + "N" + core[40:] + texts[7][500:]
+    reference, query = (qgrams.qgram_values(seqs(spark, t), 16, "code") for t in ([core], texts))
+    found = []
+    size = shuffled(spark, lambda: found.extend(rows(chaining.local_chains(matches.maximal_matches(reference, query, 16, 20)).select("ref_id", "query_id", "chain", "ref_start", "ref_end"))))
+    assert found == [(0, 7, 0, 0, 79)]
+    assert size < 200_000  # was 2,656,373
+
+
+def test_seeds_filter_passes_or_leaves_all(spark):
+    """With a filter of 64 bits some values pass it by chance, with many known none is left out."""
+    values = spark.range(2000).select(F.col("id").alias("hash"), F.col("id").alias("pos"))
+    for known, whole in ((5, False), (100, True)):
+        got = {r[0] for r in rows(matches.within(values, spark.range(known).select(F.col("id").alias("hash")), bits=6))}
+        assert got >= set(range(known)) and (len(got) == 2000) == whole
+
+
 @pytest.mark.parametrize("local", [False, True])
 def test_chains_equal_all_chains(local):
     rng = random.Random(9)
