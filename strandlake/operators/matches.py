@@ -69,8 +69,9 @@ def maximal_matches(qgrams: DataFrame, other: DataFrame, q: int, least: int, col
     codes. Matches of a diagonal are runs of seeds at consecutive positions, so they
     come out as islands of a running number: no character is compared again."""
     s = seed_matches(qgrams.select(F.col(column).alias("hash"), "seq_id", "pos"), other.select(F.col(column).alias("hash"), "seq_id", "pos"))
-    diagonal = Window.partitionBy("ref_id", "query_id", F.col("ref_pos") - F.col("query_pos")).orderBy("ref_pos")
-    s = s.withColumn("run", F.col("ref_pos") - F.row_number().over(diagonal)).withColumn("diagonal", F.col("ref_pos") - F.col("query_pos"))
+    s = s.withColumn("diagonal", F.col("ref_pos") - F.col("query_pos"))
+    along = Window.partitionBy("ref_id", "query_id", "diagonal").orderBy("ref_pos")
+    s = s.withColumn("run", F.col("ref_pos") - F.row_number().over(along))
     runs = s.groupBy("ref_id", "query_id", "diagonal", "run").agg(F.max("ref_pos").alias("r"), F.max("query_pos").alias("p"), F.count("*").alias("n"))
     runs = runs.select("ref_id", "query_id", (F.col("r") + q - 1).alias("ref_end"), (F.col("p") + q - 1).alias("query_end"), (F.col("n") + q - 1).alias("length"))
     return runs.where(F.col("length") >= least)

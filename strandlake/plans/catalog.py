@@ -439,7 +439,7 @@ _TWO = f"{_RANGES}, {V.sql_qgrams(20)}, {V.SQL_BENCHMARK}, {V.sql_ranges('x', 'b
 
 
 def _both(spark, sf_dir, q=20):
-    return (qgrams.qgram_values(t(spark, sf_dir), q, "code") for t in (V.benchmark, V.documents))
+    return (qgrams.qgram_values(t(spark, sf_dir), q, "code", columns=("seq_id", "pos", "value")) for t in (V.benchmark, V.documents))
 
 
 @query(f"{_TWO}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10, 'h').replace('m_w', 'a_w').replace('m AS', 'a AS', 1).replace('m AS (SELECT DISTINCT', 'a AS (SELECT DISTINCT')}, {_minimizer_sql('(' + V.sql_code('qgram', 20) + ')::BIGINT', 10)} SELECT a.seq_id AS ref_id, m.seq_id AS query_id, a.pos AS ref_pos, m.pos AS query_pos, a.hash FROM a JOIN m ON a.hash = m.hash")

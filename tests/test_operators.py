@@ -494,6 +494,12 @@ def test_chains_of_a_small_reference_shuffle_little(spark):
     assert size < 200_000  # was 2,656,373
 
 
+def test_seeds_of_a_diagonal_are_dealt_out_once(spark):
+    g = qgrams.qgram_values(seqs(spark, ["ACGTACGGT" * 4]), 12, "code")
+    plan = matches.maximal_matches(g, g, 12, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ref_id") == 1, plan
+
+
 def test_seeds_filter_passes_or_leaves_all(spark):
     """With a filter of 64 bits some values pass it by chance, with many known none is left out."""
     values = spark.range(2000).select(F.col("id").alias("hash"), F.col("id").alias("pos"))
