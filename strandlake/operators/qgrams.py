@@ -29,13 +29,32 @@ def qgram_rows(sequences: DataFrame, q: int, alphabet: str = A.DNA) -> DataFrame
     return r.select("seq_id", "range_start", (F.col("range_start") + F.col("i")).alias("pos"), F.substr("run", F.col("i") + 1, F.lit(q)).alias("qgram"))
 
 
-def windows_with_wildcards(sequences: DataFrame, q: int) -> DataFrame:
-    """(seq_id, pos, qgram, wildcards): every window of q characters, valid or not."""
-    size = 256  # short chunks: a window is cut out of its chunk, not of the whole text
-    c = chunked(sequences, size, q - 1).where(F.length("sequence") >= q)
-    w = c.select("seq_id", "offset", "sequence", F.explode(F.sequence(F.lit(0), F.least(F.lit(size - 1), F.length("sequence") - q))).alias("i"))
-    w = w.select("seq_id", (F.col("offset") + F.col("i")).alias("pos"), F.substr("sequence", F.col("i") + 1, F.lit(q)).alias("qgram"))
-    return w.withColumn("wildcards", F.regexp_count("qgram", F.lit(A.invalid(A.DNA))))
+def windows_with_wildcards(sequences: DataFrame, q: int, columns: tuple[str, ...] | None = None, size: int = 1 << 18, batch_chars: int = 1 << 20) -> DataFrame:
+    """(seq_id, pos, qgram, wildcards): every window of q characters, valid or not.
+    `columns` names those that are wanted: others aren't made or moved.
+
+    Sequences of a batch are joined, and the invalid characters of all windows are
+    differences of one running count."""
+    types = {"seq_id": pa.int64(), "pos": pa.int64(), "qgram": pa.string(), "wildcards": pa.int32()}
+    names = list(columns or types)
+
+    def made(keys: list, texts: list[str]) -> pa.RecordBatch:
+        text = "\n".join(texts)
+        before = np.concatenate([[0], np.cumsum(C.ranks(text) >= len(A.DNA), dtype=np.int32)])
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        n = np.maximum(lengths - q + 1, 0)
+        local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = local + np.repeat(starts, n)
+        ids, offsets = np.array(keys, dtype=np.int64).reshape(-1, 2).T
+        values = {
+            "seq_id": lambda: np.repeat(ids, n), "pos": lambda: local + np.repeat(offsets, n),
+            "qgram": lambda: [text[i : i + q] for i in at.tolist()], "wildcards": lambda: before[at + q] - before[at],
+        }
+        return pa.RecordBatch.from_arrays([pa.array(values[x](), types[x]) for x in names], names=names)
+
+    kinds = {"qgram": "string", "wildcards": "int"}
+    return by_batch(chunked(sequences, size, q - 1), made, ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names), batch_chars, ("seq_id", "offset"))
 
 
 def qgram_values(sequences: DataFrame, q: int, kind: str = "hash", alphabet: str = A.DNA, reverse: bool = False, columns: tuple[str, ...] | None = None, top_zero_bits: int = 0, batch_chars: int = 1 << 20) -> DataFrame:
@@ -98,14 +117,15 @@ class Windows:
         return self.ids[of], at - self.offsets[of], last_bad[at] + 1 - self.offsets[of]
 
 
-def by_batch(sequences: DataFrame, made, schema: str, batch_chars: int = 1 << 20) -> DataFrame:
+def by_batch(sequences: DataFrame, made, schema: str, batch_chars: int = 1 << 20, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """made(ids, texts) for sequences of about `batch_chars` characters at a time; null
-    and empty ones are left out."""
+    and empty ones are left out. Of several keys, ids are tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts, held = [], [], 0
-            for seq_id, sequence in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            named = [b.column(i).to_pylist() for i in range(len(keys))]
+            for seq_id, sequence in zip(named[0] if len(keys) == 1 else zip(*named), b.column(len(keys)).to_pylist()):
                 if sequence:
                     ids.append(seq_id), texts.append(sequence)
                     held += len(sequence)
@@ -115,7 +135,7 @@ def by_batch(sequences: DataFrame, made, schema: str, batch_chars: int = 1 << 20
             if texts:
                 yield made(ids, texts)
 
-    return sequences.select("seq_id", "sequence").mapInArrow(run, schema)
+    return sequences.select(*keys, "sequence").mapInArrow(run, schema)
 
 
 def constant_distance(qgrams: DataFrame, window: int) -> DataFrame:

@@ -261,7 +261,7 @@ def wildcard_as_a_qgrams(spark, sf_dir):
 
 @query(f"WITH {V.SQL_DOCUMENTS}, w AS (SELECT sequence, unnest(range(0, length(sequence) - 9)) AS i FROM s WHERE length(sequence) >= 10) SELECT (10 - length(replace(substr(sequence, (i + 1)::INTEGER, 10), 'N', '')))::INTEGER AS wildcards, count(*) AS n FROM w GROUP BY 1")
 def windows_with_wildcards(spark, sf_dir):
-    return qgrams.windows_with_wildcards(V.documents(spark, sf_dir), 10).groupBy("wildcards").agg(F.count("*").alias("n"))
+    return qgrams.windows_with_wildcards(V.documents(spark, sf_dir), 10, columns=("wildcards",)).groupBy("wildcards").agg(F.count("*").alias("n"))
 
 
 @query(f"{_RANGES}, {V.sql_qgrams(12)} SELECT count(*) AS qgrams, (sum(({V.sql_hash('qgram', 12)})::HUGEINT) % 18446744073709551616)::VARCHAR AS code_sum FROM g")

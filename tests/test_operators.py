@@ -47,6 +47,22 @@ def test_window_hashes_roll(text):
     assert turned[::-1].tolist() == C.window_hashes(r, q, reverse=True).tolist()
 
 
+def test_windows_with_wildcards_by_arrays(spark):
+    """Every window, over chunks and batches; one column alone is made without the others
+    (each window was a row with its characters, and an expression searched them)."""
+    rng = random.Random(14)
+    texts = [random_dna(rng, 200, "ACGTN"), "", None, "ACGT", "ACGTA", "acguN\nZ\u00c1\u20ac\U0001f600ACGT", "N" * 60, random_dna(rng, 33)]
+    want = sorted((i, p, t[p : p + 5], sum(c not in "ACGTUacgtu" for c in t[p : p + 5])) for i, t in enumerate(texts) for p in range(len(t or "") - 4))
+    d = seqs(spark, texts)
+    whole = qgrams.windows_with_wildcards(d, 5)
+    assert whole.dtypes == [("seq_id", "bigint"), ("pos", "bigint"), ("qgram", "string"), ("wildcards", "int")]
+    for w in (whole, qgrams.windows_with_wildcards(d, 5, size=7, batch_chars=20), qgrams.windows_with_wildcards(d, 5, size=28)):
+        assert rows(w) == want
+    few = qgrams.windows_with_wildcards(d, 5, ("wildcards",))
+    assert rows(few) == sorted((w[3],) for w in want)
+    assert "Generate explode(sequence" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_columns_equal_arrays(spark):
     rng = random.Random(1)
     texts = [random_dna(rng, 50, "ACGTN") for _ in range(5)] + ["acgtuACGTU", "", "NN"]
